@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from orrery.llm import lines, quality, shards
+from orrery.llm import lines, packing, pii, quality, shards
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op4_personal_data": pii.op4_personal_data,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_line_dedup": lines.op8_line_dedup,
     "op10_sharding": shards.op10_sharding,
