@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, jaccard, lines, packing, pii, quality, shards
+from orrery.llm import byte_pairs, fingerprints, jaccard, lines, packing, pii, quality, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op2_packing": packing.op2_packing,
     "op4_personal_data": pii.op4_personal_data,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_byte_bpe": byte_pairs.op7_byte_bpe,
     "op8_line_dedup": lines.op8_line_dedup,
