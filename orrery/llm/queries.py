@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, fingerprints, jaccard, lines, packing, pii, quality, shards
+from orrery.llm import byte_pairs, fingerprints, jaccard, licenses, lines, packing, pii, quality, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -12,7 +12,8 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_byte_bpe": byte_pairs.op7_byte_bpe,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_sharding": shards.op10_sharding,
 }
 
-ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL}
+ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL}

@@ -2,6 +2,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from orrery.llm import byte_pairs
@@ -18,7 +19,9 @@ def want(text):
     return ENCODING.encode_ordinary(text or "")
 
 
-def test_ids_are_those_of_the_library_and_decode_to_the_text(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 12, 10**6])
+def test_ids_are_those_of_the_library_and_decode_to_the_text(spark, monkeypatch, sent):
+    monkeypatch.setattr(byte_pairs, "MOST_SENT", sent)
     monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", 300)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, "twice"), (100, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
@@ -45,3 +48,18 @@ def test_empty_table_and_clashing_columns(spark):
     assert (row["rows"], row["a.b"], row["words"], row["ids"]) == (None, 3, ["q"], want("a b"))
     only = byte_pairs.encode(spark.createDataFrame([("a",)], "text string"), PATH, public_tokenizers.PATTERN).first()
     assert (only.text, only.ids) == ("a", want("a"))
+
+
+def test_classes_find_the_same_pre_tokens_as_the_pattern():
+    import random
+
+    import pyarrow as pa
+    import regex
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab1é²½ .,\n\t\x85\xa0'sß\x1c漢") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    words, numbers, sizes = byte_pairs.numbered(pa.array(texts), public_tokenizers.PATTERN)
+    flat, at = [words[int(n)].as_py() for n in numbers], 0
+    for text, n in zip(texts, sizes.tolist(), strict=True):
+        assert flat[at : at + n] == regex.findall(public_tokenizers.PATTERN, text)
+        at += n
