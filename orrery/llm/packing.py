@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -38,7 +37,7 @@ class WordIds:
     """
 
     #: A-Z and the letters of Latin-1, which lower to one letter each; ASCII punctuation without apostrophe or white space.
-    _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|<>()/=\"_-]*)").fullmatch
+    _SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,;:!?#*$%&|<>()/=\"_-]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,31 +66,37 @@ class WordIds:
                 self._known[w] = raw[4 * at : 4 * cut]
                 at = cut
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk's ids as little-endian unsigned 32-bit numbers."""
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct chunks: the two words of each as numbers of words, and the words' ids in turn with how many each has."""
         if len(self._known) > REMEMBERED:
             self._known = {"": b""}
-        parts = [self._SIMPLE(c) if "<|" not in c else None for c in chunks]
-        split = [(p[1].lower(), p[2]) if p else None for p in parts]
-        new = {w for p in split if p for w in p if w not in self._known}
-        self._learn(sorted(new))
-        known = self._known
-        return [known[p[0]] + known[p[1]] if p else self._encode(c).tobytes() for c, p in zip(chunks, split, strict=True)]
+        split = pc.extract_regex(chunks, self._SIMPLE)
+        odd = pc.or_(pc.is_null(split), pc.match_substring(chunks, "<|"))
+        words = pc.if_else(odd, "", pc.utf8_lower(pc.fill_null(pc.struct_field(split, 0), ""))), pc.if_else(odd, "", pc.fill_null(pc.struct_field(split, 1), ""))
+        coded = pa.concat_arrays(words).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        self._learn(sorted(w for w in own if w not in self._known))
+        ids = [self._known[w] for w in own]
+        both = coded.indices.to_numpy().reshape(2, -1).copy()
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            both[0, k] = len(ids)
+            ids.append(self._encode(chunks[k].as_py()).tobytes())
+        if not len(both[0]):
+            ids = [b""]
+        return both, np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow array without nulls."""
         words = pc.ascii_split_whitespace(texts)
         bounds = words.offsets.to_numpy()
-        coded = words.values.dictionary_encode()
-        at = coded.indices.to_numpy()[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
-        own = self.chunks(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        both, flat, sizes = self.chunks(coded.dictionary)
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        at = both[:, coded.indices.to_numpy()].T.ravel()
         each = sizes[at]
         ends = np.cumsum(each)
-        ids = flat[np.repeat(first[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])[bounds]
+        ids = flat[np.repeat(first[at] - (ends - each).astype(np.int32), each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        ends = np.concatenate([[0], ends])[2 * (bounds - bounds[0])]
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             yield ids[a:b]
 
@@ -102,13 +107,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    """A string column in runs of rows of about SLICE_BYTES, nulls as empty texts."""
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A string column in runs of rows of about `most` bytes, nulls as empty texts."""
     column = column.fill_null("")
     size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield column.slice(at, end - at)
         at = end
 
