@@ -60,7 +60,7 @@ def words(dax: Column) -> Column:
 
 def activated_relationships(dax: Column) -> Column:
     """array<struct<a_table, a_column, b_table, b_column>> that USERELATIONSHIP names."""
-    group = lambda k, name: F.transform(matches(dax, USE_RELATIONSHIP, k), F.trim).alias(name)
+    group = lambda k, name: F.transform(matches(dax, USE_RELATIONSHIP, k), lambda x: F.trim(x)).alias(name)
     return F.arrays_zip(group(1, "a_table"), group(2, "a_column"), group(3, "b_table"), group(4, "b_column"))
 
 
@@ -86,13 +86,17 @@ def stats_text(stats: Column) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(": ", s["label"], s["value"])), " | ")
 
 
+def _without_keys(out: Column, other: Column) -> Column:
+    return F.map_filter(out, lambda k, v: ~F.map_contains_key(other, k))
+
+
 def merged_meta(*maps: Column) -> Column:
     """map<string, string>: later maps win; nulls are empty."""
     empty = F.create_map().cast("map<string,string>")
     out = empty
     for m in maps:
         m = F.coalesce(m, empty)
-        out = F.map_concat(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
+        out = F.map_concat(_without_keys(out, m), m)
     return out
 
 

@@ -65,7 +65,7 @@ def relation_name(c: Column) -> Column:
 
 def distinct_names(names: Column) -> Column:
     """array<string>: names trimmed, blanks gone, distinct in any case; the first spelling stays."""
-    clean = F.filter(F.transform(names, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    clean = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.aggregate(clean, F.array().cast("array<string>"), lambda seen, x: F.when(F.exists(seen, lambda y: F.lower(y) == F.lower(x)), seen).otherwise(F.concat(seen, F.array(x))))
 
 

@@ -95,7 +95,7 @@ def disambiguated(items: DataFrame, name: str, workspace: str | None = None, dat
         if value:
             narrower = found.where(contains(F.col(column), value))
             found = narrower if not narrower.isEmpty() else found
-    some = found.orderBy("workspace_name", "dataset_name", "item_id").limit(MOST)
+    some = found.orderBy(*(c for c in ("workspace_name", "dataset_name") if c in items.columns), "item_id").limit(MOST)
     n = some.limit(2).count()
     return ("NONE", "ONE", "MANY")[n], some
 

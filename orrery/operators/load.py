@@ -74,7 +74,7 @@ def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: Mapping[
             value = F.when(F.col("_new").isNull(), was).when(F.col("_old").isNull(), now).otherwise(kept)
         if f.name in reset:
             value = F.when(F.col("_new"), F.lit(reset[f.name])).otherwise(value)
-        return value.cast(f.dataType).alias(f.name)
+        return (value if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else value.cast(f.dataType)).alias(f.name)
 
     return joined.select(*keys, *(column(f) for f in others)).select(*old.columns)
 
