@@ -114,7 +114,7 @@ def sentences(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     for pattern, to in _NORMAL:
         low = F.regexp_replace(low, pattern, to.format(None, "$1"))
-    return F.transform(F.split(low, "\x01"), F.trim)
+    return F.transform(F.split(low, "\x01"), lambda s: F.trim(s))
 
 
 def sentence_id(sentence: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, fingerprints, jaccard, licenses, lines, packing, pii, quality, shards
+from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, packing, pii, quality, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op2_packing": packing.op2_packing,
+    "op3_chat_format": chats.op3_chat_format,
     "op4_personal_data": pii.op4_personal_data,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_quality_rules": quality.op6_quality_rules,
