@@ -77,3 +77,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has `most` rows at most, else as it is, to be joined by a shuffle. df should be stored."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
