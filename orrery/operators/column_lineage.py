@@ -88,7 +88,7 @@ def _top(plan):
 def lineage_of(spark: SparkSession, model: str, sql: str, relations: Mapping[str, Mapping[str, str]]) -> list[Edge]:
     """Edges to a model's columns from the columns of the relations (name -> column -> type; names in one, two or three parts) that its SQL reads.
 
-    pass-through: a column under its own name; rename: a column under another; transformation: an expression, or several producers. Raises
+    By the outermost projection: pass-through is a column under its own name, rename a column under another, transformation an expression or several producers. Raises
     ParseException or AnalysisException for SQL that Spark does not take.
     """
     for pattern, to in DIALECT:
@@ -117,14 +117,14 @@ def lineage_of(spark: SparkSession, model: str, sql: str, relations: Mapping[str
         shapes = {}
         top = _top(plan)
         for e in _Walk._expressions(top, top.getClass().getSimpleName()):
-            child = e.child().getClass().getSimpleName() if e.getClass().getSimpleName() == "Alias" else "AttributeReference"
-            shapes[e.exprId().id()] = child == "AttributeReference"
+            child = e.child() if e.getClass().getSimpleName() == "Alias" else e
+            plain = child.getClass().getSimpleName() == "AttributeReference"
+            shapes[e.exprId().id()] = "transformation" if not plain else "pass-through" if child.name().lower() == e.name().lower() else "rename"
         edges = []
         for a in _list(plan.output()):
             producers = sorted(p for p in walk.base.get(a.exprId().id(), ()) if _clean(p[0]) != _clean(model))
             for relation, column in producers:
-                plain = shapes.get(a.exprId().id(), True) and len(producers) == 1
-                kind = "transformation" if not plain else "pass-through" if column.lower() == a.name().lower() else "rename"
+                kind = shapes.get(a.exprId().id(), "pass-through") if len(producers) == 1 else "transformation"
                 edges.append(Edge(relation, column, model, a.name(), kind))
         return edges
     finally:

@@ -496,3 +496,63 @@ def bracket_tokens(spark, d):
 def json_properties(spark, d):
     k = F.from_json("props", "k int")["k"]
     return star.table(spark, d, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Artifacts
+
+
+@query("""SELECT DISTINCT p_type AS table_name, 'measure' AS kind, p_name AS name, 'SUM([' || p_name || '])' AS expression, 'tag-' || p_name AS lineage_tag FROM part""")
+def tmdl_parse(spark, d):
+    from orrery.sources import tmdl
+
+    block = F.concat(F.lit("\n\tmeasure '"), F.col("p_name"), F.lit("' = SUM(["), F.col("p_name"), F.lit("])\n\t\tlineageTag: tag-"), F.col("p_name"), F.lit("\n\t\tformatString: 0"))
+    files = star.table(spark, d, "part").select("p_type", block.alias("block")).distinct().groupBy(F.col("p_type").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("block")), "\n").alias("blocks"))
+    files = files.select("path", F.concat(F.lit("table '"), "path", F.lit("'\n"), "blocks").alias("content"))
+    return tmdl.tmdl_blocks(files).select("table_name", "kind", "name", "expression", "lineage_tag")
+
+
+@query("""SELECT * FROM (VALUES ('lineitem', 'l_extendedprice', 'revenue', 'amount', 'transformation'), ('lineitem', 'l_discount', 'revenue', 'amount', 'transformation'), ('orders', 'o_custkey', 'revenue', 'customer', 'rename'),
+('lineitem', 'l_orderkey', 'revenue', 'l_orderkey', 'pass-through'), ('customer', 'c_name', 'ranked', 'c_name', 'pass-through'), ('revenue', 'amount', 'ranked', 'total', 'pass-through')) t(source, source_column, target, target_column, lineage_type)""")
+def column_lineage(spark, d):
+    from orrery.operators import column_lineage as lineage
+
+    relations = {t: {f.name: f.dataType.simpleString() for f in star.table(spark, d, t).schema} for t in ("lineitem", "orders", "customer")}
+    relations["revenue"] = {"l_orderkey": "bigint", "customer": "bigint", "amount": "double"}
+    models = {
+        "revenue": ("SELECT l_orderkey, o_custkey AS customer, l_extendedprice * (1 - l_discount) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey", None),
+        "ranked": ("WITH t AS (SELECT customer, sum(amount) AS total FROM revenue GROUP BY customer) SELECT c.c_name, t.total FROM customer c JOIN t ON t.customer = c.c_custkey", None),
+    }
+    return lineage.project_lineage(spark, models, relations)[0]
+
+
+@query("SELECT 'lineitem>orders>customer>nation>region' AS path, 'm:o>m:o>m:o>m:o' AS cardinalities, 0 AS inactive_hops, 4 AS hops")
+def relationship_path(spark, d):
+    from orrery.operators import relationships
+
+    pairs = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    rel = spark.createDataFrame([("star", *p, "many", "one", "single", True) for p in pairs], "dataset_id string, from_table string, from_column string, to_table string, to_column string, from_cardinality string, to_cardinality string, cross_filter string, is_active boolean")
+    return relationships.paths(rel, "star", "lineitem", "region").select(F.array_join("path", ">").alias("path"), F.array_join("cardinalities", ">").alias("cardinalities"), "inactive_hops", "hops")
+
+
+@query("SELECT c_custkey AS id, upper(substr(split_part(c_name, '#', 1), 1, 2)) AS initials, regexp_replace(lower(trim(c_mktsegment || ' ' || c_custkey)), '[^a-z0-9_.-]+', '_', 'g') AS slug, '0::' || lower(trim(c_name)) AS measure_key FROM customer")
+def scalar_names(spark, d):
+    none = F.lit(None).cast("string")
+    name = F.substring_index("c_name", "#", 1)
+    return star.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), names.initials(name, none).alias("initials"), names.slug(F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey").cast("string"))).alias("slug"), names.measure_key(none, F.lit("PB_MEASURE"), F.col("c_name")).alias("measure_key"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type LIKE '%bool%' THEN 'boolean' WHEN regexp_matches(lower(p_type), '(date|time|timestamp)') THEN 'date' WHEN regexp_matches(lower(p_type), '(int|num|dec|float|double|real|money|serial|big)') THEN 'numeric'
+WHEN regexp_matches(lower(p_type), '(char|text|string|uuid|json|byte|enum)') THEN 'text' ELSE 'other' END AS kind, CASE WHEN regexp_matches(lower(p_type), '(char|text|string|uuid|json|byte|enum)') THEN 'Aa' WHEN regexp_matches(lower(p_type), '(int|num|dec|float|double|real|money|serial|big)') THEN '#'
+WHEN regexp_matches(lower(p_type), '(date|time|timestamp)') THEN '◷' WHEN p_type LIKE '%bool%' THEN '⊨' ELSE '•' END AS glyph FROM part""")
+def data_kinds(spark, d):
+    return star.table(spark, d, "part").select("p_partkey", rules.data_kind(F.col("p_type")).alias("kind"), rules.data_glyph(F.col("p_type")).alias("glyph"))
+
+
+@query("""WITH e AS (SELECT 'T::' || (p_partkey % 50) AS source, 'C::' || p_partkey AS target, 'contains' AS kind FROM part UNION ALL SELECT 'C::' || p_partkey, 'C::' || (p_partkey + 50), 'column' FROM part WHERE p_partkey % 3 = 0)
+SELECT target AS node_id FROM (SELECT target, min(source) AS source FROM e WHERE kind = 'contains' GROUP BY target) WHERE source = 'T::7'""")
+def container_members(spark, d):
+    n = F.col("p_partkey")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    part = star.table(spark, d, "part")
+    boxes = part.select(text("T::", n % 50).alias("source"), text("C::", n).alias("target"), F.lit("contains").alias("kind"))
+    return graph.members(boxes.unionByName(part.where("p_partkey % 3 = 0").select(text("C::", n).alias("source"), text("C::", n + 50).alias("target"), F.lit("column").alias("kind"))), "T::7")
