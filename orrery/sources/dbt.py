@@ -95,3 +95,36 @@ def resolved_refs(sql: Column, refs: Column, sources: Column) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(source), 1).alias("a"), F.regexp_extract_all(text, F.lit(source), 2).alias("b"))
     text = F.aggregate(pairs, F.regexp_replace(text, source, "\x01$1.$2\x01"), lambda t, x: F.replace(t, F.concat(F.lit("\x01"), x["a"], F.lit("."), x["b"], F.lit("\x01")), F.coalesce(sources[F.concat_ws(".", x["a"], x["b"])], F.lit("{{"))))
     return F.when(~text.contains("{{") & ~text.contains("{%"), text)
+
+
+def with_raw_sql(rows: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """nodes() with raw_code from the project's own file (path, content below root) where there is one, else from the manifest."""
+    own = files.select(F.replace("path", F.lit(f"{root.rstrip('/')}/"), F.lit("")).alias("original_file_path"), F.col("content").alias("_file"))
+    joined = rows.join(own, "original_file_path", "left")
+    return joined.withColumn("raw_code", F.coalesce(blank_to_null(F.col("_file")), blank_to_null(F.col("raw_code")), F.col("raw_sql"))).drop("_file")
+
+
+def schema_blocks(files: DataFrame) -> DataFrame:
+    """(path, kind, name, properties_yaml): each model's, seed's and source's own block of the property files, written anew as YAML. Files that are no YAML give none.
+
+    YAML has no reader in Spark; files are parsed in Arrow batches, each by itself.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        import yaml
+
+        for b in batches:
+            out: list[tuple] = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    data = yaml.safe_load(content or "")
+                except yaml.YAMLError:
+                    continue
+                for kind in ("models", "seeds", "snapshots", "sources") if isinstance(data, dict) else ():
+                    for block in data.get(kind) or []:
+                        if isinstance(block, dict) and block.get("name"):
+                            out.append((path, kind, str(block["name"]), yaml.safe_dump(block, sort_keys=False, allow_unicode=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(4)], names=["path", "kind", "name", "properties_yaml"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, name string, properties_yaml string")

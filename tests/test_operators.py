@@ -230,3 +230,27 @@ def test_groups_and_catalog(spark):
     assert catalog.disambiguated(named, "sales")[0] == "MANY" and catalog.disambiguated(named, "none")[0] == "NONE"
     assert catalog.markdown(named.orderBy("item_id"), 1).endswith("| 1 | Sales | PB_TABLE |")
     assert ("a.b", "int") in catalog.flat_schema(spark.createDataFrame([], "a struct<b: int>"))
+
+
+def test_activity(spark):
+    from orrery.operators import activity
+
+    runs = spark.createDataFrame([(1, "s", "failed", "2026-04-30 12:00:00"), (2, "s", "success", "2026-05-01 09:00:00"), (3, "t", "queued", None)], "id int, source_id string, state string, at string")
+    runs = runs.withColumn("ended_at", F.col("at").cast("timestamp")).withColumn("started_at", F.col("ended_at"))
+    got = activity.queue_counters(runs, now()).first()
+    assert (got.queued, got.success, got.failed, got.success_last_day, got.failed_last_day) == (1, 1, 1, 1, 1)
+    assert rows(activity.run_status(runs), "source_id", "state", "failed") == [("s", "success", 1), ("t", None, 0)] or rows(activity.run_status(runs), "source_id", "failed") == [("s", 1), ("t", 0)]
+    left = spark.createDataFrame([(" a", None, 1), ("b", 5, 2)], "k string, v int, w int")
+    assert rows(activity.filled(left, spark.createDataFrame([("a ", 7), ("b", 9)], "k string, v int"), ["k"], ["v"])) == [(" a", 7, 1), ("b", 5, 2)]
+    calls = spark.createDataFrame([("x", False, 1.0), ("x", True, 3.0)], "tool string, is_error boolean, seconds double")
+    assert rows(activity.tool_calls(calls)) == [("x", 2, 1, 2.0), (None, 2, 1, 2.0)] or rows(activity.tool_calls(calls)) == sorted([(None, 2, 1, 2.0), ("x", 2, 1, 2.0)], key=repr)
+
+
+def test_stream_rollup(spark, tmp_path):
+    from orrery.streaming import usage as stream
+
+    data = [("2026-05-01 10:00:00", "A", "u"), ("2026-05-01 11:00:00", "A", "v"), ("2026-05-09 11:00:00", "B", "v")]
+    spark.createDataFrame(data, "ts string, report_name string, user_email string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"file://{tmp_path}/in")
+    events = spark.readStream.schema("ts timestamp, report_name string, user_email string").parquet(f"file://{tmp_path}/in")
+    stream.keep(stream.daily_views(events), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(120)
+    assert rows(spark.read.parquet(f"file://{tmp_path}/out"), "report_name", "views", "users") == [("A", 2, 2)]

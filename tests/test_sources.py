@@ -193,3 +193,12 @@ def test_uploads_staging_and_sinks(spark, tmp_path):
     registry.DESTINATIONS["parquet"](items, "items", {"path": f"file://{tmp_path}/out"})
     assert spark.read.parquet(f"file://{tmp_path}/out/items").count() == 2
     assert files.zipped([str(tmp_path)])[:2] == b"PK"
+
+
+def test_schema_blocks_and_raw_sql(spark):
+    text = "models:\n  - name: stg\n    columns:\n      - name: id\n  - name: other\nsources:\n  - name: raw\n"
+    found = dbt.schema_blocks(spark.createDataFrame([("a.yml", text), ("bad.yml", "a: [")], "path string, content string"))
+    assert rows(found, "kind", "name") == [("models", "other"), ("models", "stg"), ("sources", "raw")]
+    assert found.where("name = 'stg'").first().properties_yaml == "name: stg\ncolumns:\n- name: id\n"
+    own = spark.createDataFrame([("m/a.sql", None, "old"), ("m/b.sql", "kept", None)], "original_file_path string, raw_code string, raw_sql string")
+    assert rows(dbt.with_raw_sql(own, spark.createDataFrame([("/p/m/a.sql", "select 1")], "path string, content string"), "/p"), "raw_code") == [("kept",), ("select 1",)]
