@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import documents, named, stored
+from orrery.llm.frames import documents, few, named, stored
 from orrery.llm.graphs import components
 from orrery.llm.packing import slices
 
@@ -26,7 +26,7 @@ HOT_SHINGLES = 1 << 18
 MOST_SMALL = 64
 #: A candidate pair costs as much as so many list entries.
 PAIR_COST = 2.0
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Up to so many ids are sent to every executor to pick their texts; above, texts and ids are shuffled.
 SENT_IDS = 200_000
 
@@ -81,7 +81,7 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
     for b in batches:
         row = 0
-        for part in slices(b.column(1)):
+        for part in slices(b.column(1), 1 << 20):
             for tokens in shingle_sets(part, width):
                 yield b, row, tokens
                 row += 1
@@ -152,9 +152,9 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
                 seen.add(sh)
                 held.append(tokens)
                 size += len(tokens)
-            if size > 3_000_000 or len(rows[0]) >= 100_000:
+            if size > 700_000 or len(rows[0]) >= 50_000:
                 yield from flush()
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
         yield from flush()
 
@@ -275,9 +275,9 @@ def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, pe
                 entry(_mixed(some[i] * _MULTIPLY[0] + some[j] * _MULTIPLY[1]), np.zeros(len(i), np.int64), sh, n)
             if n > small or 100 * n >= percent * (small + 1):
                 entry(tokens[:p], np.arange(min(p, n)), sh, n)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield from flush()
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
         yield from flush()
 
@@ -317,7 +317,7 @@ def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, pe
                     # A shingle's pair has a large set; a subset's pair has none.
                     is_subset = np.maximum(n[a], n[b]) <= small
                     found.append((sh[a], sh[b], n[a], n[b], place[a], place[b], np.where(is_subset, 1 << 40, 1)))
-                    if sum(len(x[0]) for x in found) > 4_000_000:
+                    if sum(len(x[0]) for x in found) > 1_000_000:
                         found[:] = [compact()]
         a, b, na, nb, pa_, pb, shared = compact()
         long = np.repeat(lengths > LONG_LIST, lengths)
@@ -402,7 +402,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = dict(map(tuple, classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1))).collect()))
     small = boundary(sizes, partners, percent)
 
-    listed = _listed(work, hot, max(1, parts // 2), small, width, percent)
+    listed = _listed(work, hot, parts, small, width, percent)
     entries = listed.where("kind = 1").select("key", "a", "na", "pa")
     in_long = entries.groupBy("a").agg(F.count(F.lit(1)).alias("h"))
     pairs = listed.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.sum("shared").alias("shared"))
@@ -419,8 +419,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     wanted = pairs.select(F.col("a").alias("sh")).unionByName(pairs.select(F.col("b").alias("sh"))).unionByName(entries.select(F.col("a").alias("sh"))).distinct()
     ids = stored(classes.join(wanted, "sh", "left_semi").select(F.col("least").alias("_wanted")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    sets = stored(work.join(ids, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").mapInArrow(_sets(width), "sh long, tokens array<long>"))
+    sets = stored(work.join(few(ids, SENT_IDS), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").mapInArrow(_sets(width), "sh long, tokens array<long>"))
 
     links = _links(pairs, sets, percent)
     labels = components(links)
