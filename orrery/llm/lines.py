@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import add_columns, documents, named, others
+from orrery.llm.frames import add_columns, documents, named, others, stored
 
 MIN_DOCS, MIN_CHARS = 5, 40
 
@@ -33,11 +33,11 @@ def drop_common_lines(
     are smaller than any id. Extra columns pass through; ones named as the results are replaced.
 
     Documents are exploded into the hashes of their distinct keys (texts stay behind); counts combine before
-    the shuffle, so a line that a third of all documents hold is no hot group there, and the join that finds its holders
-    is one that Spark splits when skewed. What each document must drop comes back as one short row for it.
+    the shuffle, so a line that a third of all documents hold is no hot group there. Common lines are written before
+    the join that finds their holders, which Spark can then split when skewed. What each document must drop comes back as one short row for it.
     """
     holders = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text")).mapInArrow(_hashes(min_chars), T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_hash", T.BinaryType())]))
-    common = holders.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    common = stored(holders.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs).select("_hash", "_keeper"))
     drops = (
         holders.join(common, "_hash")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
