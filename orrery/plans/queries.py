@@ -556,3 +556,64 @@ def container_members(spark, d):
     part = star.table(spark, d, "part")
     boxes = part.select(text("T::", n % 50).alias("source"), text("C::", n).alias("target"), F.lit("contains").alias("kind"))
     return graph.members(boxes.unionByName(part.where("p_partkey % 3 = 0").select(text("C::", n).alias("source"), text("C::", n + 50).alias("target"), F.lit("column").alias("kind"))), "T::7")
+
+
+# Reductions, fills and staging
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def keep_last(spark, d):
+    return groups.keep_last(star.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_runs(spark, d):
+    runs = star.table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("started_at"), "o_orderstatus", "o_orderkey")
+    return load.latest(runs, "o_custkey").select("o_custkey", F.col("started_at.o_orderdate").alias("o_orderdate"), "o_orderstatus", "o_orderkey")
+
+
+@query("""WITH l AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS size FROM part), r AS (SELECT p_brand, max(p_size) AS size FROM part GROUP BY p_brand)
+SELECT p_partkey, l.p_brand, coalesce(l.size, r.size) AS size FROM l LEFT JOIN r USING (p_brand)""")
+def stat_fill(spark, d):
+    from orrery.operators import activity
+
+    part = star.table(spark, d, "part")
+    left = part.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("size"))
+    return activity.filled(left, part.select(F.concat(F.col("p_brand"), F.lit(" ")).alias("p_brand"), F.col("p_size").alias("size")), ["p_brand"], ["size"])
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS item_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS item_name, CAST(round(c_acctbal) AS INTEGER) AS connected_reports, c_custkey % 2 = 0 AS is_unused FROM customer""")
+def typed_staging(spark, d):
+    from pyspark.sql import types as T
+
+    n = F.col("c_custkey")
+    staged = star.table(spark, d, "customer").select(n.cast("string").alias("item_id"), F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("c_name"))).alias("item_name"), F.concat(F.lit(" "), F.col("c_acctbal").cast("decimal(20,4)").cast("string")).alias("connected_reports"), F.when(n % 2 == 0, "T").otherwise("no").alias("is_unused"))
+    schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_name", T.StringType()), T.StructField("connected_reports", T.IntegerType()), T.StructField("is_unused", T.BooleanType())])
+    return load.typed(staged, schema)
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, p_partkey % 5 AS owner FROM part), p AS (SELECT c_custkey AS id, c_name AS name FROM customer)
+SELECT CAST(g.id AS VARCHAR) AS group_pk, 'g' || g.id AS group_id, p.name AS owner FROM g LEFT JOIN p ON p.id = g.owner""")
+def governance_export(spark, d):
+    people = star.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    none = spark.createDataFrame([], "item_group_id long, item_name string, service string, item_type string")
+    return governance.exported(_groups(spark, d), none, people, people.limit(0), people.limit(0)).select("group_pk", "group_id", "owner")
+
+
+@query(f"""WITH {star.NODES_SQL}, old AS (SELECT * FROM nodes WHERE "group" <> 'PB_REPORT'), new AS (SELECT node_id, upper(name) AS name, "group" FROM nodes WHERE "group" IN ('PB_REPORT', 'PB_MEASURE'))
+SELECT coalesce(n.node_id, o.node_id) AS node_id, coalesce(n.name, o.name) AS name, coalesce(n."group", o."group") AS "group" FROM old o FULL JOIN new n ON n.node_id = o.node_id""")
+def graph_merge(spark, d):
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d).withColumn("kind", F.lit("model"))
+    new = nodes.where("group IN ('PB_REPORT', 'PB_MEASURE')").withColumn("name", F.upper("name"))
+    return graph.merged(nodes.where("group <> 'PB_REPORT'"), edges, new, edges)[0]
+
+
+@query(f"""WITH {star.MEASURES_SQL} SELECT workspace_name, dataset_name, count(DISTINCT item_name) AS names, count(DISTINCT table_name) AS tables FROM measures GROUP BY ALL""")
+def workspace_datasets(spark, d):
+    return star.measures(spark, d).groupBy("workspace_name", "dataset_name").agg(F.countDistinct("item_name").alias("names"), F.countDistinct("table_name").alias("tables"))
+
+
+@query("""WITH t AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) SELECT host, count(*) AS pages FROM t GROUP BY host""")
+def pages_by_host(spark, d):
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return star.table(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
