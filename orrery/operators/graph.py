@@ -73,9 +73,9 @@ def shared_names(nodes: DataFrame, most: int = 10) -> DataFrame:
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
-    """(at, next) pairs along the edges (down), against them (up) or both."""
+    """(at, next) pairs along the edges (down), against them (up) or both; edges that repeat give pairs that repeat."""
     down, up = edges.select(F.col("source").alias("at"), F.col("target").alias("next")), edges.select(F.col("target").alias("at"), F.col("source").alias("next"))
-    return {"down": down, "up": up, "both": down.unionByName(up)}[direction].distinct()
+    return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
 
 
 def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", depth: int = REACH_DEPTH, most: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def shortest_paths(edges: DataFrame, source: str, target: str, direction: str =
     hops = found["distance"]
     steps = directed(edges, direction)
     steps = stored(
-        steps.join(near.select(F.col("node_id").alias("at"), F.col("distance").alias("a")), "at").join(near.select(F.col("node_id").alias("next"), F.col("distance").alias("b")), "next").where("b = a + 1").select("at", "next", "a")
+        steps.join(near.select(F.col("node_id").alias("at"), F.col("distance").alias("a")), "at").join(near.select(F.col("node_id").alias("next"), F.col("distance").alias("b")), "next").where("b = a + 1").select("at", "next", "a").distinct()
     )
     on_path = level = stored(one(target))
     for d in range(hops - 1, -1, -1):
