@@ -25,9 +25,9 @@ BUCKETS = 65521
 #: Words of up to so many pieces merge one pair a step; longer ones all pairs of the lowest rank.
 SHORT = 32
 #: Text of the documents whose distinct words are encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Words that are encoded once for all blocks; about 24 bytes each in memory.
-MOST_SENT = 1_500_000
+MOST_SENT = 1_000_000
 
 
 @lru_cache(2)
@@ -174,7 +174,7 @@ def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def frequent_words(docs: DataFrame, path: str, pattern: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (in ascending order, and their further bits), bounds and ids of the most frequent pre-tokens, at most `most` and each found twice or more.
 
-    Counted over all documents; those of the least count that would exceed the bound are all left out.
+    Counted over all documents; counts fall into levels of a sixteenth of a doubling, and the level that would exceed the bound is left out with those below.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,18 +183,22 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, most: int) -> tuple
             yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)), pa.int64())], names=["word", "n"])
 
     counted = stored(docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
-    least, left = 2, most
-    for n, k in counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1))).orderBy(F.desc("n")).collect():
+    level = F.floor(16 * F.log2(F.col("n").cast("double")))
+    least, left = 0, most
+    for n, k in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1))).orderBy(F.desc("level")).collect():
         left -= k
         if left < 0:
             least = n + 1
             break
-    chosen = counted.where((F.col("n") >= least) if least <= 1000 else F.lit(False))
+    chosen = counted.where(level >= least)
 
     raw = F.transform(F.regexp_extract_all(F.hex(F.col("word").cast("binary")), F.lit("(..)")), lambda x: F.conv(x, 16, 10).cast("int"))
-    found = chosen.select("word", encoded(raw, ranks(path)).alias("ids")).toArrow().combine_chunks()
-    h, g = _hashes(found["word"])
-    lists = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    found = chosen.select("word", encoded(raw, ranks(path)).alias("ids")).toArrow()
+    # Some words at a time as Python strings.
+    parts = [_hashes(b.column(0)) for b in found.select(["word"]).to_batches(max_chunksize=20_000)]
+    h, g = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, kind in ((0, np.uint64), (1, np.uint32)))
+    lists = pa.concat_arrays(found["ids"].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    del found, parts
     order = np.argsort(h, kind="stable")
     lists = lists.take(pa.array(order))
     ids = lists.values.to_numpy(zero_copy_only=False)
@@ -239,14 +243,17 @@ def encode(
     kept = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
     blocks = T.StructType([T.StructField("rows", T.ArrayType(kept)), *(T.StructField(n, T.BinaryType()) for n in ("sizes", "numbers", "known")), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))])
     work = docs.select(named(text_col).alias("_text"), *(named(c).alias(f"_k{i}") for i, c in enumerate(keep)))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_words(work, path, pattern, MOST_SENT))
+    found = frequent_words(work, path, pattern, MOST_SENT)
+    context = docs.sparkSession.sparkContext
+    sent_words, sent_lists = context.broadcast(found[:2]), context.broadcast(found[2:])
+    del found
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(blocks)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        hashes, more = sent.value[:2]
+        hashes, more = sent_words.value
         for texts, columns in _blocks(batches):
             words, numbers, sizes = numbered(texts, pattern)
             own, rest_of = _hashes(words)
@@ -266,18 +273,21 @@ def encode(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(out)
-        sent_bounds, sent_ids = sent.value[2:]
+        sent_bounds, sent_ids = sent_lists.value
         for b in batches:
             for k in range(b.num_rows):
                 rows, own = b.column(0)[k].values, b.column(4)[k].values
                 sizes, numbers, known = (np.frombuffer(b.column(i)[k].as_py(), kind).astype(np.int64) for i, kind in ((1, "<u4"), (2, "<u4"), (3, "<i4")))
-                # All words' ids in turn: first those that were sent, then the block's own.
+                # The block's words' ids in turn: first of those that were sent, then of the others.
                 own_bounds = own.offsets.to_numpy().astype(np.int64)
                 first, length = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
                 is_sent = known >= 0
-                first[is_sent], length[is_sent] = sent_bounds[known[is_sent]], np.diff(sent_bounds)[known[is_sent]]
-                first[~is_sent], length[~is_sent] = own_bounds[:-1] + len(sent_ids), np.diff(own_bounds)
-                flat = np.concatenate([sent_ids, own.values.to_numpy(zero_copy_only=False)])
+                begin, size = sent_bounds[known[is_sent]].astype(np.int64), (sent_bounds[known[is_sent] + 1] - sent_bounds[known[is_sent]]).astype(np.int64)
+                stop = np.cumsum(size)
+                taken = sent_ids[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+                first[is_sent], length[is_sent] = stop - size, size
+                first[~is_sent], length[~is_sent] = own_bounds[:-1] + len(taken), np.diff(own_bounds)
+                flat = np.concatenate([taken.astype(np.int32), own.values.to_numpy(zero_copy_only=False)])
                 ends = np.cumsum(sizes)
                 # Some documents at a time, so that few ids are in memory.
                 a = 0
