@@ -51,6 +51,18 @@ SENTENCES = {
     "all-rights": "all rights reserved.",
 }
 
+# SPDX identifiers that tags name; old forms by the identifier that replaces them. Other tags are spdx-tag, which no rule takes.
+_SPDX = {
+    x.lower(): x
+    for x in """0BSD AFL-3.0 AGPL-1.0-only AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause
+    BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0
+    CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later
+    GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later HPND ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later
+    libpng-2.0 LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0
+    Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+} | {f"{n}{old}": f"{n}{new}".upper().replace("ONLY", "only").replace("OR-LATER", "or-later") for n in ("gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0") for old, new in (("", "-only"), ("+", "-or-later"))}
+SENTENCES = {f"spdx-{x}": f"spdx-license-identifier: {x}" for x in _SPDX} | SENTENCES
+
 # Ordered rules, each a sequence of sentences that stand for one license. Earlier rules take their sentences first.
 RULES = [
     ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse"),
@@ -81,20 +93,33 @@ RULES = [
     ("CC-BY-NC-SA-4.0", "cc-by-nc-sa"),
     ("CC-BY-ND-4.0", "cc-by-nd"),
     ("CC0-1.0", "cc0"),
+    *((license, f"spdx-{x}") for x, license in _SPDX.items()),
 ]
 
 #: A text without any of these (in any case) has no known sentence, and is not cut to sentences.
 HINTS = ("licens", "permission", "redistribut", "warrant", "public domain", "all rights reserved", "gnu general public", "no event shall", "mpl was not", "creative commons")
 _HINT = "|".join(h.replace(" ", r"[\s*#/;-]+") for h in HINTS)
 _PLAIN = str.maketrans({"(": r"\(", ")": r"\)", "+": r"\+", "*": r"\*", ".": r"\."})
-#: What normalising replaces, in order.
+_TAG = "spdx-license-identifier:"
+#: A tag's first license as a sentence of its own; and what joins the next one to it, which becomes a tag.
+_TAGGED = (_TAG[:-1] + " ?:[ \x02]?[(\"']*([a-z0-9.+-]*[a-z0-9+])", "\x01" + _TAG + "\x02{1}\x01")
+_JOINED = "(\x01" + _TAG + r"\x02[^\x01]*\x01+)(?: with [a-z0-9.+-]+)?\)* (?:and|or) \(*"
+#: What normalising replaces, in order. \x02 is a blank inside a known sentence, where no sentence ends.
 _NORMAL = [
     ("[“”]|``|''", '"'),
     (r"(^|\n)[ \t]*(?:/\*+|\*+/?|#+|//+|--|;+|rem )[ \t]*", "{1}"),
     (r"[ \t\r\f\x0B]+", " "),
     (r" ?\n ?", "\n"),
     (r"\n\n+", "\x01"),
+    (r"free[ \n]software([;:])[ \n]you[ \n]can[ \n]redistribute", "free software{1}\x02you can redistribute"),
+    (r"free[ \n]software[ \n]foundation;[ \n]either[ \n]version", "free software foundation;\x02either version"),
+    (r"without[ \n]any[ \n]warranty;[ \n]without[ \n]even", "without any warranty;\x02without even"),
+    (r"mozilla[ \n]public[ \n]license,[ \n]v\.[ \n]2\.0", "mozilla public license, v.\x022.0"),
+    _TAGGED,
+    *[(_JOINED, "{1}" + _TAG + "\x02"), _TAGGED] * 4,
+    (_JOINED, "{1}" + _TAG + "\x02more\x01"),
     (r"([.!?:;])[ \n]", "{1}\x01"),
+    ("\x02", " "),
 ]
 
 
@@ -109,7 +134,8 @@ def sentences(text: Column) -> Column:
     """array<string>: a text's sentences, normalised.
 
     Lower case, straight quotation marks, comment signs at the beginnings of lines and runs of blanks gone; a sentence ends after
-    . ! ? : or ; before white space, or where the text changes paragraph. Other line breaks stay as such.
+    . ! ? : or ; before white space, or where the text changes paragraph. Other line breaks stay as such. Known sentences that hold such a
+    cut stay whole, and each license of an SPDX tag (after five, the rest at once) is a sentence.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     for pattern, to in _NORMAL:
@@ -119,9 +145,9 @@ def sentences(text: Column) -> Column:
 
 def sentence_id(sentence: Column) -> Column:
     """The known sentence's identifier, or null."""
-    found = F.lit(None).cast("string")
-    for name in reversed(SENTENCES):
-        found = F.when(sentence.rlike(_pattern(name)), F.lit(name)).otherwise(found)
+    found = F
+    for name in SENTENCES:
+        found = found.when(sentence.rlike(_pattern(name)), F.lit(name))
     return found
 
 

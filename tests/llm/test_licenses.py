@@ -1,6 +1,7 @@
 import re
 
 from oracle import same
+from pyspark.sql import functions as F
 
 from orrery.llm import licenses
 
@@ -51,3 +52,47 @@ def test_every_sentence_has_a_hint_and_every_rule_known_sentences():
 
 def test_sql(spark, sf_dir):
     same(spark, licenses.op9_license_scan, licenses.OP9_SQL, sf_dir)
+
+
+GPL = """/* This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [
+    (GPL.format(";", ";", 2), "GPL-2.0-or-later", ""), (GPL.format(":", ",", 3), "GPL-3.0-or-later", ""), (MPL, "MPL-2.0", ""), (MPL.split(" If")[0], "MPL-2.0", ""),
+    ("// SPDX-License-Identifier: MIT\nint main() {}", "MIT", ""), ("<!-- SPDX-License-Identifier: GPL-2.0+ -->", "GPL-2.0-or-later", ""), ("x\n# SPDX-License-Identifier: Apache-2.0.", "Apache-2.0", ""),
+    ("/* SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) OR MIT */", "GPL-2.0-only,MIT", ""), ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND (Zlib OR ISC)\nthen", "Apache-2.0,ISC,MIT,Zlib", ""),
+    ("SPDX-License-Identifier: MIT OR ISC OR Zlib OR X11 OR W3C OR Vim OR HPND", "ISC,MIT,W3C,X11,Zlib", "spdx-tag"), ("SPDX-License-Identifier: LicenseRef-Own", "", "spdx-tag"),
+]
+
+
+def test_notices_that_hold_a_cut(spark):
+    for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(NOTICES)], "i int, text string")).collect():
+        assert (r.licenses, r.unmatched) == NOTICES[r.i][1:], r
+
+
+def test_every_sentence_is_found_by_its_own_text(spark):
+    pick = lambda t: re.sub(r"\[\^\.\]\{1,80\}", "acme", re.sub(r"\[a-z0-9\.\+-\]\+", "licenseref-x", t))
+
+    def sample(name):
+        text = pick(licenses.SENTENCES[name])
+        if not re.search(r"\(\?|\\|\[", licenses.SENTENCES[name]):
+            return text
+        text = text.replace("\\(", "<").replace("\\)", ">")
+        while (new := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)) != text:
+            text = new
+        text = text.replace("<", "(").replace(">", ")")
+        return re.sub(r"\\(.)", r"\1", text.replace("https?", "https").replace("[.;]", ".").replace("\\.?", "."))
+
+    docs = spark.createDataFrame([(n, f"Some words before.\n\n{sample(n)} Some words after.") for n in licenses.SENTENCES], "name string, text string")
+    found = docs.select("name", "text", F.array_compact(F.transform(licenses.sentences(F.col("text")), licenses.sentence_id)).alias("ids")).collect()
+    assert [(r.name, r.ids, r.text) for r in found if r.ids != [r.name]] == []
