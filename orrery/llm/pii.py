@@ -87,8 +87,6 @@ _LOOKALIKES = {
     "—": "-", "−": "-", "﹣": "-", "﹫": "@", " ": " ", " ": " ", " ": " ", " ": " ",
 }
 _INVISIBLE = "­​‌‍⁠﻿"
-#: Characters that the first transducer changes, apart from digits of other scripts. Dashes and spaces alone do not set it off.
-_ODD = re.compile("[" + "".join(c for c, to in _LOOKALIKES.items() if to not in "- ") + "０-９Ａ-Ｚａ-ｚ＠．＋＿％" + _INVISIBLE + "٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 # Digits as words in English, German, French and Spanish.
 _SPELLED = {
@@ -102,9 +100,6 @@ _JOIN = r"(?:[\x20,-]{1,2})"
 _NUMBER = re.compile(rf"(?i)(?<!\w)(?:plus{_JOIN})?{_ANY}(?:{_JOIN}?(?<!\w\w\w\w\w\w\w\w){_ANY}){{6,}}(?!\w)")
 _ADDRESS = re.compile(rf"(?i)(?<!\w){_ANY}(?:{_JOIN}{_ANY}){{0,2}}(?:\x20(?:dot|point|punkt|punto)\x20{_ANY}(?:{_JOIN}{_ANY}){{0,2}}){{3}}(?!\w)")
 _ITEM = re.compile(r"(?i)[^\W\d_]+|[0-9]")
-#: What a text with spelled digits has somewhere; the cheap test before the patterns.
-_HINTS = ("zero", "null", "two", "three", "four", "five", "seven", "eight", "nine", "zwei", "drei", "vier", "deux", "trois", "quatre", "cinq", "dos", "tres", "cuatro", "cinco", "plus")
-
 _AT = r"(?:at|ät|arroba|arobase|\(a\)|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
 _OPEN, _CLOSE = r"[\(\[\{<]\x20?", r"\x20?[\)\]\}>]"
@@ -116,7 +111,9 @@ _TLDS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|eu|uk|us|de|fr
 _SAID = re.compile(
     rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9_%+-]+)*(?P<at>\x20at\x20|\x20@\x20|_at_)[A-Za-z0-9-]+(?:(?:\x20dot\x20|_dot_|\x20\.\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|_dot_|\x20\.\x20)(?:{_TLDS})(?![\w-])"
 )
-_BRACKET = re.compile(rf"[\(\[\{{<]\x20?(?:{_AT}|{_DOT})\x20?[\)\]\}}>]")
+#: One of these is in every match of _SAID; of _ADDRESS. In lower case, where (?i) takes i with a dot and long s as well.
+_SAID_HINTS = (" at ", " @ ", "_at_")
+_DOT_HINTS = (" dot ", " point ", " punkt ", " punto ")
 _SAID_DOT = re.compile(r"(?i)\x20dot\x20|_dot_|\x20\.\x20")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\x20@\x20?|\x20?@\x20)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)")
 
@@ -176,16 +173,20 @@ def _said(m: re.Match) -> str:
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer may change the text; false for nearly all, and cheap."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    if "@ " in low or " @" in low or " dot " in low or "_dot_" in low:
-        return True
-    if ("(" in low or "[" in low or "{" in low or "<" in low) and _BRACKET.search(low):
-        return True
-    hints = [h for h in _HINTS if h in low]
-    return bool(hints) and re.search(rf"(?<!\w)(?:{'|'.join(hints)})[\x20,-]", low) is not None and (_NUMBER.search(text) or _ADDRESS.search(text)) is not None
+    """Whether deobfuscation may add a span: a transducer matches the text without look-alikes, or those alone hid a span.
+
+    Each pattern is tried only where the text has what all its matches have.
+    """
+    plain = text if text.isascii() else _CHANGED.sub(_plain, text)
+    low = plain.lower().replace("i̇", "i").replace("ſ", "s")
+    return (
+        any(w in low for w in _SAID_HINTS) and _SAID.search(plain) is not None
+        or any(c in low for c in "([{<") and (_BRACKET_AT.search(plain) or _BRACKET_DOT.search(plain)) is not None
+        or (" @" in low or "@ " in low) and _SPACED_AT.search(plain) is not None
+        or any(w in low for w in _DOT_HINTS) and _ADDRESS.search(plain) is not None
+        or sum(map(low.count, (*_WORDS, "plus"))) >= 3 and any(_spoken(m) != m[0] for m in _NUMBER.finditer(plain))
+        or plain != text and bool(detect(plain))
+    )
 
 
 def deobfuscated(text: str, base: list[Span]) -> list[Span]:

@@ -60,6 +60,29 @@ def test_personal_data(spark, sf_dir):
     assert pii.op4_personal_data(spark, sf_dir).count() == len(texts_of(spark, sf_dir))
 
 
+GATED = [
+    ("card 4111\u20131111\u20131111\u20131111", "card:5:24"), ("tel +49\u00a030\u00a01234567", "phone:4:18"), ("jane\u2011doe@example.org", "email:0:20"), ("jane\u00a0at\u00a0example\u00a0dot\u00a0org", "email:0:23"),
+    ("plus fünf sechs sieben acht neun eins eins neun acht", "phone:0:52"), ("plus one six one oh one six one six one", "phone:0:39"), ("plus neuf sept huit un un neuf sept huit un", "phone:0:43"), ("plus seis siete ocho nueve uno cero seis siete ocho", "phone:0:51"),
+    ("plus one1 2six 3one 4six 5six", "phone:0:29"), ("tel +৪৯ ৩০ ১২৩৪৫৬৭", "phone:4:18"),
+]
+
+
+def test_the_gate_lets_all_through_that_deobfuscation_finds():
+    import random
+
+    for text, span in GATED:
+        assert pii.disguised(text) and span in map(str, pii.deobfuscated(text, pii.detect(text))), (text, pii.deobfuscated(text, pii.detect(text)))
+    rng, missed = random.Random(1), []
+    parts = [*pii._WORDS, *pii._LOOKALIKES, *pii._INVISIBLE, *"0123456789+-., @_aſİKß٣४৪９．＠", " ", " ", " ", "dot", "punkt", "punto", "point", "at", "arroba", "(at)", "[dot]", "(a)", "plus", "jane", "example", "org", "de"]
+    for k in range(30000):
+        some = rng.sample(parts, 6) + list("0123 ")
+        text = "".join(rng.choice(some) + rng.choice(["", " ", sep]) for sep in [rng.choice(["", " ", "-", "\u2009"])] for _ in range(rng.randrange(30)))
+        text = rng.choice(["", "jane at ", "+49", "plus ", "1.2.", "4111 1111 "]) + rng.choice([text, text.upper(), " ".join(rng.choices(list(pii._WORDS), k=9))]) + rng.choice(["", " dot org", "@example.org", " 1111 1111", ".3.4"])
+        if not pii.disguised(text) and pii.deobfuscated(text, pii.detect(text)):
+            missed.append(text)
+    assert missed == []
+
+
 def test_plain_prose_gets_no_spans(spark):
     prose = ["See you at eight, or nine, or ten at the latest.", "One two three, and so on: four seasons.", "The table is at row 3, dot the i."]
     assert all(not r.spans for r in pii.find_personal_data(spark.createDataFrame([(t,) for t in prose], "text string")).collect())
