@@ -98,23 +98,48 @@ _ANY = "(?:" + "|".join(sorted(_WORDS, key=lambda w: (-len(w), w))) + "|[0-9])"
 _JOIN = r"(?:[\x20,-]{1,2})"
 #: At least seven digits in words or figures, three or more of them words, are a number; four groups with dots between are an address.
 _NUMBER = re.compile(rf"(?i)(?<!\w)(?:plus{_JOIN})?{_ANY}(?:{_JOIN}?(?<!\w\w\w\w\w\w\w\w){_ANY}){{6,}}(?!\w)")
-_ADDRESS = re.compile(rf"(?i)(?<!\w){_ANY}(?:{_JOIN}{_ANY}){{0,2}}(?:\x20(?:dot|point|punkt|punto)\x20{_ANY}(?:{_JOIN}{_ANY}){{0,2}}){{3}}(?!\w)")
+_GROUP = rf"(?:[0-9]{{1,3}}(?![0-9])|{_ANY}(?:{_JOIN}{_ANY}){{0,2}})"
+_ADDRESS = re.compile(rf"(?i)(?<!\w){_GROUP}(?:\x20(?:dot|point|punkt|punto)\x20{_GROUP}){{3}}(?!\w)")
 _ITEM = re.compile(r"(?i)[^\W\d_]+|[0-9]")
 _AT = r"(?:at|ät|arroba|arobase|\(a\)|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
 _OPEN, _CLOSE = r"[\(\[\{<]\x20?", r"\x20?[\)\]\}>]"
-_BRACKET_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20?{_OPEN}{_AT}{_CLOSE}\x20?(?=[A-Za-z0-9])")
 _BRACKET_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20?{_OPEN}{_DOT}{_CLOSE}\x20?(?=[A-Za-z0-9])")
-# Last labels that an address in words must have, so that prose with "at" and "dot" stays.
-_TLDS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|eu|uk|us|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|fi|dk|cz|ie|ru|cn|jp|in|br|mx|ar|ca|au"
-#: name at host dot tld, all in words; both signs must be disguised or spaced.
+# Last labels that an address in words must have, so that prose with "at" and "dot" stays: those of countries, and generic ones.
+_COUNTRIES = (
+    "ac|ad|ae|af|ag|ai|al|am|ao|aq|ar|as|at|au|aw|ax|az|ba|bb|bd|be|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bw|by|bz|ca|cc|cd|cf|cg|ch|ci|ck|cl|cm|cn|co|cr|cu|cv|cw|cx|cy|cz|"
+    "de|dj|dk|dm|do|dz|ec|ee|eg|er|es|et|eu|fi|fj|fk|fm|fo|fr|ga|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|gy|hk|hm|hn|hr|ht|hu|id|ie|il|im|in|io|iq|ir|is|it|je|jm|jo|jp|"
+    "ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|ma|mc|md|me|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|mx|my|mz|na|nc|ne|nf|ng|ni|nl|no|np|nr|nu|nz|"
+    "om|pa|pe|pf|pg|ph|pk|pl|pm|pn|pr|ps|pt|pw|py|qa|re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|sh|si|sk|sl|sm|sn|so|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tv|tw|tz|"
+    "ua|ug|uk|us|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw"
+)
+_GENERIC = "com|org|net|edu|gov|mil|int|info|biz|app|dev"
+_NEW_GENERIC = (
+    "academy|aero|agency|art|asia|bank|bar|berlin|bike|bio|blog|build|business|cafe|camp|capital|care|cat|center|church|city|click|clinic|cloud|club|codes|coffee|college|community|company|"
+    "consulting|cool|coop|day|design|digital|direct|download|earth|education|email|energy|engineer|engineering|events|expert|family|farm|finance|fit|foundation|fun|fund|fyi|gallery|games|global|"
+    "gmbh|group|guide|guru|hamburg|health|host|hotel|house|icu|institute|international|jobs|koeln|law|legal|life|link|live|lol|london|ltd|market|marketing|media|mobi|monster|museum|name|network|"
+    "news|ngo|nyc|one|ong|online|page|paris|partners|party|photo|photography|photos|pics|plus|post|press|pro|properties|pub|review|reviews|rocks|run|school|science|services|shop|show|site|social|"
+    "software|solutions|space|store|studio|support|systems|team|tech|technology|tel|tips|today|tokyo|tools|top|tours|travel|university|vip|website|wien|wiki|win|work|works|world|wtf|xxx|xyz|zone"
+)
+_TLDS = f"(?:{_COUNTRIES}|{_GENERIC}|{_NEW_GENERIC})(?![\\w-])"
+#: (a) counts its letter in prose more often than it is a sign: a whole host must follow.
+_HOST_NEXT = rf"(?=[A-Za-z0-9-]+(?:(?:\.|\x20?{_OPEN}{_DOT}{_CLOSE}\x20?)[A-Za-z0-9-]+)*(?:\.|\x20?{_OPEN}{_DOT}{_CLOSE}\x20?){_TLDS})"
+_BRACKET_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20?(?:{_OPEN}{_AT}{_CLOSE}\x20?(?=[A-Za-z0-9])|\(a\)\x20?{_HOST_NEXT})")
+_SPOKEN_DOT = r"(?:\x20(?:dot|punkt|punto|point|\.)\x20|_dot_)"
+#: name at host dot tld, all in words; both signs must be disguised or spaced. Signs that are no English word take any last label after a
+#: spoken dot. After "at", where "point" and a lone dot are prose too ("at this point in", "at noon . so we"), words of prose are no last labels.
 _SAID = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9_%+-]+)*(?P<at>\x20at\x20|\x20@\x20|_at_)[A-Za-z0-9-]+(?:(?:\x20dot\x20|_dot_|\x20\.\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|_dot_|\x20\.\x20)(?:{_TLDS})(?![\w-])"
+    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\x20(?:dot|punkt|punto|point)\x20|\.)[A-Za-z0-9_%+-]+)*(?:(?P<at>\x20at\x20)|(?P<sign>\x20(?:@|ät|arroba|arobase)\x20|_at_))"
+    rf"[A-Za-z0-9-]+(?:(?:{_SPOKEN_DOT}|\.)[A-Za-z0-9-]+)*"
+    rf"(?:(?:\x20(?:dot|punkt|punto)\x20|_dot_){_TLDS}"
+    rf"|\x20point\x20(?!(?:am|as|at|be|by|do|in|is|it|me|my|no|so|to|us)\b)(?:{_COUNTRIES}|{_GENERIC})(?![\w-])"
+    rf"|\x20\.\x20(?!(?:am|as|by|do|my|so|to)\b)(?:{_COUNTRIES}|{_GENERIC})(?![\w-])"
+    r"|(?(sign)(?:\x20(?:dot|punkt|punto|point)\x20|_dot_)[A-Za-z]{2,}(?![\w-])|(?!)))"
 )
 #: One of these is in every match of _SAID; of _ADDRESS. In lower case, where (?i) takes i with a dot and long s as well.
-_SAID_HINTS = (" at ", " @ ", "_at_")
+_SAID_HINTS = (" at ", " @ ", "_at_", " ät ", " arroba ", " arobase ")
 _DOT_HINTS = (" dot ", " point ", " punkt ", " punto ")
-_SAID_DOT = re.compile(r"(?i)\x20dot\x20|_dot_|\x20\.\x20")
+_SAID_DOT = re.compile(rf"(?i){_SPOKEN_DOT}")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\x20@\x20?|\x20?@\x20)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)")
 
 
@@ -167,7 +192,7 @@ def _address(m: re.Match) -> str:
 
 
 def _said(m: re.Match) -> str:
-    a, b = m.span("at")
+    a, b = m.span(m.lastgroup)
     a, b = a - m.start(), b - m.start()
     return _SAID_DOT.sub(".", m[0][:a]) + "@" + _SAID_DOT.sub(".", m[0][b:])
 

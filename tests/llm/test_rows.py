@@ -83,6 +83,23 @@ def test_the_gate_lets_all_through_that_deobfuscation_finds():
     assert missed == []
 
 
+SAID = [
+    ("at 192 dot 168 dot 0 dot 17.", "ip:3:27"), ("1 9 2 punto 168 punto zero punto 1", "ip:0:34"), ("jane at example dot gr", "email:0:22"), ("jane at example dot co dot nz", "email:0:29"), ("jane at example dot xyz", "email:0:23"),
+    ("jana arroba ejemplo punto es", "email:0:28"), ("jean arobase exemple point fr", "email:0:29"), ("jana ät beispiel punkt de", "email:0:25"), ("jana arroba ejemplo punto madrid", "email:0:32"), ("name (a) host.org", "email:0:17"),
+    ("name(a)mail (dot) host (dot) kr", "email:0:31"), ("jean point dupont at exemple point fr", "email:0:37"), ("jane _at_ x, jane_at_example_dot_za", "email:13:35"),
+]
+PROSE = [
+    "Look at this point in time, at some point it ends, and at that point is all.", "We met at noon . so we went . by car .", "Either (a) U.S. law, (b) e.g. none, or (a) see file.txt holds.", "Look at polka dot dresses at 1 dot 2 dot 3.", "At this point people stay. We met at noon . life went on.",
+]
+
+
+def test_addresses_in_words(spark):
+    for text, span in SAID:
+        assert pii.disguised(text) and span in map(str, pii.deobfuscated(text, pii.detect(text))), (text, pii.deobfuscated(text, pii.detect(text)))
+    for text in PROSE:
+        assert pii.deobfuscated(text, pii.detect(text)) == [], text
+
+
 def test_plain_prose_gets_no_spans(spark):
     prose = ["See you at eight, or nine, or ten at the latest.", "One two three, and so on: four seasons.", "The table is at row 3, dot the i."]
     assert all(not r.spans for r in pii.find_personal_data(spark.createDataFrame([(t,) for t in prose], "text string")).collect())
