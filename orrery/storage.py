@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; on one machine, where it is unset, below a temporary folder."""
+    """A new folder's path below spark.checkpoint.dir; on one machine, where it is unset, below a temporary folder that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,7 +24,19 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once and read back: an iteration's lineage is cut, and nothing is lost with an executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that stored() returned, once nothing reads them any more; passes over others."""
+    for table in tables:
+        if (path := getattr(table, "_stored_at", None)) is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            del table._stored_at
 
 
 #: Rows that a side may have to be sent to every executor.
