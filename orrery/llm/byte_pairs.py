@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import documents, named, others, stored
-from orrery.llm.packing import slices
+from orrery.llm.frames import documents, drop, freed, named, others, slices, stored
 
 #: Lists that the rank map is dealt to, so that looking up a pair compares few keys.
 BUCKETS = 65521

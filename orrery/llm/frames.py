@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.storage import drop, few, shared_dir, stored
+
+__all__ = ["add_columns", "documents", "drop", "few", "freed", "named", "others", "shared_dir", "slices", "stored"]
+
+#: Text that a task holds as Python objects at a time.
+SLICE_BYTES = 2 << 20
+
 
 def named(name: str) -> Column:
     """The column of exactly this name, dots and backticks included."""
@@ -28,15 +35,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A string column in runs of rows of about `most` bytes, nulls as empty texts."""
+    import numpy as np
+
+    column = column.fill_null("")
+    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, end - at)
+        at = end
+
+
+def give_back() -> None:
+    """Returns memory that this process no longer uses: a worker lives on after its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def freed(run: Callable) -> Callable:
+    """run, a function of a task's Arrow batches, that gives its memory back when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     compute: Callable[..., list[list]],
 ) -> DataFrame:
-    """df with `fields` appended, computed batch by batch in Python from the columns `inputs`.
+    """df with `fields` appended, computed in Python from the columns `inputs`, the first of which is the text.
 
-    compute gets one list of Python values per input and returns one list per field. Columns of df that
+    compute gets one list of Python values per input, for rows of about SLICE_BYTES of text, and returns one list per field. Columns of df that
     carry a field's name are replaced; all others pass through untouched. No shuffle.
     """
     keep = others(df, *(f.name for f in fields))
@@ -49,36 +89,13 @@ def add_columns(
 
         types = [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
-            new = compute(*(b.column(i).to_pylist() for i in range(n_in)))
-            kept = [b.column(n_in + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(v, type=t) for v, t in zip(new, types, strict=True)], names=schema.names)
-
-    done = work.mapInArrow(run, schema)
+            at = 0
+            for part in slices(b.column(0)):
+                some = b.slice(at, len(part))
+                at += len(part)
+                new = compute(*(some.column(i).to_pylist() for i in range(n_in)))
+                kept = [some.column(n_in + i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(v, type=t) for v, t in zip(new, types, strict=True)], names=schema.names)
+
+    done = work.mapInArrow(freed(run), schema)
     return done.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(f.name) for f in fields))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none, as in tests on one machine, a temporary folder is set once and used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/orrery-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def few(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has `most` rows at most, else as it is, to be joined by a shuffle. df should be stored."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import documents, few, named, stored
+from orrery.llm.frames import documents, drop, few, freed, named, slices, stored
 from orrery.llm.graphs import components
-from orrery.llm.packing import slices
 
 WORDS, PERCENT = 5, 75
 #: A list of up to so many sets is read pair by pair; a longer one by its outliers (see `_across`).

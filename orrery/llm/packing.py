@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -14,15 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.frames import documents, named
+from orrery.llm.frames import documents, freed, named, slices
 
 WINDOW = 4096
 END_ID = 2
 #: Documents that are packed together on average; enough windows that one more or less is little padding.
 DOCS_PER_BLOCK = 1024
 #: Words a worker remembers; then it starts anew.
-REMEMBERED = 300_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 60_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -101,28 +99,12 @@ class WordIds:
             yield ids[a:b]
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    """One per worker process, so that tasks after the first start with its words."""
-    return WordIds(path)
-
-
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """A string column in runs of rows of about `most` bytes, nulls as empty texts."""
-    column = column.fill_null("")
-    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield column.slice(at, end - at)
-        at = end
-
-
 def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of PIECES: each document's ids and END_ID, cut every `window` ids. Null texts are empty: END_ID alone."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             row = 0
             for part in slices(b.column(1)):
@@ -138,19 +120,39 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
+def fewest_windows(sizes: list[int], capacity: int) -> int:
+    """Windows that are needed at least: of sizes above capacity / (k + 1), a window holds k."""
+    ordered = np.sort(np.asarray(sizes, np.int64))
+    over = lambda k: len(ordered) - int(np.searchsorted(ordered, capacity // (k + 1), "right"))
+    return max(1, -(-int(ordered.sum()) // capacity), *(-(-over(k) // k) for k in range(1, 9)))
+
+
 def differenced(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indices of sizes (each from 1 to capacity) in near-equal windows of at most capacity, by Karmarkar-Karp differencing.
 
     Every size starts as a partition with one loaded window. The two partitions of the widest spread are merged, the fullest windows of one
-    onto the emptiest of the other, until one is left. If a window then exceeds the capacity, it is done again with one window more.
+    onto the emptiest of the other, until one is left. If a window then exceeds the capacity, it is done again with more windows: the
+    step doubles until all fit, and halving between the last two counts finds a count that fits while one less was too few.
     """
-    n, m = len(sizes), max(1, -(-sum(sizes) // capacity))
-    while m < n:
-        total = _difference(sizes, m)
-        if max(sum(sizes[i] for i in w) for w in total) <= capacity:
-            return [w for w in total if w]
-        m += 1
-    return [[i] for i in range(n)]
+    n = len(sizes)
+
+    def fit(m: int) -> list[list[int]] | None:
+        total = _difference(sizes, m) if m < n else [[i] for i in range(n)]
+        return total if all(sum(sizes[i] for i in w) <= capacity for w in total) else None
+
+    low = fewest_windows(sizes, capacity) - 1
+    step, found = 1, None
+    while found is None:
+        high = min(low + step, n)
+        found = fit(high)
+        low, step = (low, step) if found else (high, 2 * step)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if better := fit(middle):
+            found, high = better, middle
+        else:
+            low = middle
+    return [w for w in found if w]
 
 
 def _difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -197,12 +199,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     is spread over near-equal windows by differenced(). Null and empty texts give one piece of one id. Repeated rows are packed as
     rows of their own; an empty table gives no pieces. Columns besides id and text are left out.
 
-    Tokens are counted and hashed where the texts are read; only pieces (numbers) are shuffled, to
-    blocks of about docs_per_block documents by hash. The number of blocks grows with the table, so no block does.
+    Tokens are counted and hashed where the texts are read; only pieces (numbers) are shuffled, first to count and number those that
+    equal another in all, then to blocks of about docs_per_block documents by hash of piece and number. The number of blocks grows with
+    the table and equal pieces part company, so no block does grow.
     """
     pieces = cut_pieces(docs, tokenizer, id_col, text_col, window)
     blocks = max(1, docs.count() // docs_per_block)
-    placed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32", "start"), F.lit(blocks)))
+    own = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    numbered = pieces.groupBy(*own).agg(F.count(F.lit(1)).alias("copies")).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    placed = numbered.select(*own, F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32", "start", "copy"), F.lit(blocks)).alias("block"))
 
     def fill(part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
