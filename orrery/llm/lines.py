@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import add_columns, documents, named, others, stored
+from orrery.llm.frames import add_columns, documents, freed, named, others, slices, stored
 
 MIN_DOCS, MIN_CHARS = 5, 40
 
@@ -30,23 +30,30 @@ def drop_common_lines(
     Lines are what \n separates (null or empty text: one empty line). A key of at least min_chars code points that is found
     in at least min_docs documents loses its lines everywhere but in the document of the largest id that holds it, which keeps all of its own.
     Rows are documents: rows that repeat an id count one by one and, at the largest id, all keep the line. Null ids
-    are smaller than any id. Extra columns pass through; ones named as the results are replaced.
+    are smaller than any id. Extra columns pass through, whatever their names; ones named as the results are replaced. An empty table gives
+    no rows. Texts may be of any length: one at a time is cut to lines.
 
     Documents are exploded into the hashes of their distinct keys (texts stay behind); counts combine before
     the shuffle, so a line that a third of all documents hold is no hot group there. Common lines are written before
-    the join that finds their holders, which Spark can then split when skewed. What each document must drop comes back as one short row for it.
+    the join that finds their holders, which Spark can then split when skewed. What a document must drop comes back as one short row for
+    its id and text, so rows of one id do not meet in one row unless their texts are equal too.
     """
-    holders = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text")).mapInArrow(_hashes(min_chars), T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_hash", T.BinaryType())]))
+    kind = docs.schema[id_col].dataType
+    salt = F.xxhash64(named(text_col)).alias("_salt")
+    holders = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"), salt).mapInArrow(
+        freed(_hashes(min_chars)), T.StructType([T.StructField("_id", kind), T.StructField("_salt", T.LongType()), T.StructField("_hash", T.BinaryType())])
+    )
     common = stored(holders.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs).select("_hash", "_keeper"))
     drops = (
         holders.join(common, "_hash")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-        .groupBy("_id")
+        .groupBy(F.col("_id").alias("_of"), F.col("_salt").alias("_with"))
         .agg(F.collect_set("_hash").alias("_drops"))
     )
     own = ("n_lines", "n_dropped", "kept_text")
-    left = docs.select(*(named(c) for c in dict.fromkeys([*others(docs, *own), id_col, text_col])))
-    joined = left.join(drops, named(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = others(docs, *own)
+    left = docs.select(named(text_col).alias("_text"), named(id_col).alias("_id"), salt, *(named(c).alias(f"_c{i}") for i, c in enumerate(kept)))
+    joined = left.join(drops, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_salt") == F.col("_with")), "left").select("_text", "_drops", *(f"_c{i}" for i in range(len(kept))))
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def keep(texts: list, drops: list) -> list[list]:
@@ -55,27 +62,32 @@ def drop_common_lines(
             lines = (text or "").encode().split(b"\n")
             if gone:
                 gone = set(gone)
-                kept = [x for x in lines if line_hash(x, min_chars) not in gone]
+                left = [x for x in lines if line_hash(x, min_chars) not in gone]
             else:
-                kept = lines
+                left = lines
             out[0].append(len(lines))
-            out[1].append(len(lines) - len(kept))
-            out[2].append(b"\n".join(kept).decode())
+            out[1].append(len(lines) - len(left))
+            out[2].append(b"\n".join(left).decode())
         return out
 
-    return add_columns(joined, [text_col, "_drops"], fields, keep).drop("_drops")
+    done = add_columns(joined, ["_text", "_drops"], fields, keep)
+    return done.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), *own)
 
 
 def _hashes(min_chars: int):
     def run(batches):
         for b in batches:
-            rows, hashes = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                found = {line_hash(x, min_chars) for x in (text or "").encode().split(b"\n")}
-                found.discard(None)
-                rows.extend([i] * len(found))
-                hashes.extend(found)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(hashes, pa.binary())], names=["_id", "_hash"])
+            at = 0
+            for part in slices(b.column(1)):
+                rows, hashes = [], []
+                for i, text in enumerate(part.to_pylist(), at):
+                    found = {line_hash(x, min_chars) for x in text.encode().split(b"\n")}
+                    found.discard(None)
+                    rows.extend([i] * len(found))
+                    hashes.extend(found)
+                at += len(part)
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(hashes, pa.binary())], names=["_id", "_salt", "_hash"])
 
     return run
 
