@@ -29,14 +29,15 @@ class Band:
 #: zstandard at level 3. Short texts compress little and carry a frame's overhead, so bands widen downwards; prose of
 #: natural or invented words stays near 0.35 to 0.6 from 1 KB on; base64 and other codes lie above 0.7.
 BANDS = (Band(0, 0.0, 100.0), Band(64, 0.20, 100.0), Band(256, 0.24, 0.95), Band(1024, 0.26, 0.75), Band(4096, 0.20, 0.68), Band(16384, 0.15, 0.65))
-#: Whole chunks of a text are held against these; a text goes if more than CHUNK_SHARE of them fall outside.
+#: Whole chunks of a text are held against these, and what is left after them against the band of its length; a text goes if
+#: more than CHUNK_SHARE of its bytes lie in chunks that fall outside.
 CHUNK_BYTES, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE, LEVEL = 2048, 0.22, 0.78, 0.5, 3
 
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [
     T.StructField("base_failed", T.BooleanType()),
     T.StructField("kept", T.BooleanType()),
     T.StructField("zstd_ratio", T.DoubleType()),
-    T.StructField("bad_chunk_share", T.DoubleType()),
+    T.StructField("bad_byte_share", T.DoubleType()),
 ]
 
 
@@ -74,31 +75,39 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, n < 10 or 100 * repeats > 20 * n
 
 
+def band_of(n_bytes: int) -> Band:
+    return [b for b in BANDS if n_bytes >= b.min_bytes][-1]
+
+
 def _checker():
     import zstandard
 
     zstd = zstandard.ZstdCompressor(level=LEVEL)
 
     def check(raw: bytes) -> tuple[bool, float | None, float | None]:
-        """(within the bands, ratio of the whole, share of whole chunks outside)."""
+        """(within the bands, ratio of the whole, share of bytes in chunks outside)."""
         if not raw:
             return False, None, None
-        ratio = len(zstd.compress(raw)) / len(raw)
-        band = [b for b in BANDS if len(raw) >= b.min_bytes][-1]
-        chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-        bad = sum(not CHUNK_LOW <= len(zstd.compress(c)) / CHUNK_BYTES <= CHUNK_HIGH for c in chunks) / len(chunks) if chunks else 0.0
-        return band.low <= ratio <= band.high and bad <= CHUNK_SHARE, ratio, bad
+        ratio_of = lambda x: len(zstd.compress(x)) / len(x)
+        ratio, band = ratio_of(raw), band_of(len(raw))
+        bad = 0
+        for i in range(0, len(raw), CHUNK_BYTES):
+            chunk = raw[i : i + CHUNK_BYTES]
+            low, high = (CHUNK_LOW, CHUNK_HIGH) if len(chunk) == CHUNK_BYTES else (band_of(len(chunk)).low, band_of(len(chunk)).high)
+            if not low <= (ratio if len(chunk) == len(raw) else ratio_of(chunk)) <= high:
+                bad += len(chunk)
+        return band.low <= ratio <= band.high and bad <= CHUNK_SHARE * len(raw), ratio, bad / len(raw)
 
     return check
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with counts, base_failed, kept, zstd_ratio and bad_chunk_share appended; a row-wise job without a shuffle.
+    """docs with counts, base_failed, kept, zstd_ratio and bad_byte_share appended; a row-wise job without a shuffle.
 
     base_failed: under ten words, or over a fifth of the words in repeated five-word windows. kept: not base_failed and the whole text's
-    zstandard ratio lies in the band of its length and at most half of its whole chunks lie outside theirs.
-    Null and empty texts have no words: base_failed, not kept, ratios null. Equal rows get equal verdicts. Extra
-    columns pass through; ones named as the results are replaced.
+    zstandard ratio lies in the band of its length and at most half of its bytes lie in chunks outside theirs, the last, shorter chunk
+    included. Null and empty texts have no words: base_failed, not kept, ratios null. Texts of any length are judged whole, one at a time.
+    Equal rows get equal verdicts, an empty table gives no rows. Extra columns pass through; ones named as the results are replaced.
     """
 
     def compute(texts: list) -> list[list]:
