@@ -8,52 +8,105 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.frames import named
+from orrery.llm.frames import few, named, stored
 
 #: Blocks of hashed ids per shard within which slots are counted.
 SLOT_BLOCKS = 1024
+#: Descents that a key tries; where none ends in a shard that takes it, one draw among all shards decides.
+TRIES = 64
+#: Shards that the even tree has room for.
+ROOM = 32
 
 
 @dataclass(frozen=True)
 class Leaf:
+    """A shard's place; it takes the share weight / room of the keys that descend to it. Weight 0 is a place that is kept free."""
+
     region: int
     rack: int
     shard: int
     weight: float = 1.0
+    room: float = 1.0
 
 
-def even_tree(n_shards: int, shards_per_rack: int = 4, racks_per_region: int = 2) -> list[Leaf]:
-    """Shards 0 to n-1 of weight 1, filled rack by rack and region by region."""
-    return [Leaf(s // (shards_per_rack * racks_per_region), s // shards_per_rack, s) for s in range(n_shards)]
-
+def even_tree(n_shards: int, shards_per_rack: int = 4, racks_per_region: int = 2, room: int = ROOM) -> list[Leaf]:
+    """Shards 0 to n-1 of weight 1, filled rack by rack and region by region, in a tree with room for `room` shards (or n, if more)."""
+    return [Leaf(s // (shards_per_rack * racks_per_region), s // shards_per_rack, s, float(s < n_shards)) for s in range(max(n_shards, room))]
 
-def choose(key: Column, tree: Sequence[Leaf], salt: str = "") -> Column:
-    """struct(draw, region, rack, shard): the leaf that the key descends to.
 
-    A leaf draws -ln(u) / weight with u hashed from the key and the shard's own number, so a leaf's draw depends on
-    nothing else in the tree. A rack's draw is the least of its shards', a region's the least of its racks':
-    exponential draws whose rates are the weights of the subtrees. The key descends to the region, then the rack, then
-    the shard with the least draw, so each child is taken in proportion to its weight. When a shard is
-    added or its weight rises, keys move only into that shard; when its weight falls, keys leave only that shard.
-    A null key draws as a key of its own.
-    """
+def _draw(weight: float, *parts: Column | str) -> Column:
+    """An exponential draw of rate `weight` from a hash of the parts: the least of several falls to each in proportion to its weight."""
+    h = F.xxhash64(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    return -F.log(u) / F.lit(weight)
 
-    def leaf(x: Leaf) -> Column:
-        h = F.xxhash64(key, F.lit(f"{salt}/{x.shard}"))
-        u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((-F.log(u) / F.lit(x.weight)).alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard"))
 
-    def least(parts: list[Column]) -> Column:
-        return F.array_min(F.array(*parts))
+def choose(key: Column, tree: Sequence[Leaf], salt: str = "", tries: int = TRIES) -> Column:
+    """int: the shard to which the key descends.
 
+    A descent draws among the regions, then among the racks of the region drawn, then among that rack's shards, each child with the
+    room of its own subtree as weight: fan-out times depth draws. The shard takes the key with probability weight / room, else the key
+    descends anew with other draws. A change of one shard's weight changes nothing but whether that shard takes what descends to it:
+    when a weight rises, keys move into that shard alone, when it falls, out of it alone, and nothing moves between other racks or regions.
+    Keys that `tries` descents leave over draw among all shards by weight, which keeps the same law. A null key draws as a key of its own.
+    """
     live = [x for x in tree if x.weight > 0]
     if not live:
         raise ValueError("the tree has no shard of positive weight")
-    regions = []
-    for region in sorted({x.region for x in live}):
-        racks = sorted({x.rack for x in live if x.region == region})
-        regions.append(least([least([leaf(x) for x in live if x.region == region and x.rack == k]) for k in racks]))
-    return least(regions)
+    if any(x.weight > x.room for x in tree) or len({x.shard for x in tree}) < len(tree):
+        raise ValueError("a shard's weight exceeds its room, or two leaves are one shard")
+
+    def descent(turn: Column) -> Column:
+        def least(level: str, groups: dict[int, list[Leaf]]) -> Column:
+            drawn = [F.struct(_draw(sum(x.room for x in below), key, f"{salt}/{level}/{name}", turn).alias("draw"), F.lit(name).alias("name")) for name, below in groups.items()]
+            return F.array_min(F.array(*drawn))["name"]
+
+        def by(field: str, leaves: Sequence[Leaf]) -> dict[int, list[Leaf]]:
+            groups: dict[int, list[Leaf]] = {}
+            for x in leaves:
+                groups.setdefault(getattr(x, field), []).append(x)
+            return groups
+
+        def into(at: Column, groups: dict[int, list[Leaf]], body) -> Column:
+            """body of the child that was drawn; only that one is computed."""
+            out = F
+            for name, below in groups.items():
+                out = out.when(at == F.lit(name), body(below))
+            return out
+
+        def taken(leaves: list[Leaf]) -> Column:
+            shards = by("shard", leaves)
+
+            def accepted(below: list[Leaf]) -> Column:
+                (x,) = below
+                if x.weight in (0, x.room):
+                    return F.lit(x.shard if x.weight else -1)
+                return F.when(_draw(1.0, key, f"{salt}/take/{x.shard}", turn) < F.lit(_quantile(x.weight / x.room)), F.lit(x.shard)).otherwise(F.lit(-1))
+
+            return once(least("shard", shards), lambda at: into(at, shards, accepted))
+
+        def rack(leaves: list[Leaf]) -> Column:
+            racks = by("rack", leaves)
+            return once(least("rack", racks), lambda at: into(at, racks, taken))
+
+        regions = by("region", tree)
+        return once(least("region", regions), lambda at: into(at, regions, rack))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(-1), lambda at, turn: F.when(at >= 0, at).otherwise(descent(turn)))
+    flat = F.array_min(F.array(*(F.struct(_draw(x.weight, key, f"{salt}/flat/{x.shard}").alias("draw"), F.lit(x.shard).alias("name")) for x in live)))["name"]
+    return once(found, lambda at: F.when(at >= 0, at).otherwise(flat))
+
+
+def _quantile(share: float) -> float:
+    """An exponential draw of rate 1 is below this with probability `share`."""
+    from math import log1p
+
+    return -log1p(-share)
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def assign_shards(
@@ -66,36 +119,32 @@ def assign_shards(
     """docs' id with size, text_crc32, law, region, rack, shard, slot and grown_shard (the shard in the tree `grown`).
 
     size: UTF-8 bytes of the text plus 1 (null text: none, so 1; its crc32 is that of no bytes, 0). The law is `key`: id and
-    tree decide the shard, so copies of a row, a hot source or equal texts cannot overload anything but by equal ids.
+    tree decide the shard, so copies of a row, a hot source, equal or very long texts cannot overload anything but by equal ids.
     Rows with null ids go to one shard together. slot counts the rows of a shard from 0 without gaps. Rows
-    that repeat an id each get a slot. An empty table gives no rows. Other columns are left out.
+    that repeat an id each get a slot. An empty table gives no rows. Other columns are left out, whatever their names.
 
-    Slots need no total order in one task: ids are hashed to SLOT_BLOCKS blocks, the rows of a (shard, block) are
+    Slots need no total order in one task: rows are hashed by id, size and checksum to SLOT_BLOCKS blocks, the rows of a (shard, block) are
     numbered in their own window, and blocks start where the counts of earlier blocks end. The counts
-    (shards x SLOT_BLOCKS rows at most, whatever the input) read the id column only and are broadcast.
+    are shards x SLOT_BLOCKS rows at most, whatever the input.
     """
     tree = list(tree) if tree is not None else even_tree(16)
-    grown = list(grown) if grown is not None else even_tree(len(tree) + 1)
-    key, text = named(id_col), F.coalesce(named(text_col), F.lit(""))
-
-    def placed(*more: Column) -> DataFrame:
-        at = docs.select(key.alias(id_col), choose(key, tree).alias("_at"), F.pmod(F.xxhash64(key, F.lit("block")), F.lit(SLOT_BLOCKS)).cast("int").alias("_block"), *more)
-        return at.select("*", F.col("_at.region").alias("region"), F.col("_at.rack").alias("rack"), F.col("_at.shard").alias("shard")).drop("_at")
-
-    counts = placed().groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    grown = list(grown) if grown is not None else even_tree(sum(x.weight > 0 for x in tree) + 1)
+    text = F.coalesce(named(text_col), F.lit(""))
+    key = F.col("_id")
+    rows = docs.select(named(id_col).alias("_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.select("*", choose(key, tree).alias("shard"), choose(key, grown).alias("grown_shard"), F.pmod(F.xxhash64("_id", "size", "text_crc32"), F.lit(SLOT_BLOCKS)).cast("int").alias("_block"))
+    rows = stored(rows)
+    counts = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rows = placed(
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        choose(key, grown).getField("shard").alias("grown_shard"),
-    )
-    inside = Window.partitionBy("shard", "_block").orderBy(F.xxhash64(named(id_col)), named(id_col), F.col("size"), F.col("text_crc32"))
+    inside = Window.partitionBy("shard", "_block").orderBy(F.xxhash64("_id"), "_id", "size", "text_crc32")
     numbered = rows.withColumn("_rank", F.row_number().over(inside))
-    return numbered.join(F.broadcast(starts), ["shard", "_block"]).select(
-        named(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard", "region", "rack",
-    )
+    place = {x.shard: x for x in tree}
+    at = lambda field: F.element_at(F.create_map(*(F.lit(v) for s, x in place.items() for v in (s, getattr(x, field)))), F.col("shard")).alias(field)
+    return numbered.join(few(starts, len(tree) * SLOT_BLOCKS), ["shard", "_block"]).select(
+        F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard", at("region"), at("rack"),
+    )
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
