@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import documents, named
+from orrery.llm.frames import documents, few, named, stored
 
 BINS, BITS, WORDS = 128, 8, 5
 #: Probes that a bin tries one after the other before it looks through all that are left.
 TRIES = 12
 BUCKET_BYTES = 16 << 20
-#: Quantiles of ids that bound ranges; where more ranges are needed, each is halved evenly again and again.
+#: Quantiles of ids that bound ranges, and again quantiles that bound the pieces of a range: both are literals or rows of bounded number.
 MOST_BOUNDS = 500
+#: Ranges that one window looks at to find their successors.
+FAN = 1024
 
 
 @lru_cache(4)
@@ -103,19 +105,33 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(known)
 
 
-def _place(key: Column, bounds: list, pieces: int) -> Column:
-    """The key's range, ascending with the key: between two bounds, found by halving, there are as many even ranges as pieces. Null keys: 0."""
+def _slot(key: Column, bounds: list, hot: set) -> Column:
+    """The key's place among the bounds, found by halving: ascending with the key, null keys at 0 and each hot bound in a place of its own."""
 
     def within(low: int, high: int) -> Column:
         if high - low == 1:
-            if pieces == 1 or bounds[low] == bounds[high]:
-                return F.lit(low * pieces)
-            share = (key.cast("double") - F.lit(float(bounds[low]))) / F.lit(float(bounds[high]) - float(bounds[low]))
-            return F.lit(low * pieces) + F.least(F.lit(pieces - 1), F.greatest(F.lit(0), F.floor(share * pieces))).cast("int")
+            own = 2 + 2 * low
+            return F.when(key == F.lit(bounds[low]), F.lit(own)).otherwise(F.lit(own + 1)) if low >= 0 and bounds[low] in hot else F.lit(own + 1)
         middle = (low + high) // 2
         return F.when(key < F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle, high))
 
-    return F.coalesce(within(0, len(bounds) - 1), F.lit(0)) if len(bounds) > 1 else F.lit(0)
+    return F.coalesce(F.when(key.isNotNull(), within(-1, len(bounds))), F.lit(0)).cast("long")
+
+
+def successors(ranges: DataFrame, most: int) -> DataFrame:
+    """(range, next) for each row of ranges (range, long; at most `most` rows below that number): the least greater range; null for the last.
+
+    No window holds more than FAN rows: ranges are looked at in groups, and a group's last range gets the first range of the next group.
+    """
+    if most <= FAN:
+        return ranges.select("range", F.lead("range").over(Window.orderBy("range")).alias("next"))
+    group = F.floor(F.col("range") / F.lit(FAN)).cast("long")
+    inside = Window.partitionBy("group").orderBy("range")
+    own = ranges.select("range", group.alias("group")).withColumn("next", F.lead("range").over(inside))
+    firsts = own.groupBy("group").agg(F.min("range").alias("first"))
+    after = successors(firsts.select(F.col("group").alias("range")), -(-most // FAN)).select(F.col("range").alias("group"), F.col("next").alias("group_after"))
+    first_after = after.join(firsts.select(F.col("group").alias("group_after"), F.col("first").alias("next_first")), "group_after").select("group", "next_first")
+    return own.join(first_after, "group", "left").select("range", F.coalesce("next", "next_first").alias("next"))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -124,27 +140,47 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many (or all) of the
     next text, by ascending id; after the last comes the first. near_edited and near_next are the likeness of the text's fingerprint to
     the edited text's and to the next text's. Null texts are empty; texts without words have an empty fingerprint.
-    Rows of equal ids follow one another by text; null ids come first. One row is its own next. An empty table gives no rows; other columns
-    are left out.
+    Rows of equal ids follow one another by text; null ids come first. One row is its own next. An empty
+    table gives no rows; other columns are left out, whatever their names. Texts of any length are taken whole.
 
-    The order needs no sort in one task: ids fall into ranges by approximate quantiles of all ids, each range looks one row
-    ahead, and the last row of each takes the first row of the next range, of which there are as many as ranges. Each text is shuffled once.
+    The order needs no sort in one task: ids fall into ranges of about BUCKET_BYTES by approximate quantiles of all ids, large ranges into pieces
+    by quantiles of their own, and an id that holds much of the table (or the null id) by quantiles of its texts' beginnings. Each range looks one row
+    ahead, and its last row takes the first row of the next range. What is known of ranges stays in tables. Each text is shuffled once.
     """
     work = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    size, rows = work.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    ranges = int(min(max((size or 0) // BUCKET_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), rows))
-    top = max(1, min(ranges, MOST_BOUNDS))
-    bounds = sorted(set(work.agg(F.percentile_approx("id", [i / top for i in range(top + 1)], 20 * top)).first()[0] or []))
-    place = _place(F.col("id"), bounds, -(-ranges // top)).alias("range")
-    made = work.select("id", "text", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), bins, bits).alias("bins"), place)
+    size, rows, nulls = work.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
+    ranges = int(max(1, min(max((size or 0) // BUCKET_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), rows)))
+    top = min(ranges, MOST_BOUNDS)
+    quantiles = work.agg(F.percentile_approx("id", [i / top for i in range(top + 1)], 20 * top)).first()[0] or []
+    bounds = sorted(set(quantiles))
+    hot = {v for v in bounds if quantiles.count(v) > 1} if top > 1 else set()
+    slot = _slot(F.col("id"), bounds, hot)
+    # A place of one id is cut by quantiles of its texts' first bytes, any other by quantiles of its ids.
+    pieces = min(MOST_BOUNDS, -(-ranges // top))
+    of_one = min(MOST_BOUNDS, max(pieces, ranges)) if hot or nulls else 1
+    is_one = F.col("id").isNull() | F.col("id").isin(*hot) if hot else F.col("id").isNull()
+    turn = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    work = work.select("*", slot.alias("slot"), turn.alias("turn"))
+    inner = F.lit(0).cast("long")
+    parts = lambda value, n: F.percentile_approx(value, [i / n for i in range(1, n)], 20 * n)
+    quantiles = [parts(F.when(is_one, F.col("turn")), of_one)] * (of_one > 1) + [parts(F.when(~is_one, F.col("id")), pieces)] * (pieces > 1)
+    if quantiles:
+        cuts = work.groupBy("slot").agg(F.array_distinct(F.coalesce(*quantiles)).alias("cuts"))
+        work = work.join(few(stored(cuts), 2 * MOST_BOUNDS + 4), "slot", "left")
+        value = F.when(is_one, F.col("turn")).otherwise(F.col("id"))
+        inner = F.coalesce(F.size(F.filter("cuts", lambda c: c <= value)), F.lit(0)).cast("long")
+    work = work.select("id", "text", "turn", (F.col("slot") * F.lit(MOST_BOUNDS) + inner).alias("range"))
+    made = work.select("id", "text", "turn", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), bins, bits).alias("bins"), "range")
     order = Window.partitionBy("range").orderBy("id", "text")
     ahead = made.select("*", F.lead("text").over(order).alias("next_text"), F.lead("bins").over(order).alias("next_bins"))
 
-    # The first row of each range, for the last row of the one before: found by ids alone, one row for each range.
-    firsts = sorted(work.select("id", place).groupBy("range").agg(F.min("id"), F.bool_or(F.col("id").isNull())).collect())
-    places = [(r[0], None if r[2] else r[1], firsts[k - 1][0]) for k, r in enumerate(firsts)]
-    places = docs.sparkSession.createDataFrame(places, T.StructType([T.StructField("at", T.IntegerType()), T.StructField("first", work.schema["id"].dataType), T.StructField("range", T.IntegerType())]))
-    heads = work.join(F.broadcast(places), F.col("id").eqNullSafe(F.col("first"))).groupBy("range").agg(F.min("text").alias("head_text"))
+    # The first row of each range, for the last row of the one before: found by ids and texts' beginnings, then its text is fetched.
+    firsts = stored(work.groupBy("range").agg(F.min(F.struct("id", "turn")).alias("first")))
+    least = firsts.agg(F.min("range")).first()[0]
+    after = successors(firsts.select("range"), (2 * len(bounds) + 3) * MOST_BOUNDS).select(F.col("range").alias("at"), F.coalesce("next", F.lit(least)).alias("range"))
+    places = stored(firsts.join(after, "range").select("at", "range", "first.id", "first.turn"))
+    heads = work.join(few(places, 4 * MOST_BOUNDS).select("at", F.col("range").alias("of"), F.col("id").alias("first_id"), F.col("turn").alias("first_turn")), (F.col("range") == F.col("of")) & (F.col("turn") == F.col("first_turn")) & F.col("id").eqNullSafe(F.col("first_id")))
+    heads = heads.groupBy(F.col("at").alias("range")).agg(F.min("text").alias("head_text"))
     heads = heads.select("range", "head_text", fingerprint(F.col("head_text"), bins, bits).alias("head_bins"))
     every = ahead.join(heads.hint("merge"), "range", "left").select("id", "text", "n_chars", "bins", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_bins", "head_bins").alias("next_bins"))
 

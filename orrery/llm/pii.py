@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from typing import NamedTuple
 
@@ -128,14 +128,20 @@ _BRACKET_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20?(?:{_OPEN}{_AT}{_CLOSE}\x20
 _SPOKEN_DOT = r"(?:\x20(?:dot|punkt|punto|point|\.)\x20|_dot_)"
 #: name at host dot tld, all in words; both signs must be disguised or spaced. Signs that are no English word take any last label after a
 #: spoken dot. After "at", where "point" and a lone dot are prose too ("at this point in", "at noon . so we"), words of prose are no last labels.
-_SAID = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\x20(?:dot|punkt|punto|point)\x20|\.)[A-Za-z0-9_%+-]+)*(?:(?P<at>\x20at\x20)|(?P<sign>\x20(?:@|ät|arroba|arobase)\x20|_at_))"
-    rf"[A-Za-z0-9-]+(?:(?:{_SPOKEN_DOT}|\.)[A-Za-z0-9-]+)*"
-    rf"(?:(?:\x20(?:dot|punkt|punto)\x20|_dot_){_TLDS}"
+#: The sign is found first, then the host after it, then the name before it, so that a text is read a few times at most.
+_SAID_AT = re.compile(r"(?i)(?P<at>\x20at\x20)|(?P<sign>\x20(?:@|ät|arroba|arobase)\x20|_at_)")
+_LABEL = r"[A-Za-z0-9-]++"
+_LABEL_DOT = re.compile(rf"(?i){_SPOKEN_DOT}|\.")
+_SAID_LABEL = re.compile(_LABEL)
+#: What may stand before a last label, and the label; each in its own words.
+_SAID_LAST = re.compile(
+    rf"(?i)(?:\x20(?:dot|punkt|punto)\x20|_dot_){_TLDS}"
     rf"|\x20point\x20(?!(?:am|as|at|be|by|do|in|is|it|me|my|no|so|to|us)\b)(?:{_COUNTRIES}|{_GENERIC})(?![\w-])"
     rf"|\x20\.\x20(?!(?:am|as|by|do|my|so|to)\b)(?:{_COUNTRIES}|{_GENERIC})(?![\w-])"
-    r"|(?(sign)(?:\x20(?:dot|punkt|punto|point)\x20|_dot_)[A-Za-z]{2,}(?![\w-])|(?!)))"
 )
+_SAID_LAST_ANY = re.compile(r"(?i)(?:\x20(?:dot|punkt|punto|point)\x20|_dot_)[A-Za-z]{2,}(?![\w-])")
+_NAME_DOTS = ("\x20dot\x20", "\x20point\x20", "\x20punkt\x20", "\x20punto\x20", ".")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: One of these is in every match of _SAID; of _ADDRESS. In lower case, where (?i) takes i with a dot and long s as well.
 _SAID_HINTS = (" at ", " @ ", "_at_", " ät ", " arroba ", " arobase ")
 _DOT_HINTS = (" dot ", " point ", " punkt ", " punto ")
@@ -150,12 +156,14 @@ class Traced:
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
     def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> None:
+        self.replace((*m.span(), to(m)) for m in pattern.finditer(self.text))
+
+    def replace(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """edits: places in ascending order with their new text."""
         parts, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new == m[0]:
+        for a, b, new in edits:
+            if new == self.text[a:b]:
                 continue
-            a, b = m.span()
             parts += [self.text[at:a], new]
             starts += self.starts[at:a] + [self.starts[a]] * len(new)
             ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
@@ -191,10 +199,47 @@ def _address(m: re.Match) -> str:
     return "".join("." if i.lower() in ("dot", "point", "punkt", "punto") else _WORDS.get(i.lower(), i) for i in _ITEM.findall(m[0]))
 
 
-def _said(m: re.Match) -> str:
-    a, b = m.span(m.lastgroup)
-    a, b = a - m.start(), b - m.start()
-    return _SAID_DOT.sub(".", m[0][:a]) + "@" + _SAID_DOT.sub(".", m[0][b:])
+def _host_end(text: str, at: int, any_label: bool) -> int:
+    """Where the host that begins at `at` ends: after its last label that may be a last one; -1 if none may."""
+    if (m := _SAID_LABEL.match(text, at)) is None:
+        return -1
+    end, here = -1, m.end()
+    while True:
+        if m := _SAID_LAST.match(text, here) or any_label and _SAID_LAST_ANY.match(text, here):
+            end = m.end()
+        if (dot := _LABEL_DOT.match(text, here)) is None or (m := _SAID_LABEL.match(text, dot.end())) is None:
+            return end
+        here = m.end()
+
+
+def _name_start(text: str, at: int, free: int) -> int:
+    """Where the name that ends at `at` begins, not before `free`; `at` if there is none."""
+    start = at
+    while True:
+        here = start
+        if start < at:  # a dot must stand between this label and the one before
+            here = next((start - len(d) for d in _NAME_DOTS if start - len(d) > free and text[start - len(d) : start].lower() == d), start)
+            if here == start:
+                return start
+        end = here
+        while here > free and text[here - 1] in _NAME:
+            here -= 1
+        if here == end:
+            return start
+        start = here
+
+
+def said(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses in words, with their plain form."""
+    free = 0
+    m = _SAID_AT.search(text)
+    while m:
+        a, b = m.span()
+        after = a + 1
+        if (end := _host_end(text, b, m.lastgroup == "sign")) >= 0 and (start := _name_start(text, a, free)) < a:
+            yield start, end, _SAID_DOT.sub(".", text[start:a]) + "@" + _SAID_DOT.sub(".", text[b:end])
+            free = after = end
+        m = _SAID_AT.search(text, after)
 
 
 def disguised(text: str) -> bool:
@@ -205,7 +250,7 @@ def disguised(text: str) -> bool:
     plain = text if text.isascii() else _CHANGED.sub(_plain, text)
     low = plain.lower().replace("i̇", "i").replace("ſ", "s")
     return (
-        any(w in low for w in _SAID_HINTS) and _SAID.search(plain) is not None
+        any(w in low for w in _SAID_HINTS) and next(said(plain), None) is not None
         or any(c in low for c in "([{<") and (_BRACKET_AT.search(plain) or _BRACKET_DOT.search(plain)) is not None
         or (" @" in low or "@ " in low) and _SPACED_AT.search(plain) is not None
         or any(w in low for w in _DOT_HINTS) and _ADDRESS.search(plain) is not None
@@ -222,7 +267,7 @@ def deobfuscated(text: str, base: list[Span]) -> list[Span]:
     t.rewrite(_NUMBER, _spoken)
     t.rewrite(_BRACKET_AT, lambda m: "@")
     t.rewrite(_BRACKET_DOT, lambda m: ".")
-    t.rewrite(_SAID, _said)
+    t.replace(said(t.text))
     t.rewrite(_SPACED_AT, lambda m: "@")
     if t.text == text:
         return []
@@ -237,31 +282,51 @@ def deobfuscated(text: str, base: list[Span]) -> list[Span]:
     return sorted(set(more))
 
 
-def redacted(text: str, spans: list[Span]) -> str:
-    """The text with each run of overlapping spans replaced by its first kind in angle brackets."""
+def redacted(text: str, spans: list[Span], hidden: list[tuple[int, int]] = ()) -> str:
+    """The text with each run of overlapping spans and secrets replaced by the first one's kind in angle brackets."""
     parts, at = [], 0
-    for s in spans:
-        if s.start >= at:
-            parts += [text[at : s.start], f"<{KINDS[s.kind].upper()}>"]
-        at = max(at, s.end)
+    for start, end, name in sorted([*((s.start, s.end, KINDS[s.kind].upper()) for s in spans), *((a, b, "SECRET") for a, b in hidden)]):
+        if start >= at:
+            parts += [text[at:start], f"<{name}>"]
+        at = max(at, end)
     return "".join(parts) + text[at:]
 
 
+# Names under which secrets are set, and the shapes of keys that tell themselves.
+_SECRET = re.compile(
+    r"""(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[A-Za-z0-9_/+=.-]{12,})"""
+    r"|(?-i:\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
+)
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Places of secrets, which are no personal data and so no spans: values of twelve signs or more that hold a digit, and known keys."""
+    found = []
+    for m in _SECRET.finditer(text):
+        a, b = m.span("value") if m["value"] else m.span()
+        if not m["value"] or any(map(str.isdigit, m["value"])):
+            found.append((a, b))
+    return found
+
+
 FIELDS = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [
     T.StructField("base_sha256", T.StringType()),
     T.StructField("spans", T.StringType()),
     T.StructField("n_added", T.LongType()),
+    T.StructField("n_secrets", T.LongType()),
+    T.StructField("n_found", T.LongType()),
     T.StructField("redacted_text", T.StringType()),
 ]
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added and redacted_text appended.
+    """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_secrets, n_found and redacted_text appended.
 
     spans joins kind:start:end of the base spans and of those that deobfuscation adds, by start and then kind; n_added counts the
-    latter. base_sha256 hashes the base spans, joined likewise. redacted_text has every span replaced. Null and empty
-    texts have no spans (counts 0, the hash of nothing, a null text's redacted_text null). Row by row, without a shuffle: repeated rows
-    get the same result, extra columns pass through, and columns named as the results are replaced.
+    latter. base_sha256 hashes the base spans, joined likewise. n_secrets counts secrets (see secrets()), n_found spans and secrets.
+    redacted_text has every span and secret replaced. Null and empty texts have no spans (counts 0, the hash of nothing, a null text's
+    redacted_text null). Texts of any length are scanned whole, in time that grows with their length. Row by row, without a shuffle: repeated
+    rows get the same result, an empty table gives no rows, extra columns pass through, and columns named as the results are replaced.
     """
 
     def compute(texts: list) -> list[list]:
@@ -271,7 +336,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             more = deobfuscated(text, base) if text and disguised(text) else []
             spans = sorted(base + more) if more else base
             values = [sum(s.kind == k for s in base) for k in range(4)] if base else [0] * 4
-            values += [sha256(",".join(map(str, base)).encode()).hexdigest(), ",".join(map(str, spans)), len(more), redacted(text, spans) if spans else text]
+            hidden = secrets(text) if text else []
+            values += [sha256(",".join(map(str, base)).encode()).hexdigest(), ",".join(map(str, spans)), len(more), len(hidden), len(spans) + len(hidden)]
+            values.append(redacted(text, spans, hidden) if spans or hidden else text)
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         return out

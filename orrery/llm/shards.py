@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +14,16 @@ from orrery.llm.frames import few, named, stored
 SLOT_BLOCKS = 1024
 #: Descents that a key tries; where none ends in a shard that takes it, one draw among all shards decides.
 TRIES = 64
-#: Shards that the even tree has room for.
+#: Shards that an even tree has room for.
 ROOM = 32
 
 
 @dataclass(frozen=True)
 class Leaf:
-    """A shard's place; it takes the share weight / room of the keys that descend to it. Weight 0 is a place that is kept free."""
+    """A shard's place; it takes the share weight / room of the keys that descend to it (the room is the weight, where that is more).
+
+    Weight 0 is a place that is kept free.
+    """
 
     region: int
     rack: int
@@ -29,9 +32,9 @@ class Leaf:
     room: float = 1.0
 
 
-def even_tree(n_shards: int, shards_per_rack: int = 4, racks_per_region: int = 2, room: int = ROOM) -> list[Leaf]:
-    """Shards 0 to n-1 of weight 1, filled rack by rack and region by region, in a tree with room for `room` shards (or n, if more)."""
-    return [Leaf(s // (shards_per_rack * racks_per_region), s // shards_per_rack, s, float(s < n_shards)) for s in range(max(n_shards, room))]
+def even_tree(n_shards: int, shards_per_rack: int = 4, racks_per_region: int = 2) -> list[Leaf]:
+    """Shards 0 to n-1 of weight 1, filled rack by rack and region by region."""
+    return [Leaf(s // (shards_per_rack * racks_per_region), s // shards_per_rack, s) for s in range(n_shards)]
 
 
 def _draw(weight: float, *parts: Column | str) -> Column:
@@ -47,14 +50,16 @@ def choose(key: Column, tree: Sequence[Leaf], salt: str = "", tries: int = TRIES
     A descent draws among the regions, then among the racks of the region drawn, then among that rack's shards, each child with the
     room of its own subtree as weight: fan-out times depth draws. The shard takes the key with probability weight / room, else the key
     descends anew with other draws. A change of one shard's weight changes nothing but whether that shard takes what descends to it:
-    when a weight rises, keys move into that shard alone, when it falls, out of it alone, and nothing moves between other racks or regions.
+    when a weight rises within the shard's room, keys move into that shard alone, when it falls, out of it alone, and nothing moves between other
+    racks or regions.
     Keys that `tries` descents leave over draw among all shards by weight, which keeps the same law. A null key draws as a key of its own.
     """
+    tree = [replace(x, room=max(x.weight, x.room)) for x in tree]
     live = [x for x in tree if x.weight > 0]
     if not live:
         raise ValueError("the tree has no shard of positive weight")
-    if any(x.weight > x.room for x in tree) or len({x.shard for x in tree}) < len(tree):
-        raise ValueError("a shard's weight exceeds its room, or two leaves are one shard")
+    if len({x.shard for x in tree}) < len(tree):
+        raise ValueError("two leaves are one shard")
 
     def descent(turn: Column) -> Column:
         def least(level: str, groups: dict[int, list[Leaf]]) -> Column:
@@ -109,17 +114,28 @@ def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def same_room(a: Sequence[Leaf], b: Sequence[Leaf], spare: Sequence[Leaf] = ()) -> tuple[list[Leaf], list[Leaf]]:
+    """Both trees with every shard of either and of `spare` and the larger of its rooms, so that keys descend alike in both."""
+    rooms: dict[int, Leaf] = {}
+    for x in [*a, *b, *spare]:
+        old = rooms.get(x.shard, x)
+        rooms[x.shard] = replace(x, weight=0.0, room=max(x.weight, x.room, old.room, old.weight))
+    fitted = lambda tree: [replace(rooms[s], weight=tree[s].weight if s in tree else 0.0) for s in sorted(rooms)]
+    return fitted({x.shard: x for x in a}), fitted({x.shard: x for x in b})
+
+
 def assign_shards(
     docs: DataFrame,
     tree: Sequence[Leaf] | None = None,
     grown: Sequence[Leaf] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    spare: Sequence[Leaf] | None = None,
 ) -> DataFrame:
     """docs' id with size, text_crc32, law, region, rack, shard, slot and grown_shard (the shard in the tree `grown`).
 
     size: UTF-8 bytes of the text plus 1 (null text: none, so 1; its crc32 is that of no bytes, 0). The law is `key`: id and
-    tree decide the shard, so copies of a row, a hot source, equal or very long texts cannot overload anything but by equal ids.
+    tree decide the shard (with the places that `spare` keeps free, and of each shard the larger room in the two trees), so copies of a row, a hot source, equal or very long texts cannot overload anything but by equal ids.
     Rows with null ids go to one shard together. slot counts the rows of a shard from 0 without gaps. Rows
     that repeat an id each get a slot. An empty table gives no rows. Other columns are left out, whatever their names.
 
@@ -128,7 +144,8 @@ def assign_shards(
     are shards x SLOT_BLOCKS rows at most, whatever the input.
     """
     tree = list(tree) if tree is not None else even_tree(16)
-    grown = list(grown) if grown is not None else even_tree(sum(x.weight > 0 for x in tree) + 1)
+    grown = list(grown) if grown is not None else even_tree(len(tree) + 1)
+    tree, grown = same_room(tree, grown, spare or ())
     text = F.coalesce(named(text_col), F.lit(""))
     key = F.col("_id")
     rows = docs.select(named(id_col).alias("_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -150,4 +167,4 @@ def assign_shards(
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     from orrery.llm.frames import documents
 
-    return assign_shards(documents(spark, sf_dir), even_tree(16), even_tree(17))
+    return assign_shards(documents(spark, sf_dir), even_tree(16), even_tree(17), spare=even_tree(ROOM))
