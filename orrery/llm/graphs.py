@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.frames import stored
+from orrery.llm.frames import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours hang from the smallest of them. Here u is above v in every row.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

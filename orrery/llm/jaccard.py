@@ -17,6 +17,14 @@ from orrery.llm.frames import documents, drop, few, freed, named, slices, stored
 from orrery.llm.graphs import components
 
 WORDS, PERCENT = 5, 75
+#: From this threshold on, sets of one or two shingles link with equal ones only, which the subsets need.
+SUBSETS_FROM = 70
+#: Entries of shingles that so many sets may hold skip the groups: a group holds no more of one list, beyond what HOT_SHINGLES leaves out.
+LONGEST_GROUPED = 1024
+#: Rows of a list that one task of the join within lists reads.
+SALT_ROWS = 256
+#: Lists whose largest components are sent to every executor.
+SENT_LISTS = 100_000
 #: A list of up to so many sets is read pair by pair; a longer one by its outliers (see `_across`).
 LONG_LIST = 32
 #: The most frequent shingles, so many at most, come last in the order of shingles. A hint: any order gives the same links.
@@ -63,8 +71,15 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
             yield flat[a:b]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_id(tokens: np.ndarray) -> bytes:
+    """128 bits, which tell sets apart at any number of them."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def _binary(raw: bytes) -> pa.Array:
+    """16 bytes each."""
+    n = len(raw) // 16
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
 
 
 def common_needed(na, nb, percent: int = PERCENT):
@@ -110,15 +125,16 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
     Shingles are counted over all documents (copies within a task once); a task counts its own before it sends them on.
     """
     kind = docs.schema["_id"].dataType
-    sent = T.StructType([T.StructField("part", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("sh", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    got = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("sh", T.LongType()), T.StructField("key", T.LongType()), T.StructField("df", T.LongType()), T.StructField("square", T.LongType())])
+    sent = T.StructType([T.StructField("part", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("sh", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    got = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("sh", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("df", T.LongType()), T.StructField("square", T.LongType())])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         id_type = to_arrow_type(kind)
         held: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         rows: tuple[list, list, list] = ([], [], [])
         size = 0
 
@@ -126,8 +142,8 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
             nonlocal held, rows, size
             if rows[0]:
                 n = len(rows[0])
-                spread = pa.array((np.arange(n) * 7919 + rows[2][0]) % parts, pa.int64())
-                yield pa.RecordBatch.from_arrays([spread, pa.array(rows[0], id_type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=sent.names)
+                spread = pa.array((np.arange(n) * 7919 + int.from_bytes(rows[2][0][:6])) % parts, pa.int64())
+                yield pa.RecordBatch.from_arrays([spread, pa.array(rows[0], id_type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=sent.names)
             if size:
                 keys = np.sort(np.concatenate(held) & ~np.uint64(0xFFFF))
                 starts, counts = _runs(keys)
@@ -137,7 +153,7 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[cuts[:-1]], pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([_planes(keys[a:b]) for a, b in spans], pa.binary()), pa.array([np.minimum(counts[a:b], 65535).astype("<u2").tobytes() for a, b in spans], pa.binary())],
+                    [pa.array(part[cuts[:-1]], pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([_planes(keys[a:b]) for a, b in spans], pa.binary()), pa.array([np.minimum(counts[a:b], 65535).astype("<u2").tobytes() for a, b in spans], pa.binary())],
                     names=sent.names,
                 )
             held, rows, size = [], ([], [], []), 0
@@ -177,8 +193,8 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
         return pa.table(
             [
                 pa.concat_arrays([ids, pa.nulls(m, id_type)]),
-                pa.array(docs["n"].to_pylist() + [None] * m, pa.int64()),
-                pa.array(docs["sh"].to_pylist() + [None] * m, pa.int64()),
+                pa.concat_arrays([docs["n"].combine_chunks() if n else pa.nulls(0, pa.int64()), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([docs["sh"].combine_chunks() if n else pa.nulls(0, pa.binary()), pa.nulls(m, pa.binary())]),
                 pa.array([None] * n + keys.tolist() + [None], pa.int64()),
                 pa.array([None] * n + hots.tolist() + [int(cold.sum())], pa.int64()),
                 pa.array([None] * (n + m - 1) + [int((cold * cold).sum())], pa.int64()),
@@ -186,7 +202,7 @@ def _counted(docs: DataFrame, parts: int, width: int) -> DataFrame:
             names=got.names,
         )
 
-    return stored(docs.mapInArrow(run, sent).groupBy("part").applyInArrow(total, got))
+    return stored(docs.mapInArrow(run, sent).repartition(parts, "part").groupBy("part").applyInArrow(total, got))
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -211,48 +227,55 @@ def boundary(sizes: dict[int, int], partners: float, percent: int = PERCENT) ->
     return min(range(2, MOST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
-def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, percent: int) -> DataFrame:
-    """Stored rows of the lists: candidate pairs of short ones (kind 0) and the entries of long ones (kind 1).
+def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Candidate pairs of the short lists (kind 0 of a stored table), and the entries of the long ones; and tables to be dropped in the end.
 
     Small sets (up to `small` shingles) give their 2-subsets of prefix + 1 shingles, and meet each other there. All sets that may link with a
     large one give the shingles of their prefix, where pairs with a large set meet.
     """
     sent = "part long, keys binary, owner binary, place binary, sh binary, n binary"
-    got = "kind int, key long, a long, na long, pa long, b long, nb long, pb long, shared long"
+    pair = "kind int, key long, a binary, na long, pa long, b binary, nb long, pb long, shared long"
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, rank = hot.value
         keys: list[np.ndarray] = []
         places: list[np.ndarray] = []
-        owners: list[tuple[int, int, int]] = []
-        seen: set[int] = set()
+        widely: list[np.ndarray] = []
+        owners: list[tuple[bytes, int, int]] = []
+        seen: set[bytes] = set()
         size = 0
 
-        def entry(tokens: np.ndarray, place: np.ndarray, sh: int, n: int) -> None:
+        def entry(tokens: np.ndarray, place: np.ndarray, wide: np.ndarray, sh: bytes, n: int) -> None:
             nonlocal size
             keys.append(tokens)
             places.append(place)
+            widely.append(wide)
             owners.append((sh, n, len(tokens)))
             size += len(tokens)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, places, owners, size
+            nonlocal keys, places, widely, owners, size
             if size:
-                key, place = np.concatenate(keys), np.concatenate(places)
-                sh, n, each = (np.array(x, np.int64) for x in zip(*owners, strict=True))
+                key, place, wide = np.concatenate(keys), np.concatenate(places), np.concatenate(widely)
+                ids = np.frombuffer(b"".join(x[0] for x in owners), "V16")
+                n, each = (np.array(x, np.int64) for x in list(zip(*owners, strict=True))[1:])
                 owner = np.repeat(np.arange(len(each)), each)
-                part = _part(key, parts)
+                # Part -1: entries of very long lists, in the place of a group's result.
+                part = np.where(wide, -1, _part(key, parts))
                 order = np.argsort(part, kind="stable")
                 key, place, owner, part = key[order], place[order], owner[order], part[order]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
                 columns: list[list[bytes]] = [[], [], [], [], []]
+                where: list[int] = []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     starts, lengths = _runs(owner[a:b])
                     whose = owner[a:b][starts]
-                    for column, x in zip(columns, (key[a:b].astype("<u8"), lengths.astype("<u4"), place[a:b].astype("<u4"), sh[whose].astype("<i8"), n[whose].astype("<u4")), strict=True):
+                    where.append(int(part[a]))
+                    for column, x in zip(columns, (key[a:b].astype("<u8"), lengths.astype("<u4"), place[a:b].astype("<u4"), ids[whose], n[whose].astype("<u4")), strict=True):
                         column.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "keys", "owner", "place", "sh", "n"])
-            keys, places, owners, size = [], [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "keys", "owner", "place", "sh", "n"])
+            keys, places, widely, owners, size = [], [], [], [], 0
 
         for _, _, tokens in _texts(batches, width):
             n = len(tokens)
@@ -260,20 +283,23 @@ def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, pe
                 continue
             seen.add(sh)
             p = prefix(n, percent)
+            common = np.zeros(n, np.int64)
             if len(hot_keys):
                 key = tokens & ~np.uint64(0xFFFF)
                 found = np.searchsorted(hot_keys, key)
                 found[found == len(hot_keys)] = 0
                 is_hot = hot_keys[found] == key
                 if is_hot.any():
-                    last = tokens[is_hot]
-                    tokens = np.concatenate([tokens[~is_hot], last[np.lexsort((last, rank[found[is_hot]]))]])
+                    last, counts = tokens[is_hot], rank[found[is_hot]]
+                    order = np.lexsort((last, counts))
+                    tokens = np.concatenate([tokens[~is_hot], last[order]])
+                    common[n - len(order) :] = counts[order]
             if n <= small and n > 2:
                 some = tokens[: p + 1]
                 i, j = np.triu_indices(len(some), 1)
-                entry(_mixed(some[i] * _MULTIPLY[0] + some[j] * _MULTIPLY[1]), np.zeros(len(i), np.int64), sh, n)
+                entry(_mixed(some[i] * _MULTIPLY[0] + some[j] * _MULTIPLY[1]), np.zeros(len(i), np.int64), np.minimum(common[i], common[j]) > LONGEST_GROUPED, sh, n)
             if n > small or 100 * n >= percent * (small + 1):
-                entry(tokens[:p], np.arange(min(p, n)), sh, n)
+                entry(tokens[:p], np.arange(min(p, n)), common[:p] > LONGEST_GROUPED, sh, n)
             if size > 500_000:
                 yield from flush()
                 if len(seen) > 100_000:
@@ -283,7 +309,9 @@ def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, pe
     def meet(part: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in part[name].to_pylist()])
         key, place, each = read("keys", "<u8"), read("place", "<u4").astype(np.int64), read("owner", "<u4")
-        sh, n = np.repeat(read("sh", "<i8"), each), np.repeat(read("n", "<u4").astype(np.int64), each)
+        # Sets by number; S16 leaves out zeros at the end, which all have the same length here and so tells no fewer apart.
+        ids, sh = np.unique(read("sh", "S16"), return_inverse=True)
+        sh, n = np.repeat(sh, each), np.repeat(read("n", "<u4").astype(np.int64), each)
         # Only keys that occur again matter; then the same set's entries from several tasks count once.
         order = np.argsort(key, kind="stable")
         starts, lengths = _runs(key[order])
@@ -324,12 +352,25 @@ def _listed(docs: DataFrame, hot: object, parts: int, small: int, width: int, pe
         null = pa.nulls(m, pa.int64())
         both = lambda x, y: pa.array(np.concatenate([x, y]), pa.int64())
         tail = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), null])
+        named_set = lambda x: _binary(ids[x].tobytes())
         return pa.table(
-            [pa.array(np.repeat([0, 1], [k, m]), pa.int32()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key[long].view(np.int64), pa.int64())]), both(a, sh[long]), both(na, n[long]), both(pa_, place[long]), tail(b), tail(nb), tail(pb), tail(shared)],
+            [pa.array(np.repeat([0, 1], [k, m]), pa.int32()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key[long].view(np.int64), pa.int64())]), named_set(np.concatenate([a, sh[long]])), both(na, n[long]), both(pa_, place[long]), pa.concat_arrays([named_set(b), pa.nulls(m, pa.binary())]), tail(nb), tail(pb), tail(shared)],
             names=["kind", "key", "a", "na", "pa", "b", "nb", "pb", "shared"],
         )
 
-    return stored(docs.mapInArrow(run, sent).groupBy("part").applyInArrow(meet, got))
+    @freed
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for row in x.to_pylist():
+                key, place, each = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["place"], "<u4"), np.frombuffer(row["owner"], "<u4")
+                sh, n = np.repeat(np.frombuffer(row["sh"], "V16"), each), np.repeat(np.frombuffer(row["n"], "<u4"), each)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), _binary(sh.tobytes()), pa.array(n, pa.int64()), pa.array(place, pa.int64())], names=["key", "a", "na", "pa"])
+
+    sent_rows = stored(docs.mapInArrow(run, sent))
+    grouped = stored(sent_rows.where("part >= 0").repartition(parts, "part").groupBy("part").applyInArrow(meet, pair))
+    # A set's entries come from each task that read it.
+    wide = stored(sent_rows.where("part < 0").mapInArrow(spread, "key long, a binary, na long, pa long").dropDuplicates(["key", "a"]))
+    return grouped, grouped.where("kind = 1").select("key", "a", "na", "pa").unionByName(wide), [sent_rows, wide]
 
 
 def _needed(na: str, nb: str, percent: int):
@@ -349,11 +390,18 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, small: int) ->
     meet all sets of the list that are not of their own component, within a factor of 4/3 in size.
     """
     known = entries.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    known = stored(known.withColumn("step", F.floor(F.log(F.col("na").cast("double")) / F.lit(np.log(100 / percent).item())).cast("long")))
+    step = F.floor(F.log(F.col("na").cast("double")) / F.lit(float(np.log(100 / percent)))) if percent < 100 else F.lit(0)
+    known = stored(known.withColumn("step", step.cast("long")))
     groups = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = groups.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    outside = known.join(largest, "key").where("root <> main").select("key", "main", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"), F.col("root").alias("root_b"), F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("step"))
-    met = known.join(outside, ["key", "step"]).where((F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, small))
+    largest = groups.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("rows")).where("roots > 1")
+    largest = stored(largest.select("key", "main", F.ceil(F.col("rows") / F.lit(SALT_ROWS)).alias("salts")))
+    known = known.join(few(largest, SENT_LISTS), "key")
+    # A long list is dealt to several tasks by its sets; each meets all that lie outside the largest component.
+    near = F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("step")
+    outside = known.where("root <> main").select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"), F.col("root").alias("root_b"), "salts", near)
+    outside = outside.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
+    met = dealt.join(outside, ["key", "step", "salt"]).where((F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, small))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -380,10 +428,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the inverted lists of theirs. Pairs must agree in size, in the place of the first common shingle and in the
     number of common first shingles; what is left is verified on whole sets. In lists of over LONG_LIST sets every set is first held against one leader;
     once components are known, only sets of different components meet (see _across), so a group of near copies
-    costs as many comparisons as it has members.
+    costs as many comparisons as it has members. Entries of very long lists are never gathered in one task, and a list is dealt to
+    many tasks where its sets meet. Sets are told apart by 128 bits. Texts of any length are read whole, copies once.
     """
-    if not 70 <= percent <= 100:
-        raise ValueError("percent: 70 to 100, so that sets of one or two shingles link with equal ones only")
+    if not 1 <= percent <= 100:
+        raise ValueError("percent: 1 to 100")
     spark = docs.sparkSession
     work = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     size = work.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -399,10 +448,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sums = counted.where("square IS NOT NULL").agg(F.sum("df"), F.sum("square")).first()
     partners = (sums[1] / sums[0] - 1) if sums and sums[0] else 0.0
     sizes = dict(map(tuple, classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1))).collect()))
-    small = boundary(sizes, partners, percent)
+    # Below, sets may link by one shingle alone, which 2-subsets do not show: then all but single shingles count as large.
+    small = boundary(sizes, partners, percent) if percent >= SUBSETS_FROM else 1
 
-    listed = _listed(work, hot, parts, small, width, percent)
-    entries = listed.where("kind = 1").select("key", "a", "na", "pa")
+    listed, entries, spare = _listed(work, hot, parts, small, width, percent)
+    hot.destroy()
     in_long = entries.groupBy("a").agg(F.count(F.lit(1)).alias("h"))
     pairs = listed.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.sum("shared").alias("shared"))
     pairs = pairs.where(_may_link(percent, small))
@@ -411,38 +461,41 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     past = lambda n: F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1
     enough = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= _needed("na", "nb", percent) - F.greatest(past("na"), past("nb"))
     pairs = pairs.where(enough).select("a", "b")
-    leaders = entries.groupBy("key").agg(F.min(F.struct("pa", "a", "na")).alias("leader"))
-    stars = entries.join(leaders, "key").select("a", "na", "pa", F.col("leader.a").alias("b"), F.col("leader.na").alias("nb"), F.col("leader.pa").alias("pb"))
+    leaders = stored(entries.groupBy("key").agg(F.min(F.struct("pa", "a", "na")).alias("leader")))
+    stars = entries.join(few(leaders, SENT_LISTS), "key").select("a", "na", "pa", F.col("leader.a").alias("b"), F.col("leader.na").alias("nb"), F.col("leader.pa").alias("pb"))
     stars = stars.where((F.col("a") != F.col("b")) & _may_link(percent, small)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.unionByName(stars).distinct())
 
     wanted = pairs.select(F.col("a").alias("sh")).unionByName(pairs.select(F.col("b").alias("sh"))).unionByName(entries.select(F.col("a").alias("sh"))).distinct()
     ids = stored(classes.join(wanted, "sh", "left_semi").select(F.col("least").alias("_wanted")).distinct())
-    sets = stored(work.join(few(ids, SENT_IDS), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").mapInArrow(_sets(width), "sh long, tokens array<long>"))
+    sets = stored(work.join(few(ids, SENT_IDS), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").mapInArrow(_sets(width), "sh binary, tokens array<long>"))
 
     links = _links(pairs, sets, percent)
     labels = components(links)
     more = _links(_across(entries, labels, percent, small), sets, percent)
     labels = stored(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    drop(listed, *spare, leaders, pairs, ids, sets, links, more)
 
     linked = classes.join(labels.withColumnRenamed("node", "sh"), "sh").select("sh", "n", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     groups = stored(linked.join(least, "root").select("sh", "n", "component"))
     named_classes = stored(classes.join(groups, ["sh", "n"], "left").select("sh", "n", "n_same", F.coalesce("component", "least").alias("component")))
+    drop(classes, labels, groups)
     done = owned.select("id", "n", "sh").join(named_classes, ["sh", "n"], "left")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"))
 
 
 def _sets(width: int):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
+        ids: list[bytes] = []
         tokens: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["sh", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["sh", "tokens"])
 
         for _, _, x in _texts(batches, width):
             if len(x) and (sh := set_id(x)) not in seen:

@@ -49,6 +49,32 @@ SENTENCES = {
     "cc0": "(?:this (?:work|article|page) is )?(?:released|licensed|dedicated) (?:under|to) (?:a |the )?(?:cc0|creative commons zero)(?: 1\\.0)?(?: universal)?(?: license)?\\.",
     "spdx-tag": "spdx-license-identifier: [a-z0-9.+-]+",
     "all-rights": "all rights reserved.",
+    "lgpl21-later": "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2\\.1 of the license, or \\(at your option\\) any later version.",
+    "lgpl3-later": "this (?:library|program) is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or \\(at your option\\) any later version.",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+    "lgpl-details": "see the gnu lesser general public license for more details.",
+    "lgpl-received": "you should have received a copy of the gnu lesser general public license along with this (?:library|program).",
+    "agpl3-later": "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or \\(at your option\\) any later version.",
+    "agpl-details": "see the gnu affero general public license for more details.",
+    "agpl-received": "you should have received a copy of the gnu affero general public license along with this program.",
+    "gpl2-only": "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license(?: version 2)? as published by the free software foundation[.;]",
+    "bsd4-advertise": "(?:3\\. )?all advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-liability": "in no event shall the (?:copyright owner or contributors|copyright holder or contributors|copyright holders or contributors|authors or contributors) be liable for any direct, indirect, incidental, special, exemplary, or consequential damages \\(including, but not limited to, procurement of substitute goods or services;",
+    "isc-liability": "in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    "0bsd-grant": "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted.",
+    "mit0-grant": 'permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so.',
+    "zlib-as-is": "this software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-name": "(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed) under the boost software license, version 1\\.0.",
+    "epl2-name": "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2\\.0 which (?:accompanies this distribution|is available at https?://www\\.eclipse\\.org/legal/epl-2\\.0/)\\.?",
+    "bsd-name": "(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?(?:new |modified |3-clause )bsd license.",
+    "bsd2-name": "(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?(?:simplified |2-clause )bsd license.",
+    "isc-name": "(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?isc license.",
+    "mpl-name": "(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mozilla public (?:license|license,) version 2\\.0.",
+    "unlicense-use": "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc-by-nc-nd": "(?:this (?:work|article|page) is )?(?:released|licensed|distributed) under (?:a |the )?(?:cc by-nc-nd|creative commons attribution-noncommercial-noderivatives) 4\\.0(?: international)?(?: license)?\\.",
+    "wtfpl": "(?:0\\. )?you just do what the fuck you want to.",
 }
 
 # SPDX identifiers that tags name; old forms by the identifier that replaces them. Other tags are spdx-tag, which no rule takes.
@@ -65,15 +91,49 @@ SENTENCES = {f"spdx-{x}": f"spdx-license-identifier: {x}" for x in _SPDX} | SENT
 
 # Ordered rules, each a sequence of sentences that stand for one license. Earlier rules take their sentences first.
 RULES = [
+    ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd4-advertise bsd-endorse bsd-as-is bsd-liability"),
+    ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd4-advertise"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse bsd-as-is bsd-liability"),
     ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse"),
+    ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-as-is bsd-liability"),
     ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary"),
+    ("LGPL-2.1-or-later", "lgpl21-later lgpl-hope lgpl-details lgpl-received"),
+    ("LGPL-2.1-or-later", "lgpl21-later lgpl-hope lgpl-details"),
+    ("LGPL-2.1-or-later", "lgpl21-later"),
+    ("LGPL-3.0-or-later", "lgpl3-later lgpl-hope lgpl-details lgpl-received"),
+    ("LGPL-3.0-or-later", "lgpl3-later gpl-hope lgpl-details lgpl-received"),
+    ("LGPL-3.0-or-later", "lgpl3-later"),
+    ("AGPL-3.0-or-later", "agpl3-later gpl-hope agpl-details agpl-received"),
+    ("AGPL-3.0-or-later", "agpl3-later gpl-hope agpl-details"),
+    ("AGPL-3.0-or-later", "agpl3-later"),
+    ("GPL-2.0-or-later", "gpl2-later gpl-hope gpl-details gpl-received"),
+    ("GPL-3.0-or-later", "gpl3-later gpl-hope gpl-details gpl-received"),
+    ("GPL-2.0-only", "gpl2-only gpl-hope gpl-details gpl-received"),
+    ("GPL-2.0-only", "gpl2-only gpl-hope gpl-details"),
+    ("GPL-2.0-only", "gpl2-only"),
     ("GPL-2.0-or-later", "gpl2-later gpl-hope gpl-details"),
     ("GPL-2.0-or-later", "gpl2-later"),
     ("GPL-3.0-or-later", "gpl3-later gpl-hope gpl-details"),
     ("GPL-3.0-or-later", "gpl3-later"),
     ("MIT", "mit-grant mit-notice mit-as-is mit-liability"),
     ("MIT", "mit-grant mit-notice"),
+    ("MIT-0", "mit0-grant mit-as-is mit-liability"),
+    ("MIT-0", "mit0-grant"),
+    ("ISC", "isc-grant isc-as-is isc-liability"),
     ("ISC", "isc-grant isc-as-is"),
+    ("0BSD", "0bsd-grant isc-as-is isc-liability"),
+    ("0BSD", "0bsd-grant"),
+    ("Zlib", "zlib-as-is zlib-liability zlib-grant"),
+    ("Zlib", "zlib-grant"),
+    ("BSL-1.0", "bsl-name"),
+    ("EPL-2.0", "epl2-name"),
+    ("BSD-3-Clause", "bsd-name"),
+    ("BSD-2-Clause", "bsd2-name"),
+    ("ISC", "isc-name"),
+    ("MPL-2.0", "mpl-name"),
+    ("Unlicense", "unlicense unlicense-use"),
+    ("WTFPL", "wtfpl"),
+    ("CC-BY-NC-ND-4.0", "cc-by-nc-nd"),
     ("ISC", "isc-grant"),
     ("Apache-2.0", "apache-name apache-comply apache-copy apache-as-is apache-specific"),
     ("Apache-2.0", "apache-name apache-comply"),
@@ -96,9 +156,6 @@ RULES = [
     *((license, f"spdx-{x}") for x, license in _SPDX.items()),
 ]
 
-#: A text without any of these (in any case) has no known sentence, and is not cut to sentences.
-HINTS = ("licens", "permission", "redistribut", "warrant", "public domain", "all rights reserved", "gnu general public", "no event shall", "mpl was not", "creative commons")
-_HINT = "|".join(h.replace(" ", r"[\s*#/;-]+") for h in HINTS)
 _PLAIN = str.maketrans({"(": r"\(", ")": r"\)", "+": r"\+", "*": r"\*", ".": r"\."})
 _TAG = "spdx-license-identifier:"
 #: A tag's first license as a sentence of its own; and what joins the next one to it, which becomes a tag.
@@ -114,13 +171,11 @@ _NORMAL = [
     (r"free[ \n]software([;:])[ \n]you[ \n]can[ \n]redistribute", "free software{1}\x02you can redistribute"),
     (r"free[ \n]software[ \n]foundation;[ \n]either[ \n]version", "free software foundation;\x02either version"),
     (r"without[ \n]any[ \n]warranty;[ \n]without[ \n]even", "without any warranty;\x02without even"),
-    (r"mozilla[ \n]public[ \n]license,[ \n]v\.[ \n]2\.0", "mozilla public license, v.\x022.0"),
-    _TAGGED,
-    *[(_JOINED, "{1}" + _TAG + "\x02"), _TAGGED] * 4,
-    (_JOINED, "{1}" + _TAG + "\x02more\x01"),
-    (r"([.!?:;])[ \n]", "{1}\x01"),
-    ("\x02", " "),
+    (r"(public[ \n]license,?)[ \n]v\.[ \n]2\.0", "{1} v.\x022.0"),
 ]
+#: In texts with a tag alone.
+_TAGS = [_TAGGED, *[(_JOINED, "{1}" + _TAG + "\x02"), _TAGGED] * 4, (_JOINED, "{1}" + _TAG + "\x02more\x01")]
+_ENDS = [(r"([.!?:;])[ \n]", "{1}\x01"), ("\x02", " ")]
 
 
 def _pattern(name: str) -> str:
@@ -138,9 +193,25 @@ def sentences(text: Column) -> Column:
     cut stay whole, and each license of an SPDX tag (after five, the rest at once) is a sentence.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
+    replaced = low
     for pattern, to in _NORMAL:
-        low = F.regexp_replace(low, pattern, to.format(None, "$1"))
-    return F.transform(F.split(low, "\x01"), lambda s: F.trim(s))
+        replaced = F.regexp_replace(replaced, pattern, to.format(None, "$1"))
+
+    def ended(text: Column, rules: list[tuple[str, str]]) -> Column:
+        for pattern, to in rules:
+            text = F.regexp_replace(text, pattern, to.format(None, "$1"))
+        return F.transform(F.split(text, "\x01"), lambda s: F.trim(s))
+
+    return once(replaced, lambda x: F.when(F.contains(x, F.lit(_TAG[:-1])), ended(x, [*_TAGS, *_ENDS])).otherwise(ended(x, _ENDS)))
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Matches what any known sentence matches: their patterns, joined.
+_ANY_SENTENCE = "|".join(_pattern(name) for name in SENTENCES if not name.startswith("spdx-")) + "|" + _pattern("spdx-tag")
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -148,7 +219,7 @@ def sentence_id(sentence: Column) -> Column:
     found = F
     for name in SENTENCES:
         found = found.when(sentence.rlike(_pattern(name)), F.lit(name))
-    return found
+    return F.when(sentence.rlike(_ANY_SENTENCE), found)
 
 
 def _rules(ids: Column) -> Column:
@@ -164,12 +235,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     sentence_ids: known license sentences in the text's order. Ordered rules replace sequences of them by licenses: those
     found are `licenses`, sorted and distinct; sentences that no rule takes are `unmatched`, in order. Null and empty texts and
-    texts without known sentences have empty strings and 0. Row by row, no shuffle; repeated rows get the same result, extra columns
-    pass through, and columns named as the results are replaced.
+    texts without known sentences have empty strings and 0. Every text is cut to sentences whole, whatever its length. A rule's sentences
+    follow one another in the order of known sentences: other text may stand between, as copyright lines and clauses do. Row by row, no
+    shuffle; repeated rows get the same result, an empty table gives no rows, extra columns pass through, and columns named as the results are replaced.
     """
     text = named(text_col)
     ids = F.filter(F.transform(sentences(text), sentence_id), lambda x: x.isNotNull())
-    ids = F.when(F.lower(text).rlike(_HINT), ids).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("sentence_ids", ids)
     out = out.withColumn("unmatched", F.when(F.size("sentence_ids") > 0, _rules(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")))
     licenses = F.array_sort(F.array_distinct(F.transform(F.filter("unmatched", lambda x: x.startswith("=")), lambda x: F.substr(x, F.lit(2)))))
@@ -187,21 +258,19 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    low = "lower(text)"
-    for pattern, to in _NORMAL:
-        to = to.format(None, "\\1")
-        low = f"regexp_replace({low}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    low = "lower(coalesce(text, ''))"
+    for pattern, to in [*_NORMAL, *_TAGS, *_ENDS]:
+        low = f"regexp_replace({low}, {quoted(pattern)}, {quoted(to.format(None, chr(92) + '1'))}, 'g')"
     ids = " ".join(f"WHEN regexp_matches(s, {quoted(_pattern(name))}) THEN {quoted(name)}" for name in SENTENCES)
     seq = "' ' || array_to_string(ids, '  ') || ' '"
     for license, rule in RULES:
         seq = f"replace({seq}, {quoted(' ' + rule.replace(' ', '  ') + ' ')}, {quoted(f' ={license} ')})"
     return rf"""
-WITH cut AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(text), {quoted(_HINT)}) THEN
-    list_filter(list_transform(list_transform(string_split({low}, chr(1)), lambda s: trim(s)), lambda s: CASE {ids} END), lambda x: x IS NOT NULL)
-    ELSE [] END AS ids
-  FROM documents),
-ruled AS (SELECT doc_id, ids, list_filter(string_split_regex({seq}, ' +'), lambda x: x <> '') AS parts FROM cut),
+WITH sentences AS (SELECT DISTINCT unnest(list_transform(string_split({low}, chr(1)), lambda s: trim(s))) AS s, doc_id, generate_subscripts(string_split({low}, chr(1)), 1) AS pos FROM documents),
+known AS (SELECT s, CASE {ids} END AS id FROM (SELECT DISTINCT s FROM sentences)),
+cut AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM sentences JOIN known USING (s) WHERE id IS NOT NULL GROUP BY doc_id),
+every AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN cut USING (doc_id)),
+ruled AS (SELECT doc_id, ids, list_filter(string_split_regex({seq}, ' +'), lambda x: x <> '') AS parts FROM every),
 found AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(parts, lambda x: starts_with(x, '=')), lambda x: substr(x, 2)))) AS licenses FROM ruled)
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_filter(parts, lambda x: NOT starts_with(x, '=')), ',') AS unmatched,
        array_to_string(licenses, ',') AS licenses, CAST(len(licenses) AS BIGINT) AS n_licenses
