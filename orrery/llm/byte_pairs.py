@@ -25,8 +25,10 @@ BUCKETS = 65521
 SHORT = 32
 #: Text of the documents whose distinct words are encoded together.
 BLOCK_BYTES = 3 << 20
-#: Words that are encoded once for all blocks; about 24 bytes each in memory.
-MOST_SENT = 1_000_000
+#: Words that are encoded once for all blocks, of SENT_BYTES at most: at most 12 bytes and two for each byte of the word, about 24 in all.
+MOST_SENT, SENT_BYTES = 1_000_000, 64
+#: Words whose ids one row carries to the driver.
+WORDS_PER_ROW = 50_000
 
 
 @lru_cache(2)
@@ -171,17 +173,18 @@ def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_words(docs: DataFrame, path: str, pattern: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (in ascending order, and their further bits), bounds and ids of the most frequent pre-tokens, at most `most` and each found twice or more.
+    """Hashes (in ascending order, and their further bits), bounds and ids of the most frequent pre-tokens of SENT_BYTES at most, at most `most` and each found twice or more.
 
     Counted over all documents; counts fall into levels of a sixteenth of a doubling, and the level that would exceed the bound is left out with those below.
     """
 
+    @freed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _blocks(batches):
             words, numbers, _ = numbered(texts[0], pattern)
             yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)), pa.int64())], names=["word", "n"])
 
-    counted = stored(docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    counted = stored(docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= SENT_BYTES)))
     level = F.floor(16 * F.log2(F.col("n").cast("double")))
     least, left = 0, most
     for n, k in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1))).orderBy(F.desc("level")).collect():
@@ -192,16 +195,29 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, most: int) -> tuple
     chosen = counted.where(level >= least)
 
     raw = F.transform(F.regexp_extract_all(F.hex(F.col("word").cast("binary")), F.lit("(..)")), lambda x: F.conv(x, 16, 10).cast("int"))
-    found = chosen.select("word", encoded(raw, ranks(path)).alias("ids")).toArrow()
-    # Some words at a time as Python strings.
-    parts = [_hashes(b.column(0)) for b in found.select(["word"]).to_batches(max_chunksize=20_000)]
-    h, g = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, kind in ((0, np.uint64), (1, np.uint32)))
-    lists = pa.concat_arrays(found["ids"].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    del found, parts
+
+    @freed
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, WORDS_PER_ROW):
+                some = b.slice(at, WORDS_PER_ROW)
+                (h, g), lists = _hashes(some.column(0)), some.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                blobs = (h, g, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("<u1"), ids.astype("<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], names=["h", "g", "n", "ids"])
+
+    # The words stay where they are: their hashes and ids come, some thousand in a row.
+    found = chosen.select("word", encoded(raw, ranks(path)).alias("ids")).mapInArrow(pack, "h binary, g binary, n binary, ids binary").toArrow()
+    read = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found[name])])
+    h, g, n, ids = read("h", "<u8"), read("g", "<u4"), read("n", "<u1").astype(np.int64), read("ids", "<u4")
+    del found
+    drop(counted)
+    ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 65536 else np.int32)
     order = np.argsort(h, kind="stable")
-    lists = lists.take(pa.array(order))
-    ids = lists.values.to_numpy(zero_copy_only=False)
-    return h[order], g[order], lists.offsets.to_numpy(), ids.astype(np.uint16 if not len(ids) or ids.max() < 65536 else np.int32)
+    first, each = (np.cumsum(n) - n)[order], n[order]
+    ends = np.cumsum(each)
+    ids = ids[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    return h[order], g[order], np.concatenate([[0], ends]).astype(np.int32), ids
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
@@ -235,7 +251,8 @@ def encode(
     Pre-tokens are counted first; the most frequent (MOST_SENT at most) are encoded once and sent to every executor. Then a
     task gathers documents to blocks of BLOCK_BYTES and numbers their distinct words; those that were not sent are
     encoded in the block's own row, by the same fold; and each document's ids are put together from its words'. Only
-    words are shuffled, never texts.
+    words are shuffled, never texts. A word of any length is folded; one of n bytes costs as many steps as it has merges of different ranks,
+    each over what is left of it, so a run of letters of a megabyte takes minutes.
     """
     fields, make = instead or ([T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda ids: [ids])
     keep = others(docs, *(f.name for f in fields)) if keep is None else list(keep)
@@ -247,6 +264,7 @@ def encode(
     sent_words, sent_lists = context.broadcast(found[:2]), context.broadcast(found[2:])
     del found
 
+    @freed
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -268,6 +286,7 @@ def encode(
 
     out = T.StructType([*kept.fields, *fields])
 
+    @freed
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
