@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.frames import named, stored
+from orrery.llm.frames import few, freed, named, stored
 
 ROLES = ("system", "user", "assistant")
 #: Which role may follow which; "" is the beginning. A conversation may end after `user` or `assistant` alone.
@@ -20,7 +21,10 @@ STATES = tuple(LEGAL)
 ENDS = frozenset({"user", "assistant"})
 ACTIONS = ("keep", "merge", "relabel", "merge and relabel")
 NEVER = 1 << 60
-ROWS_PER_PIECE = 4096
+#: A piece of conversations ends after so many turns or bytes of text.
+ROWS_PER_PIECE, PIECE_BYTES = 4096, 4 << 20
+#: Pieces whose ends are sent to every executor; beyond, ends and pieces are shuffled to each other.
+SENT_PIECES = 50_000
 HEAD, TAIL, JOIN = "<|im_start|>{role}\n", "<|im_end|>\n", "\n\n"
 
 
@@ -160,89 +164,129 @@ def rendered(roles: list[str], texts: list[str], start: int, end: int, before: i
         yield m.role, m.action, ",".join(m.inserted), m.cost, seq, "".join(parts)
 
 
-def _runs(part: pa.Table) -> Iterator[list[int]]:
-    """Row numbers of each conversation of a piece, in order."""
-    convs, rows = part["conv"].to_pylist(), []
-    for k in part["at"].to_numpy().argsort(kind="stable").tolist():
-        if rows and convs[rows[-1]] != convs[k]:
-            yield rows
-            rows = []
-        rows.append(k)
-    if rows:
-        yield rows
+def _clean(role: str | None) -> str:
+    return (role or "").strip().lower()
+
+
+def _runs(convs: list) -> Iterator[tuple[int, int]]:
+    """Where each conversation of a piece begins and ends."""
+    start = 0
+    for k in range(1, len(convs) + 1):
+        if k == len(convs) or convs[k] != convs[start]:
+            yield start, k
+            start = k
 
 
 def format_chats(
     turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rows_per_piece: int = ROWS_PER_PIECE
 ) -> DataFrame:
-    """Every turn repaired and rendered: conv, turn, role_in, role, action, inserted, cost, seq, rendered.
+    """Every turn repaired and rendered: conv, turn, role_in, role, action, inserted, cost, seq, position, rendered.
 
     A conversation's turns, by turn number, are made legal (LEGAL: a system turn or none, then user and assistant in alternation)
     at the least cost, by merging turns into the one before, relabelling them or inserting empty turns before them;
-    moves() settles ties. seq numbers the turns that come out, from 0; a merged turn has the seq of the turn that it continues.
-    A conversation's rendering is its strings `rendered`, joined in order. Roles are trimmed and lower-cased, null and other ones are
-    unknown; null texts are empty; rows of null conversations are one conversation; null turn numbers come first. Rows of equal turn
-    numbers follow one another by role and text, repeated rows are turns of their own. An empty table gives no rows; other columns are left out.
+    moves() settles ties. seq numbers the turns that come out, from 0; a merged turn has the seq of the turn that it continues. position
+    numbers the rows of a conversation from 0 without gaps: its strings `rendered`, joined by position, are its rendering. Roles are trimmed and
+    lower-cased, null and other ones are unknown; null texts are empty, texts may be of any length; rows of null conversations are one
+    conversation; null turn numbers come first. Rows of equal turn numbers follow one another by role and text, whatever the partitions; repeated
+    rows are turns of their own. An empty table gives no rows; other columns are left out, whatever their names.
 
     Turns are dealt by ranges of (conversation, turn), so that one which holds much of the table lies in many tasks, and cut
-    to pieces of rows_per_piece turns. For a conversation in several pieces, each piece gives its least costs from
-    state to state (a table of one size); these are combined in order, and then every piece is repaired by itself between its known ends.
+    to pieces of at most rows_per_piece turns and PIECE_BYTES, which are written, a row for each. Of a piece's first and last conversation, which can go
+    on in others, the least costs from state to state (a table of one size) are sent and combined in order; then every piece is repaired by
+    itself, where it lies, between its known ends.
     """
     spark = turns.sparkSession
     work = turns.select(named(conv_col).alias("conv"), named(turn_col).alias("turn"), named(role_col).cast("string").alias("role_in"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-work.count() // (16 * rows_per_piece)))
-    ranged = work.repartitionByRange(parts, "conv", "turn", "role_in", F.xxhash64("text")).sortWithinPartitions("conv", "turn", "role_in", "text").withColumn("part", F.spark_partition_id())
-    integer, conv_field = (lambda n: T.StructField(n, T.IntegerType())), T.StructField("conv", work.schema["conv"].dataType)
-    dealt = T.StructType([*ranged.schema.fields, integer("piece"), integer("at")])
-
+    start = F.substring("text", 1, 64)
+    ranged = work.withColumn("start", start).repartitionByRange(parts, "conv", "turn", "role_in", "start").sortWithinPartitions("conv", "turn", "role_in", "text").drop("start").withColumn("part", F.spark_partition_id())
+    conv_type, turn_type = work.schema["conv"].dataType, work.schema["turn"].dataType
+    integer = lambda n: T.StructField(n, T.IntegerType())
+    texts = T.ArrayType(T.StringType())
+    piece = T.StructType([integer("part"), integer("piece"), T.StructField("convs", T.ArrayType(conv_type)), T.StructField("turns", T.ArrayType(turn_type)), T.StructField("roles", texts), T.StructField("texts", texts)])
+
+    @freed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in batches:
-            places = range(at, at + b.num_rows)
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k // rows_per_piece for k in places], pa.int32()), pa.array([k % rows_per_piece for k in places], pa.int32())], names=dealt.names)
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = stored(ranged.mapInArrow(cut, dealt))
-    clean = lambda r: (r or "").strip().lower()
+        schema, number = to_arrow_schema(piece), 0
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
 
-    # Only a piece's first and last conversations can go on in others.
-    cross = T.StructType([conv_field, integer("part"), integer("piece"), T.StructField("costs", T.ArrayType(T.LongType()))])
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole[c].combine_chunks())
+            columns = [pa.array([whole["part"][0].as_py()], pa.int32()), pa.array([number], pa.int32()), *(one(c) for c in ("conv", "turn", "role_in", "text"))]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def tables(part: pa.Table) -> pa.Table:
-        convs, roles = part["conv"].to_pylist(), [clean(r) for r in part["role_in"].to_pylist()]
-        runs = list(_runs(part))
-        runs = runs[:1] + runs[1:][-1:]
-        where = [pa.array(part[n].to_pylist()[:1] * len(runs), pa.int32()) for n in ("part", "piece")]
-        return pa.table([pa.array([convs[r[0]] for r in runs], part.schema.field("conv").type), *where, pa.array([crossings([roles[k] for k in r], costs) for r in runs], pa.list_(pa.int64()))], names=cross.names)
+        for b in batches:
+            lengths = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+            at = 0
+            for k, n in enumerate(lengths.tolist(), 1):
+                rows, size = rows + 1, size + n
+                if rows == rows_per_piece or size >= PIECE_BYTES:
+                    held.append(b.slice(at, k - at))
+                    yield flush()
+                    held, rows, size, number, at = [], 0, 0, number + 1, k
+            if at < b.num_rows:
+                held.append(b.slice(at))
+        if held:
+            yield flush()
+
+    pieces = stored(ranged.mapInArrow(cut, piece))
+    cross = T.StructType([T.StructField("conv", conv_type), integer("part"), integer("piece"), integer("run"), T.StructField("rows", T.LongType()), T.StructField("costs", T.ArrayType(T.LongType()))])
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    ended = T.StructType([conv_field, *(integer(n) for n in ("part", "piece", "first", "last")), T.StructField("before", T.LongType()), T.StructField("final", T.BooleanType())])
+        for b in batches:
+            found = []
+            for x in b.to_pylist():
+                runs = list(_runs(x["convs"]))
+                for k in sorted({0, len(runs) - 1}):
+                    a, z = runs[k]
+                    found.append({"conv": x["convs"][a], "part": x["part"], "piece": x["piece"], "run": k, "rows": z - a, "costs": crossings([_clean(r) for r in x["roles"][a:z]], costs)})
+            yield pa.RecordBatch.from_pylist(found, schema=to_arrow_schema(cross))
 
-    def combine(conv: pa.Table) -> pa.Table:
-        own = sorted(zip(conv["part"].to_pylist(), conv["piece"].to_pylist(), conv["costs"].to_pylist(), strict=True))
-        ends = through([c for _, _, c in own], costs)
-        columns = [pa.array([x[i] for x in own], pa.int32()) for i in (0, 1)] + [pa.array([e[i] for e in ends], pa.int32()) for i in (0, 1)]
-        convs = pa.array([conv["conv"][0].as_py()] * len(own), conv.schema.field("conv").type)
-        return pa.table([convs, *columns, pa.array([e[2] for e in ends], pa.int64()), pa.array([k == len(own) - 1 for k in range(len(own))])], names=ended.names)
+    ended = T.StructType([*(integer(n) for n in ("part", "piece", "run", "first", "last")), *(T.StructField(n, T.LongType()) for n in ("before", "position")), T.StructField("final", T.BooleanType())])
 
-    several = rows.select("conv", "role_in", "part", "piece", "at").groupBy("part", "piece").applyInArrow(tables, cross)
+    def combine(conv: pa.Table) -> pa.Table:
+        own = sorted(zip(conv["part"].to_pylist(), conv["piece"].to_pylist(), conv["run"].to_pylist(), conv["rows"].to_pylist(), conv["costs"].to_pylist(), strict=True))
+        ends = through([c for *_, c in own], costs)
+        position, found = 0, []
+        for k, ((part, piece, run, rows, _), (first, last, before)) in enumerate(zip(own, ends, strict=True)):
+            found.append((part, piece, run, first, last, before, position, k == len(own) - 1))
+            position += rows
+        kinds = [pa.int32()] * 5 + [pa.int64()] * 2 + [pa.bool_()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=ended.names)
+
+    several = pieces.select("part", "piece", "convs", "roles").mapInArrow(tables, cross)
     ends = several.groupBy("conv").applyInArrow(combine, ended)
-    out = T.StructType([*(rows.schema[n] for n in ("conv", "turn", "role_in")), *(T.StructField(n, T.StringType()) for n in ("role", "action", "inserted")), T.StructField("cost", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("rendered", T.StringType())])
-
-    def repair(part: pa.Table, ends: pa.Table) -> pa.Table:
-        known = {c: x for c, *x in zip(*(ends[n].to_pylist() for n in ("conv", "first", "last", "before", "final")), strict=True)}
-        convs, roles, texts = part["conv"].to_pylist(), [clean(r) for r in part["role_in"].to_pylist()], part["text"].to_pylist()
-        order: list[int] = []
-        found: list[tuple] = []
-        for run in _runs(part):
-            own = [roles[k] for k in run]
-            first, last, before, final = known.get(convs[run[0]]) or (0, last_state(ways(own, 0, costs)[0], costs), 0, True)
-            order += run
-            found += rendered(own, [texts[k] for k in run], first, last, before, final, costs)
-        kept = part.select(["conv", "turn", "role_in"]).take(pa.array(order, pa.int64()))
-        role, action, inserted, cost, seq, text = zip(*found, strict=True) if found else [()] * 6
-        return pa.table([*kept.columns, pa.array(role, pa.string()), pa.array(action, pa.string()), pa.array(inserted, pa.string()), pa.array(cost, pa.int64()), pa.array(seq, pa.int64()), pa.array(text, pa.string())], names=out.names)
-
-    done = rows.groupBy("part", "piece").cogroup(ends.groupBy("part", "piece")).applyInArrow(repair, out)
+    of_piece = ends.groupBy("part", "piece").agg(F.collect_list(F.struct("run", "first", "last", "before", "position", "final")).alias("ends"))
+    out = T.StructType(
+        [T.StructField("conv", conv_type), T.StructField("turn", turn_type), *(T.StructField(n, T.StringType()) for n in ("role_in", "role", "action", "inserted")), *(T.StructField(n, T.LongType()) for n in ("cost", "seq", "position")), T.StructField("rendered", T.StringType())]
+    )
+
+    @freed
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        for b in batches:
+            for k in range(b.num_rows):
+                x = b.slice(k, 1).to_pylist()[0]
+                known = {e["run"]: (e["first"], e["last"], e["before"], e["position"], e["final"]) for e in x["ends"]}
+                found: list[list] = [[] for _ in schema]
+                for run, (a, z) in enumerate(_runs(x["convs"])):
+                    roles = [_clean(r) for r in x["roles"][a:z]]
+                    first, last, before, position, final = known.get(run) or (0, last_state(ways(roles, 0, costs)[0], costs), 0, 0, True)
+                    for i, (role, action, inserted, cost, seq, text) in enumerate(rendered(roles, x["texts"][a:z], first, last, before, final, costs)):
+                        for column, value in zip(found, (x["convs"][a + i], x["turns"][a + i], x["roles"][a + i], role, action, inserted, cost, seq, position + i, text), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
+
+    # One short row for each piece: sent to all tasks while they are few.
+    done = pieces.join(few(stored(of_piece), SENT_PIECES), ["part", "piece"]).select("ends", "convs", "turns", "roles", "texts").mapInArrow(repair, out)
     return done.withColumnsRenamed({"conv": conv_col, "turn": turn_col})
 
 
