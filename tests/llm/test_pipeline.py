@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import corpus_pipeline
@@ -24,7 +25,8 @@ def plain(rows):
     for i, t in rows.items():
         base = pii.detect(t)
         spans = sorted(base + pii.deobfuscated(t, base))
-        out[i] = pii.redacted(t, spans) if spans else t
+        hidden = pii.secrets(t)
+        out[i] = pii.redacted(t, spans, hidden)
     return out
 
 
@@ -45,3 +47,23 @@ def test_stages_keep_the_columns_and_survive_empty_tables(spark, sf_dir):
                 assert out.count() <= table.count()
             else:
                 out.count()
+
+
+def test_stages_take_nulls_repeats_and_any_names(spark, sf_dir):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a, b = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(300))
+    schema = "doc_id long, text string, n_chars long, kept string, _row int, `a``b` int, _id int, spans string"
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, None), (5, ""), (None, a), (None, a + " x" * 5), (6, "z " * 90000), (7, a), (7, a)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "k", 1, 2, 3, "s") for i, t in rows], schema)
+    near = corpus_pipeline.without_near_copies(spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in near.collect()) == sorted([(1, len(a)), (2, len(b)), (4, 0), (5, 0), (6, 180000)])
+    judged = corpus_pipeline.judged(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r["a`b"], r.kept) for r in judged) == sorted((i or 0, 2, "k") for i, t in rows if t and "z " not in t)
+    for stage in (corpus_pipeline.without_common_lines, corpus_pipeline.redacted):
+        found = stage(spark, docs, sf_dir)
+        left = lambda i, t: "" if stage is corpus_pipeline.without_common_lines and t == a and i != 7 else t or ""  # noqa: E731, B023
+        assert found.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted((i or 0, left(i, t)) for i, t in rows)
+    check = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert len({(r.sequence_id, r.offset) for r in check}) == len(check) and sum(r.start == 0 for r in check) == len(rows)
