@@ -293,20 +293,20 @@ def redacted(text: str, spans: list[Span], hidden: list[tuple[int, int]] = ()) -
 
 
 # Names under which secrets are set, and the shapes of keys that tell themselves.
-_SECRET = re.compile(
-    r"""(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[A-Za-z0-9_/+=.-]{12,})"""
-    r"|(?-i:\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
-)
+_SET = re.compile(r"""(?ai)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[a-z0-9_/+=.-]{12,})""")
+_KEYS = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+#: One of these is in every match of _SET, in lower case; of _KEYS, as it stands.
+_SET_HINTS, _KEY_HINTS = ("token", "secret", "passw", "key"), ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_", "xox", "-----BEGIN ")
 
 
 def secrets(text: str) -> list[tuple[int, int]]:
     """Places of secrets, which are no personal data and so no spans: values of twelve signs or more that hold a digit, and known keys."""
-    found = []
-    for m in _SECRET.finditer(text):
-        a, b = m.span("value") if m["value"] else m.span()
-        if not m["value"] or any(map(str.isdigit, m["value"])):
-            found.append((a, b))
-    return found
+    found, low = [], text.lower()
+    if any(w in low for w in _SET_HINTS):
+        found += [m.span("value") for m in _SET.finditer(text) if any(map(str.isdigit, m["value"]))]
+    if any(w in text for w in _KEY_HINTS):
+        found += [m.span() for m in _KEYS.finditer(text)]
+    return sorted(found)
 
 
 FIELDS = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [
