@@ -165,7 +165,7 @@ _JOINED = "(\x01" + _TAG + r"\x02[^\x01]*\x01+)(?: with [a-z0-9.+-]+)?\)* (?:and
 _NORMAL = [
     ("[“”]|``|''", '"'),
     (r"(^|\n)[ \t]*(?:/\*+|\*+/?|#+|//+|--|;+|rem )[ \t]*", "{1}"),
-    (r"[ \t\r\f\x0B]+", " "),
+    (r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "),
     (r" ?\n ?", "\n"),
     (r"\n\n+", "\x01"),
     (r"free[ \n]software([;:])[ \n]you[ \n]can[ \n]redistribute", "free software{1}\x02you can redistribute"),
@@ -178,11 +178,15 @@ _TAGS = [_TAGGED, *[(_JOINED, "{1}" + _TAG + "\x02"), _TAGGED] * 4, (_JOINED, "{
 _ENDS = [(r"([.!?:;])[ \n]", "{1}\x01"), ("\x02", " ")]
 
 
-def _pattern(name: str) -> str:
-    """A known sentence at the beginning of a sentence or of one of its lines, up to the sentence's end."""
+def _body(name: str) -> str:
     text = SENTENCES[name]
     text = text if re.search(r"\(\?|\\|\[", text) else text.translate(_PLAIN)
-    return r"(?:^|\n)(?:" + text.replace(" ", r"[ \n]") + ")$"
+    return text.replace(" ", r"[ \n]")
+
+
+def _pattern(name: str) -> str:
+    """A known sentence at the beginning of a sentence or of one of its lines, up to the sentence's end."""
+    return rf"(?:^|\n)(?:{_body(name)})$"
 
 
 def sentences(text: Column) -> Column:
@@ -211,7 +215,7 @@ def once(value: Column, body) -> Column:
 
 
 #: Matches what any known sentence matches: their patterns, joined.
-_ANY_SENTENCE = "|".join(_pattern(name) for name in SENTENCES if not name.startswith("spdx-")) + "|" + _pattern("spdx-tag")
+_ANY_SENTENCE = "(?:^|\\n)(?:" + "|".join(_body(name) for name in SENTENCES if not name.startswith("spdx-") or name == "spdx-tag") + ")$"
 
 
 def sentence_id(sentence: Column) -> Column:
