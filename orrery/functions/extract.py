@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 # The patterns by which references are recognised.
 PROPERTY, NAME = r'"Property"\s*:\s*"([^"]+)"', r'"Name"\s*:\s*"([^"]+)"'
-BRACKET, TABLE_COLUMN, WORD = r"\[([^\]]+)\]", r"'([^']+)'\[([^\]]+)\]", r"\b[a-zA-Z0-9_]+\b"
+BRACKET, TABLE_COLUMN, WORD = r"\[([^\]]+)\]", r"'([^']+)'\[([^\]]+)\]", r"[a-zA-Z0-9_]+"
 SQL_FROM = r"(?i)FROM\s+`?([\w-]+)`?\.`?([\w-]+)`?\.`?([\w-]+)`?"
 M_PROJECT = r'\[Name\s*=\s*"?([^",\]]+)"?'
 M_SCHEMA = r'\{\[Name\s*=\s*"?([^",]+)"?\s*,\s*Kind\s*=\s*"?Schema"?\s*\]\}'
 M_OBJECT = r'\{\[Name\s*=\s*"?([^",]+)"?\s*,\s*Kind\s*=\s*"?(View|Table)"?\s*\]\}'
 USE_RELATIONSHIP = r"USERELATIONSHIP\s*\(\s*'?([^'\[]+?)'?\s*\[\s*([^\]]+?)\s*\]\s*,\s*'?([^'\[]+?)'?\s*\[\s*([^\]]+?)\s*\]\s*\)"
 EXTERNAL_MEASURE = r'EXTERNALMEASURE\s*\(\s*"([^"]+)"\s*,\s*\w+\s*,\s*"([^"]+)"\s*\)'
+DAX_PLACEHOLDER, DAX_YEAR = r"DateTable|MeasureName|Table'\[Col\]|\[MeasureName\]", r"\bDATE\s*\(\s*(\d{4})\s*,"
 WRITE_VERBS = "insert|update|delete|merge|create|alter|drop|truncate|grant|revoke|call|execute|begin|commit|rollback|load|export"
 
 
@@ -128,12 +129,12 @@ def dax_verdict(dax: Column, year: int | None = None) -> Column:
     """ok, or why a DAX query is refused. DATE(y, ...) must lie within a year of this one."""
     year = year or datetime.now(UTC).year
     text = F.trim(F.coalesce(dax, F.lit("")))
-    years = F.transform(matches(text, r"(?i)\bDATE\s*\(\s*(\d{4})\s*,"), lambda y: y.cast("int"))
+    years = F.transform(matches(text, f"(?i){DAX_YEAR}"), lambda y: y.cast("int"))
     inner = F.rtrim(F.regexp_replace(text, r";$", ""))
     return (
         F.when(text == "", "empty")
         .when(~F.upper(text).startswith("EVALUATE"), "not EVALUATE")
-        .when(text.rlike(r"(?i)<[a-z_ ]+>|\[(measure|column|table)[ _]?name\]"), "placeholder")
+        .when(text.rlike(f"(?i){DAX_PLACEHOLDER}"), "placeholder")
         .when(inner.contains(";"), "several statements")
         .when(F.exists(years, lambda y: ~y.between(year - 1, year + 1)), "year")
         .otherwise("ok")

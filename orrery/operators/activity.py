@@ -45,12 +45,12 @@ def workspace_profile(items: DataFrame, workspace_id: str, most: int = 10) -> di
     }
 
 
-def filled(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """left with nulls of the columns filled from right by trimmed keys; of right's rows of one key the last by all columns counts. What left has stays."""
-    clean = lambda df: df.select(*(F.trim(F.col(k)).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"_r_{c}") for c in columns))
+def filled(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """left with nulls of the columns filled from right by trimmed keys; of right's rows of one key the last by `order` counts, or by all columns. What left has stays."""
+    clean = lambda df: df.select(*(F.trim(F.col(k)).alias(f"_{k}") for k in keys), (F.col(order) if order else F.lit(0)).alias("_order"), *(F.col(c).alias(f"_r_{c}") for c in columns))
     own = clean(right)
     fill = [f"_r_{c}" for c in columns]
-    own = own.groupBy(*(f"_{k}" for k in keys)).agg(F.max(F.struct(*fill)).alias("_r"))
+    own = own.groupBy(*(f"_{k}" for k in keys)).agg(F.max_by(F.struct(*fill), F.struct("_order", *fill)).alias("_r"))
     on = [F.trim(F.col(k)) == F.col(f"_{k}") for k in keys]
     joined = left.join(own, on, "left")
     return joined.select(*(F.coalesce(F.col(c), F.col(f"_r._r_{c}")).alias(c) if c in columns else F.col(c) for c in left.columns))

@@ -8,23 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import names, rules
-from orrery.storage import few, stored
+from orrery.storage import drop, few, stored
 
 REACH_DEPTH, REACH_NODES, PATH_DEPTH, MOST_PATHS, FULL_DEPTH = 15, 500, 30, 50, 1000
 
 
 def classified(graph: DataFrame) -> DataFrame:
-    """Staged graph rows as edges between typed nodes, with kind (an explicit one wins) and level; one for each pair."""
+    """Staged graph rows as edges between typed nodes, with kind (an explicit one wins) and level; of rows of one pair the first by `seq` stays, where there is such a column."""
     end = lambda side: names.node_id(F.col(f"{side}_type"), F.col(f"{side}_id"))
     rows = graph.select(
         end("source").alias("source"), end("target").alias("target"), rules.edge_kind_or_explicit(F.col("edge_kind"), F.col("source_type"), F.col("target_type")).alias("kind"),
-        rules.edge_level(F.col("source_type"), F.col("target_type")).alias("level"), F.col("lineage_type"),
+        rules.edge_level(F.col("source_type"), F.col("target_type")).alias("level"), F.col("lineage_type"), (F.col("seq") if "seq" in graph.columns else F.lit(0)).alias("seq"),
     )
-    return rows.groupBy("source", "target").agg(F.min(F.struct("kind", "level", "lineage_type")).alias("e")).select("source", "target", "e.*")
+    own = F.struct("kind", "level", "lineage_type")
+    return rows.groupBy("source", "target").agg(F.min_by(own, F.struct("seq", "kind", "level", "lineage_type")).alias("e")).select("source", "target", "e.*")
 
 
 def reclassified(edges: DataFrame) -> DataFrame:
@@ -78,14 +79,16 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
 
 
-def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", depth: int = REACH_DEPTH, most: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", depth: int = REACH_DEPTH, most: int | None = None, blocked: DataFrame | None = None, until: str | None = None) -> DataFrame:
     """(node_id, distance) of all nodes within `depth` steps of the starts (node_id), the starts at 0.
 
-    Blocked nodes are not entered; starts are exempt. With `most`, the nearest so many besides the starts, ties by id. Cycles are no matter.
+    Blocked nodes are not entered; starts are exempt. With `most`, the nearest so many besides the starts, ties by id. With `until`, the search
+    ends with the round that finds this node. Cycles are no matter. Edges are stored once; those of stored() are read where they lie.
     """
-    steps = stored(directed(edges, direction))
+    own = None if hasattr(edges, "_stored_at") else stored(edges.select("source", "target"))
+    steps = directed(edges if own is None else own, direction)
     if blocked is not None:
-        steps = stored(steps.join(blocked.select(F.col("node_id").alias("next")), "next", "left_anti").select("at", "next"))
+        steps = steps.join(few(stored(blocked.select(F.col("node_id").alias("next")).distinct())), "next", "left_anti").select("at", "next")
     frontier = stored(starts.select("node_id").distinct().withColumn("distance", F.lit(0)))
     seen = frontier
     for d in range(1, depth + 1):
@@ -94,11 +97,15 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", dept
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if until is not None and not frontier.where(F.col("node_id") == until).isEmpty():
+            break
+    drop(own)
     return seen if most is None else seen.where("distance = 0").unionByName(seen.where("distance > 0").orderBy("distance", "node_id").limit(most))
 
 
 def both_ways(edges: DataFrame, starts: DataFrame, **more) -> DataFrame:
     """The least distance up or down."""
+    edges = stored(edges.select("source", "target"))
     up, down = reachable(edges, starts, "up", **more), reachable(edges, starts, "down", **more)
     return up.unionByName(down).groupBy("node_id").agg(F.min("distance").alias("distance"))
 
@@ -107,8 +114,12 @@ def used_where(edges: DataFrame, starts: DataFrame, most: int = 60) -> tuple[Dat
     """Counts and least distance of what is downstream by type, and at most so many ids of each type."""
     reached = reachable(edges, starts).where("distance > 0").withColumn("group", names.type_of_node(F.col("node_id")))
     by = reached.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.min("distance").alias("nearest"))
-    ids = F.slice(F.array_sort(F.collect_list(F.struct("distance", "node_id"))), 1, most)
-    return by, reached.groupBy("group").agg(F.transform(ids, lambda x: x["node_id"]).alias("ids"))
+    # The first of each of some parts of a type, then the first of those: no array or task holds all ids of a type.
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "node_id"))
+    some = reached.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(256))).withColumn("place", place("group", "part")).where(F.col("place") <= most)
+    some = some.withColumn("place", place("group")).where(F.col("place") <= most)
+    ids = F.array_sort(F.collect_list(F.struct("place", "node_id")))
+    return by, some.groupBy("group").agg(F.transform(ids, lambda x: x["node_id"]).alias("ids"))
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, direction: str = "down", depth: int = PATH_DEPTH, most: int = MOST_PATHS, blocked: DataFrame | None = None) -> DataFrame:
@@ -121,7 +132,7 @@ def shortest_paths(edges: DataFrame, source: str, target: str, direction: str =
     one = lambda node: spark.createDataFrame([(node,)], "node_id string")
     if blocked is not None:
         blocked = blocked.where(~F.col("node_id").isin(source, target))
-    near = stored(reachable(edges, one(source), direction, max(1, min(depth, PATH_DEPTH)), blocked=blocked))
+    near = stored(reachable(edges, one(source), direction, max(1, min(depth, PATH_DEPTH)), blocked=blocked, until=target))
     found = near.where(F.col("node_id") == target).first()
     empty = spark.createDataFrame([], "path array<string>, hops int")
     if found is None:
@@ -177,7 +188,7 @@ def column_ego(edges: DataFrame, container: str, depth: int = 2, direction: str
     return every, kept
 
 
-def closure(edges: DataFrame, targets: DataFrame, most_rounds: int = FULL_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(node_id, reached) for every node from which a target (node_id) is reached in a step or more: true reachability, cycles included.
 
     Semi-naive: a round extends only the pairs that the one before found. Pairs are restricted to the targets, never node by node.
@@ -185,7 +196,7 @@ def closure(edges: DataFrame, targets: DataFrame, most_rounds: int = FULL_DEPTH)
     steps = stored(edges.select("source", "target").distinct())
     delta = stored(steps.join(targets.select(F.col("node_id").alias("target")), "target", "left_semi").select(F.col("source").alias("node_id"), F.col("target").alias("reached")))
     every = delta
-    for _ in range(most_rounds):
+    while True:
         new = steps.join(delta.withColumnRenamed("node_id", "target"), "target").select(F.col("source").alias("node_id"), "reached").distinct()
         delta = stored(new.join(every, ["node_id", "reached"], "left_anti"))
         if delta.isEmpty():
@@ -219,9 +230,20 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 
 def two_hops_across(edges: DataFrame) -> DataFrame:
-    """(first, middle, last) where the first and the last are of different tools."""
-    out = edges.select(F.col("source").alias("first"), F.col("target").alias("middle")).join(edges.select(F.col("source").alias("middle"), F.col("target").alias("last")), "middle")
-    return out.where(F.substring_index("first", "_", 1) != F.substring_index("last", "_", 1)).select("first", "middle", "last").distinct()
+    """(first, middle, last) where the first and the last are of different tools. Edges are made distinct before they are joined."""
+    pairs = edges.select("source", "target").distinct()
+    tool = lambda c: F.substring_index(c, "_", 1)
+    into = pairs.select(F.col("source").alias("first"), F.col("target").alias("middle"), tool("source").alias("tool"))
+    out = pairs.select(F.col("source").alias("middle"), F.col("target").alias("last"), tool("target").alias("other"))
+    return into.join(out, "middle").where("tool <> other").select("first", "middle", "last")
+
+
+def two_hop_counts(edges: DataFrame) -> DataFrame:
+    """(middle, hops): how many rows two_hops_across() has for each middle node, by multiplying counts of each tool: a hub costs as many rows as it has tools."""
+    pairs = edges.select("source", "target").distinct()
+    side = lambda middle, end, tool, n: pairs.groupBy(F.col(middle).alias("middle"), F.substring_index(end, "_", 1).alias(tool)).agg(F.count(F.lit(1)).alias(n))
+    both = side("target", "source", "tool", "a").join(side("source", "target", "other", "b"), "middle").where("tool <> other")
+    return both.groupBy("middle").agg(F.sum(F.col("a") * F.col("b")).alias("hops"))
 
 
 def fan_out(edges: DataFrame, source_type: str, without: Sequence[str] = ("DBT_TEST", "DBT_COLUMN"), most: int = 15) -> DataFrame:
@@ -237,20 +259,24 @@ def hubs(edges: DataFrame, threshold: int) -> DataFrame:
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, layer): the longest path that ends in a node; nodes in a cycle or behind one are at 0.
 
-    Rounds as the graph is deep: a node's layer is settled when all its predecessors are.
+    Rounds as the graph is deep: nodes whose predecessors are all settled are freed, and the edges that leave them alone are counted off their
+    targets.
     """
     steps = stored(edges.where("source <> target").select("source", "target").distinct().join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi").join(nodes.select(F.col("node_id").alias("target")), "target", "left_semi"))
-    left, settled = stored(nodes.select("node_id").distinct()), None
+    waits = steps.groupBy(F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("waits"))
+    every = nodes.select("node_id").distinct().join(waits, "node_id", "left")
+    settled = freed = stored(every.where("waits IS NULL").select("node_id", F.lit(0).alias("layer")))
+    left = stored(every.where("waits IS NOT NULL"))
     d = 0
-    while True:
-        waiting = steps.join(left.withColumnRenamed("node_id", "source"), "source", "left_semi").select(F.col("target").alias("node_id")).distinct()
-        free = stored(left.join(waiting, "node_id", "left_anti").withColumn("layer", F.lit(d)))
-        if free.isEmpty():
-            break
-        settled = free if settled is None else settled.unionByName(free)
-        left, d = stored(left.join(free, "node_id", "left_anti")), d + 1
-    rest = left.withColumn("layer", F.lit(0))
-    return rest if settled is None else settled.unionByName(rest)
+    while not freed.isEmpty():
+        d += 1
+        off = steps.join(few(freed.select(F.col("node_id").alias("source"))), "source").groupBy(F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("off"))
+        before, left = left, stored(left.join(few(stored(off)), "node_id", "left").select("node_id", (F.col("waits") - F.coalesce("off", F.lit(0))).alias("waits")))
+        drop(before)
+        freed = stored(left.where("waits = 0").select("node_id", F.lit(d).alias("layer")))
+        settled = settled.unionByName(freed)
+        left = left.where("waits > 0")
+    return settled.unionByName(left.select("node_id", F.lit(0).alias("layer")))
 
 
 def hop_layers(edges: DataFrame, start: str) -> DataFrame:
@@ -299,3 +325,78 @@ def tree(items: DataFrame, levels: Sequence[Column]) -> DataFrame:
     rolled = items.select(*keys).rollup(*(f"level_{i}" for i in range(len(levels)))).agg(F.count(F.lit(1)).alias("leaves"), F.grouping_id().alias("gid"))
     return rolled.withColumn("depth", F.lit(len(levels)) - F.bit_count("gid")).drop("gid")
 
+
+
+def backfilled(edges: DataFrame, nodes: DataFrame, producers: Sequence[str], consumer_types: Sequence[str], report_types: Sequence[str] = ("PB_REPORT",)) -> DataFrame:
+    """(node_id, is_unused, connected_reports) of the producers' types: unused without an edge to a consumer type; distinct reports that are reached."""
+    own = nodes.where(F.col("group").isin(*producers)).select("node_id")
+    free = unused(edges, own, consumer_types).withColumn("is_unused", F.lit(True))
+    reports = nodes.where(F.col("group").isin(*report_types))
+    reached = closure(edges, reports).groupBy("node_id").agg(F.countDistinct("reached").alias("connected_reports"))
+    joined = own.join(free, "node_id", "left").join(reached, "node_id", "left")
+    return joined.select("node_id", F.coalesce("is_unused", F.lit(False)).alias("is_unused"), F.coalesce("connected_reports", F.lit(0)).alias("connected_reports"))
+
+
+def upstream_tree(edges: DataFrame, nodes: DataFrame, start: str, prefix: str = "DBT_", depth: int = 10) -> DataFrame:
+    """(depth, node_id, name, group) of what lies upstream of a node along edges from one tool's nodes, nearest first, then by name."""
+    own = edges.where(F.col("source").startswith(prefix))
+    near = reachable(own, edges.sparkSession.createDataFrame([(start,)], "node_id string"), "up", depth).where("distance > 0")
+    return near.join(nodes.select("node_id", "name", "group"), "node_id").select(F.col("distance").alias("depth"), "node_id", "name", "group").orderBy("depth", "name", "node_id")
+
+
+def reached_in_order(reached: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, distance, group, name) of what reachable() found, farthest first, then by group and name in any case."""
+    return reached.join(nodes.select("node_id", "group", "name"), "node_id").select("node_id", "distance", "group", "name").orderBy(F.desc("distance"), "group", F.lower("name"), "node_id")
+
+
+def outside_workspace(nodes: DataFrame, workspace: str, prefix: str = "PB_") -> DataFrame:
+    """(node_id) of one tool's nodes whose workspace_name is another than this; nodes without one are not blocked."""
+    return nodes.where(F.col("node_id").startswith(prefix) & (F.trim(F.coalesce("workspace_name", F.lit(""))) != "") & (F.trim("workspace_name") != workspace)).select("node_id")
+
+
+def directory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Assets without the members that containers load later: (node_id, name, group, members)."""
+    held = edges.where("kind = 'contains'").groupBy(F.col("source").alias("node_id")).agg(F.countDistinct("target").alias("members"))
+    assets = nodes.where(~F.col("group").isin(*rules.MEMBER_TYPES))
+    return assets.join(held, "node_id", "left").select("node_id", "name", "group", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+def member_search(nodes: DataFrame, edges: DataFrame, text: str, most: int = 50) -> DataFrame:
+    """(node_id, name, container) of members whose name holds the text in any case, with their first container; by name."""
+    box = edges.where("kind = 'contains'").groupBy(F.col("target").alias("node_id")).agg(F.min("source").alias("container"))
+    found = nodes.where(F.col("group").isin(*rules.MEMBER_TYPES) & F.contains(F.lower("name"), F.lit(text.lower())))
+    return found.join(box, "node_id", "left").select("node_id", "name", "container").orderBy(F.lower("name"), "node_id").limit(most)
+
+
+def name_search(nodes: DataFrame, text: str, most: int = 25) -> DataFrame:
+    """Nodes by exact id, else by exact name, else by names that hold the text, in any case; at most `most` by name."""
+    low = F.lower(F.trim("name"))
+    stage = F.when(F.col("node_id") == text, 0).when(low == text.strip().lower(), 1).when(F.contains(low, F.lit(text.strip().lower())), 2)
+    hits = nodes.withColumn("stage", stage).where("stage IS NOT NULL")
+    return hits.join(F.broadcast(hits.agg(F.min("stage").alias("stage"))), "stage").select("node_id", "name", "group", "stage").orderBy(low, "node_id").limit(most)
+
+
+def measure_dependencies(nodes: DataFrame, edges: DataFrame, measure: str) -> DataFrame:
+    """(side, node_id, name) of a measure: its home tables (containers), the measures it uses and the measures that use it."""
+    named = nodes.select("node_id", "name", "group")
+    up = edges.where(F.col("target") == measure).select(F.col("source").alias("node_id")).join(named, "node_id")
+    down = edges.where(F.col("source") == measure).select(F.col("target").alias("node_id")).join(named, "node_id")
+    side = lambda df, kind, label: df.where(F.col("group") == kind).select(F.lit(label).alias("side"), "node_id", "name").distinct()
+    return side(up, "PB_TABLE", "home").unionByName(side(up, "PB_MEASURE", "uses")).unionByName(side(down, "PB_MEASURE", "used by"))
+
+
+def resolved_nodes(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """refs (ref, dataset, table, name) with node_id and rank: by dataset, table and name, else table and name, else dataset and name, else name alone.
+
+    items: (item_type, item_id, dataset_id, table_name, item_name). Of several items with one key the first by id counts; null where none matches.
+    """
+    out = refs
+    for rank, keys in enumerate((("dataset", "table", "name"), ("table", "name"), ("dataset", "name"), ("name",))):
+        of = {"dataset": "dataset_id", "table": "table_name", "name": "item_name"}
+        known = items.groupBy(*(F.lower(F.trim(of[k])).alias(f"_{k}") for k in keys)).agg(F.min(F.struct("item_id", "item_type")).alias(f"_found{rank}"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & (F.lower(F.trim(k)) == F.col(f"_{k}"))
+        out = out.join(known, on, "left").drop(*(f"_{k}" for k in keys))
+    found = F.coalesce(*(F.when(F.col(f"_found{r}").isNotNull(), F.struct(F.lit(r).alias("rank"), F.col(f"_found{r}").alias("i"))) for r in range(4)))
+    return out.withColumn("_f", found).select("ref", names.node_id(F.col("_f.i.item_type"), F.col("_f.i.item_id")).alias("node_id"), F.col("_f.rank").alias("rank"))

@@ -240,10 +240,15 @@ def edge_classify(spark, d):
     return graph.reclassified(typed).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"WITH {star.EDGES_SQL} SELECT DISTINCT source AS node_id FROM edges UNION SELECT target FROM edges")
+def _staged(spark, d) -> DataFrame:
+    """The edges as staged rows: ends by name, id and type."""
+    end = lambda c: [F.col(c), names.id_of_node(F.col(c)).alias(f"{c}_id"), names.type_of_node(F.col(c)).alias(f"{c}_type")]
+    return star.edges(spark, d).select(*end("source"), *end("target"))
+
+
+@query(f"WITH {star.EDGES_SQL} SELECT node_id, node_id AS name, split_part(node_id, '::', 1) AS \"group\" FROM (SELECT source AS node_id FROM edges UNION SELECT target FROM edges)")
 def graph_nodes_union(spark, d):
-    own = star.edges(spark, d)
-    return own.select(F.col("source").alias("node_id")).union(own.select("target")).distinct()
+    return graph.nodes_of(_staged(spark, d))
 
 
 @query(f"""WITH {star.EDGES_SQL}, {star.NODES_SQL}
@@ -307,9 +312,10 @@ def downstream_counts(spark, d):
     return graph.downstream_counts(star.edges(spark, d), star.nodes(spark, d), ["PB_REPORT"])
 
 
-@query("SELECT 'PB_MEASURE::' || p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT 'PB_MEASURE::' || p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unused_producers(spark, d):
-    return graph.unused(star.edges(spark, d), star.nodes(spark, d).where("group = 'PB_MEASURE'").select("node_id"), ["PB_VISUAL"])
+    used = star.table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("PB_MEASURE::"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("PB_VISUAL::"), F.col("l_orderkey").cast("string")).alias("target")).distinct()
+    return graph.unused(used, star.nodes(spark, d).where("group = 'PB_MEASURE'").select("node_id"), ["PB_VISUAL"])
 
 
 @query(f"""WITH {star.EDGES_SQL}, {star.NODES_SQL}, a AS (SELECT DISTINCT source, target FROM edges WHERE source IN (SELECT node_id FROM nodes) AND target IN (SELECT node_id FROM nodes)),
@@ -324,9 +330,9 @@ def layering(spark, d):
     return graph.layers(star.edges(spark, d), star.nodes(spark, d))
 
 
-@query(f"WITH {star.EDGES_SQL} SELECT a.target AS middle, count(*) AS hops FROM edges a JOIN edges b ON b.source = a.target WHERE split_part(a.source, '_', 1) <> split_part(b.target, '_', 1) GROUP BY a.target")
+@query(f"WITH {star.EDGES_SQL} SELECT a.target AS middle, CAST(count(*) AS BIGINT) AS hops FROM edges a JOIN edges b ON b.source = a.target WHERE split_part(a.source, '_', 1) <> split_part(b.target, '_', 1) GROUP BY a.target")
 def two_hops_across(spark, d):
-    return graph.two_hops_across(star.edges(spark, d)).groupBy("middle").agg(F.count(F.lit(1)).alias("hops"))
+    return graph.two_hop_counts(star.edges(spark, d))
 
 
 @query(f"WITH {star.EDGES_SQL} SELECT node_id, count(*) AS degree FROM (SELECT source AS node_id FROM edges UNION ALL SELECT target FROM edges) GROUP BY node_id HAVING count(*) > 30")
@@ -486,9 +492,9 @@ def field_extract(spark, d):
     return star.table(spark, d, "pages").select("page_id", extract.visual_fields(config).alias("fields"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\[([^\\]]+)\\]', 1)) AS tokens, len(regexp_extract_all(text, '\\b[a-zA-Z0-9_]+\\b', 0)) AS words FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("SELECT doc_id, coalesce(len(regexp_extract_all(text, '\\[([^\\]]+)\\]', 1)), 0) AS tokens, coalesce(len(regexp_extract_all(text, '[a-zA-Z0-9_]+', 0)), 0) AS words FROM documents")
 def bracket_tokens(spark, d):
-    own = star.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    own = star.table(spark, d, "documents")
     return own.select("doc_id", F.size(extract.bracket_tokens(F.col("text"))).cast("long").alias("tokens"), F.size(extract.words(F.col("text"))).cast("long").alias("words"))
 
 
