@@ -184,7 +184,7 @@ def format_chats(
 
     A conversation's turns, by turn number, are made legal (LEGAL: a system turn or none, then user and assistant in alternation)
     at the least cost, by merging turns into the one before, relabelling them or inserting empty turns before them;
-    moves() settles ties. seq numbers the turns that come out, from 0; a merged turn has the seq of the turn that it continues. position
+    moves() settles ties of one turn; of several repairs of one cost, the one taken may depend on where pieces are cut. seq numbers the turns that come out, from 0; a merged turn has the seq of the turn that it continues. position
     numbers the rows of a conversation from 0 without gaps: its strings `rendered`, joined by position, are its rendering. Roles are trimmed and
     lower-cased, null and other ones are unknown; null texts are empty, texts may be of any length; rows of null conversations are one
     conversation; null turn numbers come first. Rows of equal turn numbers follow one another by role and text, whatever the partitions; repeated
