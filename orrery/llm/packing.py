@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +21,9 @@ END_ID = 2
 #: Documents that are packed together on average; enough windows that one more or less is little padding.
 DOCS_PER_BLOCK = 1024
 #: Words a worker remembers; then it starts anew.
-REMEMBERED = 60_000
+REMEMBERED = 300_000
+#: Text that is encoded at a time: words that repeat in it are looked up once.
+ENCODED_BYTES = 4 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -99,15 +102,21 @@ class WordIds:
             yield ids[a:b]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that tasks after the first start with its words."""
+    return WordIds(path)
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of PIECES: each document's ids and END_ID, cut every `window` ids. Null texts are empty: END_ID alone."""
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             row = 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), ENCODED_BYTES):
                 out: list[tuple] = []
                 for ids in ids_of.texts(part):
                     raw = ids.tobytes() + end
