@@ -390,7 +390,8 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, small: int) ->
     meet all sets of the list that are not of their own component, within a factor of 4/3 in size.
     """
     known = entries.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    step = F.floor(F.log(F.col("na").cast("double")) / F.lit(float(np.log(100 / percent)))) if percent < 100 else F.lit(0)
+    # A little is added so that sizes at a step's very edge do not fall below it by rounding.
+    step = F.floor(F.log(F.col("na").cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)) if percent < 100 else F.lit(0)
     known = stored(known.withColumn("step", step.cast("long")))
     groups = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = groups.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("rows")).where("roots > 1")
