@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Spellings of the warehouse's dialect and Spark's.
 DIALECT = [(r"(?i)\bSAFE_CAST\s*\(", "try_cast("), (r"(?i)\bINT64\b", "BIGINT"), (r"(?i)\bFLOAT64\b", "DOUBLE"), (r"(?i)\bBOOL\b", "BOOLEAN"), (r"(?i)\bEXCEPT\s*\((?=[\w`, ]+\)\s*FROM)", "EXCEPT(")]
 RELATION = re.compile(r"(?i)\b(FROM|JOIN)\s+((?:`[^`]+`|[A-Za-z_][\w$-]*)(?:\.(?:`[^`]+`|[A-Za-z_][\w$-]*))*)")
+QUOTED = re.compile(r"(?s)'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/")
+CTE_NAME = re.compile(r"(?i)(?:\bWITH(?:\s+RECURSIVE)?|,)\s+(`[^`]+`|[A-Za-z_]\w*)\s*(?:\([\w\s,`]*\)\s*)?AS\s*\(")
+FIELD_FROM = re.compile(r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\Z")
 
 
 @dataclass(frozen=True)
@@ -97,8 +100,14 @@ def lineage_of(spark: SparkSession, model: str, sql: str, relations: Mapping[str
     views: dict[str, str] = {}
     mark = uuid.uuid4().hex[:8]
 
+    # FROM within quotes, comments and functions names no relation, and a name that WITH defines hides one outside.
+    quoted = [m.span() for m in QUOTED.finditer(sql)]
+    made = {_clean(m[1]) for m in CTE_NAME.finditer(QUOTED.sub(lambda m: " " * len(m[0]), sql))}
+
     def placed(m: re.Match) -> str:
         key = _clean(m[2])
+        if key in made or any(a <= m.start() < b for a, b in quoted) or m[1].upper() == "FROM" and FIELD_FROM.search(sql, 0, m.start()):
+            return m[0]
         known = index.get(key) or next((full for k, full in index.items() if k.endswith("." + key)), None)
         if known is None:
             return m[0]

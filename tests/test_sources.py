@@ -167,6 +167,20 @@ def test_column_lineage(spark):
     ])
 
 
+def test_names_that_are_no_relations(spark):
+    relations = {"wh.raw.orders": {"o_id": "bigint", "placed": "timestamp"}, "wh.s.stg_orders": {"o_id": "bigint", "placed": "timestamp"}}
+    models = {
+        "hidden": ("WITH orders AS (SELECT o_id AS id FROM wh.s.stg_orders), more AS (SELECT id FROM orders) SELECT id FROM more", None),
+        "quoted": ("SELECT o_id, 'x FROM orders' AS note -- all FROM stg_orders\nFROM wh.raw.orders /* JOIN wh.s.stg_orders */", None),
+        "field": ("SELECT EXTRACT(YEAR FROM placed) AS y FROM wh.raw.orders", None),
+    }
+    edges, skipped = column_lineage.project_lineage(spark, models, relations)
+    assert skipped == []
+    assert rows(edges, "source", "source_column", "target", "target_column", "lineage_type") == sorted([
+        ("wh.s.stg_orders", "o_id", "hidden", "id", "pass-through"), ("wh.raw.orders", "o_id", "quoted", "o_id", "pass-through"), ("wh.raw.orders", "placed", "field", "y", "transformation"),
+    ])
+
+
 def test_usage_sources(spark):
     views = spark.createDataFrame([("A", "2026-05-02", 1, "web", "app", 5), ("A", "2026-05-09", 1, "web", "app", 3), ("A", "2026-05-02", 2, "web", "app", 3), ("B", "2026-05-02", 1, "web", "app", 0)], "report string, date string, user_key long, consumption string, distribution string, views int")
     users = spark.createDataFrame([(1, "{u-alice}", None), (2, None, "bob@x.org")], "user_key long, guid string, email string")
