@@ -26,8 +26,9 @@ def indexed(relationships: DataFrame) -> DataFrame:
 
 
 def paths(relationships: DataFrame, dataset_id: str, start: str, end: str, hops: int = MOST_HOPS) -> DataFrame:
-    """(path, cardinalities, inactive_hops, hops): the shortest join paths from one table to another in a dataset, in either
-    direction of relationships; tables do not repeat on a path. The same table: one path of no hops. First in the order of paths.
+    """(path, cardinalities, inactive_hops, hops): the shortest join path from one table to another in a dataset, in either
+    direction of relationships; of several that with the fewest inactive hops, then the first in the order of paths. Tables do not
+    repeat on it. The same table: a path of no hops.
     """
     spark = relationships.sparkSession
     own = relationships.where(F.col("dataset_id") == dataset_id)

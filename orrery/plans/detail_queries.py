@@ -392,9 +392,9 @@ def asset_directory(spark, d):
     return graph.directory(*_boxes(spark, d))
 
 
-@query(f"WITH {_BOXES} SELECT 'PB_COLUMN::' || p_partkey AS node_id, p_name AS name, (SELECT min(source) FROM boxes WHERE target = 'PB_COLUMN::' || p_partkey) AS container FROM part WHERE contains(lower(p_name), 'or') ORDER BY lower(p_name), node_id LIMIT 50")
+@query(f"WITH {_BOXES} SELECT 'PB_COLUMN::' || p_partkey AS node_id, p_name AS name, (SELECT min(source) FROM boxes WHERE target = 'PB_COLUMN::' || p_partkey) AS container FROM part WHERE contains(lower(p_name), 'ol') ORDER BY lower(p_name), node_id LIMIT 50")
 def member_names(spark, d):
-    return graph.member_search(*_boxes(spark, d), "OR")
+    return graph.member_search(*_boxes(spark, d), "OL")
 
 
 @query(f"WITH {_BOXES} SELECT target AS node_id, min(source) AS card, 'model' AS card_kind FROM boxes GROUP BY target UNION ALL SELECT DISTINCT source, source, 'model' FROM boxes")

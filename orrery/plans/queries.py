@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date
 
@@ -531,13 +532,21 @@ def column_lineage(spark, d):
     return lineage.project_lineage(spark, models, relations)[0]
 
 
-@query("SELECT 'lineitem>orders>customer>nation>region' AS path, 'm:o>m:o>m:o>m:o' AS cardinalities, 0 AS inactive_hops, 4 AS hops")
+@query("""WITH RECURSIVE r AS (SELECT lower(p_brand) AS brand, lower(p_type) AS type, max(p_size) > 45 AS active FROM part GROUP BY ALL),
+s AS (SELECT brand AS "at", type AS next, 'm:o' AS card, active FROM r UNION ALL SELECT type, brand, 'o:m', active FROM r),
+w AS (SELECT ['brand#1'] AS p, CAST([] AS VARCHAR[]) AS c, 0 AS inactive, 0 AS hops UNION ALL
+  SELECT list_append(p, next), list_append(c, card), inactive + CASE WHEN active THEN 0 ELSE 1 END, hops + 1 FROM w JOIN s ON s."at" = p[-1] WHERE hops < 4 AND NOT list_contains(p, next))
+SELECT array_to_string(p, '>') AS path, array_to_string(c, '>') AS cardinalities, inactive AS inactive_hops, hops FROM w WHERE p[-1] IN ('promo', 'brand#9', 'brand#17')
+QUALIFY row_number() OVER (PARTITION BY p[-1] ORDER BY hops, inactive, p) = 1""")
 def relationship_path(spark, d):
     from orrery.operators import relationships
 
-    pairs = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
-    rel = spark.createDataFrame([("star", *p, "many", "one", "single", True) for p in pairs], "dataset_id string, from_table string, from_column string, to_table string, to_column string, from_cardinality string, to_cardinality string, cross_filter string, is_active boolean")
-    return relationships.paths(rel, "star", "lineitem", "region").select(F.array_join("path", ">").alias("path"), F.array_join("cardinalities", ">").alias("cardinalities"), "inactive_hops", "hops")
+    pairs = star.table(spark, d, "part").groupBy(F.col("p_brand").alias("from_table"), F.col("p_type").alias("to_table")).agg((F.max("p_size") > 45).alias("is_active"))
+    one = {"dataset_id": "star", "from_column": "p_type", "to_column": "p_type", "from_cardinality": "many", "to_cardinality": "one", "cross_filter": "single"}
+    rel = pairs.select(*(F.lit(v).alias(k) for k, v in one.items()), "from_table", "to_table", "is_active")
+    found = [relationships.paths(rel, "star", "Brand#1", end) for end in ("PROMO", "Brand#9", "Brand#17")]
+    rows = functools.reduce(DataFrame.unionByName, found)
+    return rows.select(F.array_join("path", ">").alias("path"), F.array_join("cardinalities", ">").alias("cardinalities"), "inactive_hops", "hops")
 
 
 @query("SELECT c_custkey AS id, upper(substr(split_part(c_name, '#', 1), 1, 2)) AS initials, regexp_replace(lower(trim(c_mktsegment || ' ' || c_custkey)), '[^a-z0-9_.-]+', '_', 'g') AS slug, '0::' || lower(trim(c_name)) AS measure_key FROM customer")
