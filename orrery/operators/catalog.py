@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.names import blank_to_null, qualified_name
+from orrery.storage import few, stored
 
 #: Columns that may be filtered by equality and by which lists may be ordered.
 FILTERS = ("item_type", "service", "workspace_id", "workspace_name", "dataset_id", "dataset_name", "table_name", "status", "is_unused", "datatype", "column_type", "item_group_id", "database_name", "schema_name")
@@ -188,11 +189,11 @@ def profile(item: DataFrame, edges: DataFrame, nodes: DataFrame, siblings: DataF
     """One item's parts: identity, what it uses and what uses it, and the rest of its group."""
     from orrery.functions.names import node_id
 
-    own = item.select(node_id(F.col("item_type"), F.col("item_id")).alias("own"))
+    own = few(item.select(node_id(F.col("item_type"), F.col("item_id")).alias("own")))
     named = nodes.select(F.col("node_id").alias("other"), "name", "group")
-    up = edges.join(F.broadcast(own.withColumnRenamed("own", "target")), "target").select(F.col("source").alias("other"), "kind").join(named, "other", "left")
-    down = edges.join(F.broadcast(own.withColumnRenamed("own", "source")), "source").select(F.col("target").alias("other"), "kind").join(named, "other", "left")
-    rest = siblings.join(F.broadcast(item.select("group_id", F.col("item_id").alias("_own"))), "group_id").where("item_id <> _own").drop("_own")
+    up = edges.join(own.withColumnRenamed("own", "target"), "target").select(F.col("source").alias("other"), "kind").join(named, "other", "left")
+    down = edges.join(own.withColumnRenamed("own", "source"), "source").select(F.col("target").alias("other"), "kind").join(named, "other", "left")
+    rest = siblings.join(few(item.select("group_id", F.col("item_id").alias("_own"))), "group_id").where("item_id <> _own").drop("_own")
     return {"identity": item, "uses": up, "used_by": down, "siblings": rest}
 
 
@@ -205,14 +206,15 @@ def schema_bundle(measure: DataFrame, items: DataFrame, relationships: DataFrame
     home = measure.select("dataset_id", F.col("table_name").alias("table"), "expression", F.col("item_id").alias("_own"))
     said = home.select("dataset_id", F.explode(extract.table_columns(F.col("expression"))["table"]).alias("table"))
     named = home.select("dataset_id", "table").unionByName(said).where("table IS NOT NULL").distinct()
+    named = few(stored(named))
     ends = relationships.select("dataset_id", F.col("from_table").alias("table"), F.col("to_table").alias("other")).unionByName(relationships.select("dataset_id", F.col("to_table").alias("table"), F.col("from_table").alias("other")))
-    tables = named.unionByName(ends.join(F.broadcast(named), ["dataset_id", "table"]).select("dataset_id", F.col("other").alias("table"))).distinct()
-    own = relationships.join(F.broadcast(home.select("dataset_id").distinct()), "dataset_id", "left_semi")
+    tables = few(stored(named.unionByName(ends.join(named, ["dataset_id", "table"]).select("dataset_id", F.col("other").alias("table"))).distinct()))
+    own = relationships.join(few(home.select("dataset_id").distinct()), "dataset_id", "left_semi")
     keys = own.select("dataset_id", F.col("from_table").alias("table"), F.col("from_column").alias("item_name")).unionByName(own.select("dataset_id", F.col("to_table").alias("table"), F.col("to_column").alias("item_name"))).distinct().withColumn("is_key", F.lit(True))
-    columns = items.where("item_type = 'PB_COLUMN'").withColumnRenamed("table_name", "table").join(F.broadcast(tables), ["dataset_id", "table"], "left_semi").join(keys, ["dataset_id", "table", "item_name"], "left")
+    columns = items.where("item_type = 'PB_COLUMN'").withColumnRenamed("table_name", "table").join(tables, ["dataset_id", "table"], "left_semi").join(keys, ["dataset_id", "table", "item_name"], "left")
     place = Window.partitionBy("dataset_id", "table").orderBy(F.when(F.col("is_key"), 0).otherwise(1), "item_name", "item_id")
     columns = columns.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most_columns)
-    siblings = items.where("item_type = 'PB_MEASURE'").withColumnRenamed("table_name", "table").join(F.broadcast(home.select("dataset_id", "table", "_own")), ["dataset_id", "table"]).where("item_id <> _own").orderBy("item_name", "item_id").limit(most_siblings)
+    siblings = items.where("item_type = 'PB_MEASURE'").withColumnRenamed("table_name", "table").join(few(home.select("dataset_id", "table", "_own")), ["dataset_id", "table"]).where("item_id <> _own").orderBy("item_name", "item_id").limit(most_siblings)
     activated = home.select("dataset_id", F.explode(extract.activated_relationships(F.col("expression"))).alias("r")).select("dataset_id", "r.*")
     return {"tables": tables, "columns": columns, "relationships": own, "activated": activated, "siblings": siblings}
 
