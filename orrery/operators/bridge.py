@@ -100,3 +100,26 @@ def relation_index(models: DataFrame) -> DataFrame:
     two = F.concat_ws(".", relation_name(F.col("schema_name")), relation_name(F.col("alias")))
     keyed = models.select("item_id", three.alias("three"), two.alias("two"))
     return keyed.groupBy(F.col("three").alias("key")).agg(F.min("item_id").alias("item_id")).unionByName(unique_by(keyed, "two", "item_id").withColumnRenamed("two", "key"))
+
+
+def resolved_relations(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """refs (ref) with item_id: the last three parts of the name as relation_index() has them, else the last two; null where neither is known."""
+    parts = F.transform(F.split("ref", r"\."), relation_name)
+    tail = lambda n: F.when(F.size(parts) >= n, F.concat_ws(".", F.slice(parts, -n, n)))
+    known = lambda n: index.select(F.col("key").alias(f"_k{n}"), F.col("item_id").alias(f"_i{n}"))
+    asked = refs.withColumn("_k3", tail(3)).withColumn("_k2", tail(2))
+    return asked.join(known(3), "_k3", "left").join(known(2), "_k2", "left").select(*refs.columns, F.coalesce("_i3", "_i2").alias("item_id"))
+
+
+def owned_columns(tables: DataFrame, models: DataFrame, pbi_columns: DataFrame, dbt_columns: DataFrame, by_name: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both tools' columns with their owners, as bridge_columns() takes them.
+
+    A model owns the columns of its dataset_id. A BI table owns the columns of its name, of any dataset unless by_name is off. BI columns of one
+    table name and column name are reduced to the first by id before the join.
+    """
+    keys = ["table_name"] if by_name else ["dataset_id", "table_name"]
+    first = pbi_columns.groupBy(*keys, bridge_name(F.col("item_name")).alias("item_name")).agg(F.min("item_id").alias("item_id"))
+    owners = tables.select(F.col("item_id").alias("owner"), F.col("item_name").alias("table_name"), *keys[:-1])
+    pbi = first.join(owners, keys).select("owner", "item_id", "item_name")
+    dbt = dbt_columns.join(models.select(F.col("item_id").alias("owner"), "dataset_id"), "dataset_id").select("owner", "item_id", "item_name")
+    return pbi, dbt

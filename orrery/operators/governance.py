@@ -116,3 +116,45 @@ def exported(groups: DataFrame, items: DataFrame, people: DataFrame, departments
 
 def with_primary(groups: DataFrame, group_id: int, item_id: str) -> DataFrame:
     return groups.withColumn("primary_item_id", F.when(F.col("id") == group_id, F.lit(item_id)).otherwise(F.col("primary_item_id")))
+
+
+def items_updated(items: DataFrame, groups: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(items, groups) after changes of items (item_id, status, deleted; null leaves as it is), one row an item.
+
+    A valid status goes to the item's group (of several for one group that of the last item by id), and marking an item as deleted makes its group
+    DELETED. Items of groups whose status changed mirror it; items without a group take theirs. Deletion is stamped, restoring clears the stamp.
+    """
+    own = changes.select("item_id", F.when(F.col("status").isin(*STATUSES), F.col("status")).alias("_status"), F.col("deleted").alias("_deleted"))
+    was = F.coalesce("deleted", F.lit(False))
+    work = items.join(own, "item_id", "left").withColumn("_was", was).withColumn("_now", F.coalesce("_deleted", was))
+    asked = work.where("item_group_id IS NOT NULL AND (_status IS NOT NULL OR _deleted IS NOT NULL)").groupBy(F.col("item_group_id").alias("id"))
+    asked = asked.agg(F.max_by("_status", F.when(F.col("_status").isNotNull(), F.col("item_id"))).alias("_asked"), F.bool_or(F.expr("_now AND NOT _was")).alias("_gone"))
+    new = F.when(F.col("_gone"), "DELETED").otherwise(F.coalesce("_asked", "status"))
+    joined = groups.join(asked, "id", "left").withColumn("_new", new).withColumn("_other", ~F.col("status").eqNullSafe(F.col("_new")))
+    stamp = F.when(F.col("_other"), F.when(F.col("_new") == "DELETED", now)).otherwise(F.col("deleted_at"))
+    moved = joined.where("_other").select(F.col("id").alias("item_group_id"), F.col("_new").alias("_mirrored"))
+    after = joined.withColumn("deleted_at", stamp).withColumn("deleted", F.when(F.col("_other"), F.col("_new") == "DELETED").otherwise(F.col("deleted"))).withColumn("status", F.col("_new")).select(*groups.columns)
+    status = F.coalesce("_mirrored", F.when(F.col("item_group_id").isNull(), F.col("_status")), "status")
+    stamped = F.when(F.col("_now") != F.col("_was"), F.when(F.col("_now"), now)).otherwise(F.col("deleted_at"))
+    done = work.join(moved, "item_group_id", "left").withColumn("status", status).withColumn("deleted_at", stamped).withColumn("deleted", F.col("_now"))
+    return done.select(*items.columns), after
+
+
+def lifted(items: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Groups made from items' own governance: (group_key, kind, organization_id, the governance fields, status, primary_item_id).
+
+    Measures are grouped by group_id, other items stand alone. In the order given, each field takes the first value that is not blank, status the first
+    beyond UNVERIFIED, and the first item is primary. Rows combine before the shuffle, so a large group is no hot one.
+    """
+    measure = (F.col("item_type") == "PB_MEASURE") & blank_to_null(F.col("group_id")).isNotNull()
+    key = F.when(measure, F.col("group_id")).otherwise(F.concat(F.lit("item::"), "item_id"))
+    place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    rows = items.withColumn("_key", key).withColumn("_measure", measure).withColumn("_place", place)
+    has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    fields = ("ownership_department_id", "ownership_person_id", "steward_id", "category_id", "custom_description")
+    first = [F.min_by(c, F.when(has(c), F.col("_place"))).alias(c) for c in fields]
+    status = F.min_by("status", F.when(has("status") & (F.col("status") != "UNVERIFIED"), F.col("_place")))
+    return rows.groupBy(F.col("_key").alias("group_key")).agg(
+        F.when(F.bool_or("_measure"), "measure_name").otherwise("singleton").alias("kind"), F.min_by("organization_id", "item_id").alias("organization_id"), *first,
+        F.coalesce(status, F.lit("UNVERIFIED")).alias("status"), F.min_by("item_id", "_place").alias("primary_item_id"),
+    )
