@@ -163,3 +163,18 @@ SELECT key AS group_key, CASE WHEN starts_with(key, 'item::') THEN 'singleton' E
 arg_min(steward_id, n) FILTER (WHERE steward_id IS NOT NULL) AS steward_id, arg_min(category_id, n) FILTER (WHERE category_id IS NOT NULL) AS category_id, arg_min(custom_description, n) FILTER (WHERE custom_description <> '') AS custom_description, coalesce(arg_min(status, n) FILTER (WHERE status <> 'UNVERIFIED'), 'UNVERIFIED') AS status, arg_min(item_id, n) AS primary_item_id FROM r GROUP BY key""")
 def groups_lifted(spark, d):
     return governance.lifted(_part(spark, d, *_split(_cast(_LIFTED))), groups.instance_order(F.col("is_group_primary")))
+
+
+@query("""WITH m AS (SELECT p_brand AS ds, 't' || p_partkey % 8 AS home FROM part ORDER BY p_size DESC, p_partkey LIMIT 5), n AS (SELECT ds, home AS t FROM m UNION SELECT ds, 't5' FROM m),
+rel AS (SELECT DISTINCT p_brand AS ds, 't0' AS ft, 'c1' AS fc, 't1' AS tt, 'c2' AS tc FROM part UNION SELECT DISTINCT p_brand, 't5', 'c3', 't6', 'c4' FROM part), e AS (SELECT ds, ft AS t, tt AS o FROM rel UNION ALL SELECT ds, tt, ft FROM rel),
+tb AS (SELECT ds, t FROM n UNION SELECT e.ds, e.o FROM e JOIN n ON n.ds = e.ds AND n.t = e.t), k AS (SELECT ds, ft AS t, fc AS c FROM rel UNION SELECT ds, tt, tc FROM rel),
+col AS (SELECT p_brand AS ds, 't' || p_partkey % 8 AS t, 'c' || p_size % 20 AS c, CAST(p_partkey AS VARCHAR) AS id FROM part), r AS (SELECT col.*, row_number() OVER (PARTITION BY col.ds, col.t ORDER BY CASE WHEN k.c IS NULL THEN 1 ELSE 0 END, col.c, id) AS n FROM col JOIN tb ON tb.ds = col.ds AND tb.t = col.t LEFT JOIN k ON k.ds = col.ds AND k.t = col.t AND k.c = col.c)
+SELECT 'table' AS part, ds AS dataset_id, t AS table_name, NULL AS item_id FROM tb UNION ALL SELECT 'column', ds, t, id FROM r WHERE n <= 3 UNION ALL SELECT 'relationship', ds, ft, tt FROM rel WHERE ds IN (SELECT ds FROM m)""")
+def measure_bundle(spark, d):
+    part = star.table(spark, d, "part")
+    measure = part.orderBy(F.desc("p_size"), "p_partkey").limit(5).selectExpr("cast(p_partkey AS string) AS item_id", "p_brand AS dataset_id", "concat('t', cast(p_partkey % 8 AS string)) AS table_name", "\"SUM('t5'[x])\" AS expression")
+    items = part.selectExpr("cast(p_partkey AS string) AS item_id", "'PB_COLUMN' AS item_type", "p_brand AS dataset_id", "concat('t', cast(p_partkey % 8 AS string)) AS table_name", "concat('c', cast(p_size % 20 AS string)) AS item_name")
+    joined = lambda *names: part.select(F.col("p_brand").alias("dataset_id"), *(F.lit(v).alias(c) for c, v in zip(("from_table", "from_column", "to_table", "to_column"), names, strict=True))).distinct()
+    found = catalog.schema_bundle(measure, items, joined("t0", "c1", "t1", "c2").unionByName(joined("t5", "c3", "t6", "c4")), most_columns=3)
+    row = lambda name, table, other: found[f"{name}s"].select(F.lit(name).alias("part"), "dataset_id", F.col(table).alias("table_name"), other.alias("item_id"))
+    return row("table", "table", F.lit(None).cast("string")).unionByName(row("column", "table", F.col("item_id"))).unionByName(row("relationship", "from_table", F.col("to_table")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orrery import schemas
 from orrery.functions import extract, names, rules
-from orrery.operators import bridge, catalog, governance, graph, groups, load, relationships
+from orrery.operators import bridge, catalog, governance, graph, groups, load, profiles, relationships
 from orrery.operators import usage as use
 
 def now():
@@ -254,3 +254,26 @@ def test_stream_rollup(spark, tmp_path):
     events = spark.readStream.schema("ts timestamp, report_name string, user_email string").parquet(f"file://{tmp_path}/in")
     stream.keep(stream.daily_views(events), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(120)
     assert rows(spark.read.parquet(f"file://{tmp_path}/out"), "report_name", "views", "users") == [("A", 2, 2)]
+
+
+def test_report_health_is_ordered_by_any_column(spark):
+    items = spark.createDataFrame([("a", "Beta", "w", 2, 4, 1), ("b", "Alpha", None, 0, 9, 0), ("c", None, "w", 1, 1, 1), ("d", "x", "w", 1, 1, 1)], "item_id string, item_name string, workspace_name string, connected_pages int, connected_visuals int, connected_measures int").withColumn("item_type", F.when(F.col("item_id") == "d", "PB_PAGE").otherwise("PB_REPORT"))
+    ids = lambda **how: [r["item_id"] for r in profiles.report_health(items, **how).collect()]
+    assert ids() == ["b", "a", "c"] and ids(by="name") == ["b", "a", "c"] and ids(by="pages", descending=False) == ["b", "c", "a"] and ids(workspace="w") == ["a", "c"]
+    rows = {r["item_id"]: r for r in profiles.report_health(items).collect()}
+    assert rows["b"]["ratio"] == 9.0 and rows["b"]["workspace"] == "—" and rows["c"]["name"] == "Unknown" and rows["a"]["complexity"] == 5 and rows["a"]["columns"] == 0
+    with pytest.raises(ValueError):
+        profiles.report_health(items, by="salary")
+
+
+def test_an_update_reaches_the_group_and_its_items(spark):
+    now = F.expr("TIMESTAMP '2025-06-01 00:00:00'")
+    items = spark.createDataFrame([("a", 1, "VERIFIED", False, None), ("b", 1, "VERIFIED", False, None), ("c", None, "VERIFIED", True, datetime(2024, 1, 1)), ("d", 2, "ATTENTION", None, None)], "item_id string, item_group_id int, status string, deleted boolean, deleted_at timestamp")
+    own = spark.createDataFrame([(1, "VERIFIED", False, None), (2, "ATTENTION", False, None)], "id int, status string, deleted boolean, deleted_at timestamp")
+    changes = spark.createDataFrame([("a", None, True), ("c", "ATTENTION", False), ("d", "nonsense", None)], "item_id string, status string, deleted boolean")
+    got, after = governance.items_updated(items, own, changes, now)
+    got = {r["item_id"]: (r["status"], r["deleted"], r["deleted_at"] and r["deleted_at"].year) for r in got.collect()}
+    assert got == {"a": ("DELETED", True, 2025), "b": ("DELETED", False, None), "c": ("ATTENTION", False, None), "d": ("ATTENTION", False, None)}
+    assert {r["id"]: (r["status"], r["deleted"]) for r in after.collect()} == {1: ("DELETED", True), 2: ("ATTENTION", False)}
+    empty, same = governance.items_updated(items.limit(0), own, changes.limit(0), now)
+    assert empty.isEmpty() and sorted(same.collect()) == sorted(own.collect())
