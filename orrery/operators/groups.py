@@ -117,3 +117,13 @@ def merged_reports(measures: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, by: Sequence[Column], partition: Sequence[str] = ()) -> DataFrame:
     """df with the position in an order, within small partitions such as the instances of one group."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(*by)))
+
+
+def context_listing(measures: DataFrame, workspaces: Sequence[str] = ()) -> DataFrame:
+    """One row for each group (item_group_id, else the name): its instance with most reports, then most visuals, then by name; in that order."""
+    most = lambda c: -F.coalesce(F.col(c), F.lit(0))
+    order = lambda: [most("connected_reports"), most("connected_visuals"), F.col("item_name"), F.col("item_id")]
+    own = measures.where("item_type = 'PB_MEASURE' AND coalesce(item_name, '') <> '' AND NOT coalesce(deleted, false)")
+    own = own.where(F.col("workspace_id").isin(*workspaces)) if workspaces else own
+    keyed = own.withColumn("_group", F.coalesce(F.col("item_group_id").cast("string"), F.concat(F.lit("name::"), "item_name")))
+    return first_of(keyed, ["_group"], order()).orderBy(*order()).drop("_group")

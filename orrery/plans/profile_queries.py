@@ -178,3 +178,10 @@ def measure_bundle(spark, d):
     found = catalog.schema_bundle(measure, items, joined("t0", "c1", "t1", "c2").unionByName(joined("t5", "c3", "t6", "c4")), most_columns=3)
     row = lambda name, table, other: found[f"{name}s"].select(F.lit(name).alias("part"), "dataset_id", F.col(table).alias("table_name"), other.alias("item_id"))
     return row("table", "table", F.lit(None).cast("string")).unionByName(row("column", "table", F.col("item_id"))).unionByName(row("relationship", "from_table", F.col("to_table")))
+
+
+@query(f"""WITH {star.MEASURES_SQL}, g AS (SELECT m.*, CASE WHEN p_size % 4 > 0 THEN p_partkey % 300 END AS grp, p_size % 6 AS reports FROM measures m JOIN part ON CAST(p_partkey AS VARCHAR) = item_id WHERE workspace_id <> 'ws3')
+SELECT item_id, item_name, status FROM (SELECT item_id, item_name, 'S' || grp AS status, row_number() OVER (PARTITION BY coalesce(CAST(grp AS VARCHAR), 'name::' || item_name) ORDER BY reports DESC, connected_visuals DESC, item_name, item_id) AS k FROM g) WHERE k = 1""")
+def context_listing(spark, d):
+    more = _part(spark, d, "cast(p_partkey AS string) AS item_id", "CASE WHEN p_size % 4 > 0 THEN p_partkey % 300 END AS item_group_id", "p_size % 6 AS connected_reports").withColumn("status", F.concat(F.lit("S"), F.col("item_group_id").cast("string")))
+    return groups.context_listing(star.measures(spark, d).join(more, "item_id"), ("ws0", "ws1", "ws2")).select("item_id", "item_name", "status")

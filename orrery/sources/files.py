@@ -55,10 +55,12 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{f.name}`") if f.dataType.simpleString() in simple else F.to_json(f"`{f.name}`").alias(f.name) for f in df.schema))
 
 
-def write_csv(df: DataFrame, path: str, order: Iterable[str] = (), one_file: bool = True) -> None:
-    """A CSV with a header, also where there are no rows. One file only for reports of a size that one task may write."""
+def write_csv(df: DataFrame, path: str, order: Iterable[str] = (), one_file: bool = True, mark: bool = False) -> None:
+    """A CSV with a header, also where there are no rows, and with a byte order mark if asked. One file only for reports of a size that one task may write."""
     out = flattened(df)
     out = out.orderBy(*order) if order else out
+    # The mark stands before the header, so it is written as the first name's first sign.
+    out = out.toDF("\ufeff" + out.columns[0], *out.columns[1:]) if mark else out
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery import schemas
@@ -216,3 +217,28 @@ def test_schema_blocks_and_raw_sql(spark):
     assert found.where("name = 'stg'").first().properties_yaml == "name: stg\ncolumns:\n- name: id\n"
     own = spark.createDataFrame([("m/a.sql", None, "old"), ("m/b.sql", "kept", None)], "original_file_path string, raw_code string, raw_sql string")
     assert rows(dbt.with_raw_sql(own, spark.createDataFrame([("/p/m/a.sql", "select 1")], "path string, content string"), "/p"), "raw_code") == [("kept",), ("select 1",)]
+
+
+def test_csv_with_a_byte_order_mark_reads_back(spark, tmp_path):
+    from orrery.sources import files
+
+    rows = spark.createDataFrame([(2, 'a "b", c'), (1, "é")], "id int, name string")
+    files.write_csv(rows, str(tmp_path / "out"), ["id"], mark=True)
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,name")
+    assert [tuple(r) for r in files.staged_csv(spark, str(part)).orderBy("id").collect()] == [("1", "é"), ("2", 'a "b", c')]
+
+
+def test_warehouse_lists_and_guards(spark, tmp_path):
+    from orrery.sources import warehouse
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    sql = f"SELECT a.id FROM parquet.`{tmp_path}/t` a JOIN parquet.`{tmp_path}/t` b ON a.id = b.id;"
+    assert 0.9 * 2 * size < warehouse.estimated_bytes(spark, sql) < 1.1 * 2 * size
+    assert warehouse.queried(spark, sql, 3 * size).count() == 1000
+    for refused in (sql, "DROP TABLE t", ""):
+        with pytest.raises(ValueError):
+            warehouse.queried(spark, refused, size)
+    spark.range(1).createOrReplaceTempView("listed_view")
+    assert "default" in warehouse.databases(spark) and "listed_view" in warehouse.tables(spark, "`default`") and warehouse.columns(spark, "listed_view") == [("id", "bigint")]
