@@ -72,7 +72,7 @@ def relationship_tiles(spark, d):
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS item_id, CASE WHEN s_suppkey % 6 = 0 THEN 'Unknown' ELSE s_name END AS name, CASE WHEN s_nationkey % 5 = 0 THEN '—' ELSE 'ws' || s_nationkey % 5 END AS workspace, CAST(s_nationkey % 4 AS BIGINT) AS pages, CAST(s_suppkey % 17 AS BIGINT) AS visuals, CAST(coalesce(nullif(s_suppkey % 5, 2), 0) AS BIGINT) AS measures, CAST(s_suppkey % 3 AS BIGINT) AS columns,
 CAST(s_suppkey % 17 + coalesce(nullif(s_suppkey % 5, 2), 0) AS BIGINT) AS complexity, CAST(s_suppkey % 17 AS DOUBLE) / greatest(s_nationkey % 4, 1) AS ratio FROM supplier""")
-def report_health(spark, d):
+def report_complexity(spark, d):
     reports = star.table(spark, d, "supplier").selectExpr(
         "cast(s_suppkey AS string) AS item_id", "CASE WHEN s_suppkey % 6 > 0 THEN s_name END AS item_name", "'PB_REPORT' AS item_type", "CASE WHEN s_nationkey % 5 > 0 THEN concat('ws', cast(s_nationkey % 5 AS string)) ELSE '' END AS workspace_name",
         "s_nationkey % 4 AS connected_pages", "s_suppkey % 17 AS connected_visuals", "nullif(s_suppkey % 5, 2) AS connected_measures", "s_suppkey % 3 AS connected_columns",

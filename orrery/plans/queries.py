@@ -27,9 +27,11 @@ LEVEL_SQL = """CASE WHEN st IN ('PB_VISUAL','PB_PAGE','PB_REPORT') OR tt IN ('PB
 
 
 def query(sql: str | None = None):
-    """Registers a query by its function's name."""
+    """Registers a query by its function's name, which no other one may have."""
 
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
