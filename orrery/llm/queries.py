@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, packing, pii, quality, shards
+from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, packing, phrases, pii, quality, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_sharding": shards.op10_sharding,
+    "op11_collocations": phrases.op11_collocations,
 }
 
-ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL}
+ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL, "op11_collocations": phrases.OP11_SQL}
