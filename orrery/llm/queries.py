@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, packing, phrases, pii, quality, shards
+from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, mixing, packing, phrases, pii, quality, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_sharding": shards.op10_sharding,
     "op11_collocations": phrases.op11_collocations,
+    "op12_mixing": mixing.op12_mixing,
 }
 
-ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL, "op11_collocations": phrases.OP11_SQL}
+ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL, "op11_collocations": phrases.OP11_SQL, "op12_mixing": mixing.OP12_SQL}
