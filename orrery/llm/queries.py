@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, mixing, packing, phrases, pii, quality, shards
+from orrery.llm import byte_pairs, chats, fingerprints, jaccard, licenses, lines, mixing, packing, phrases, pii, quality, repair, shards
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": shards.op10_sharding,
     "op11_collocations": phrases.op11_collocations,
     "op12_mixing": mixing.op12_mixing,
+    "op13_repair": repair.op13_repair,
 }
 
 ORACLE_SQL = {"op8_line_dedup": lines.OP8_SQL, "op9_license_scan": licenses.OP9_SQL, "op11_collocations": phrases.OP11_SQL, "op12_mixing": mixing.OP12_SQL}
