@@ -253,7 +253,7 @@ def _part(words: Column, start: Column, length: Column) -> Column:
 def scored(found: DataFrame, totals: DataFrame, min_words: int = 2) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score) of each phrase of min_words or more at its lowest-scoring cut.
 
-    Every cut asks for the counts of its two parts by a shuffle to where those are counted. Products are decimals of 38 digits, beyond 64 bits.
+    Every cut asks for the counts of its two parts by a shuffle to where those are counted. Products are decimals of 38 digits, enough for 10^17 words.
     """
     own = found.where(F.col("words") >= min_words).select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = own.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))

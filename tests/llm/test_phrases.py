@@ -71,7 +71,7 @@ def test_one_passage_in_many_documents_and_a_long_text(spark):
 
 
 def test_products_beyond_64_bits(spark):
-    big = 4_000_000_000_000_000_000
+    big = 90_000_000_000_000_000
     found = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, big), ("en", "b", 1, big + 7)], "lang string, phrase string, words int, f long")
     row = phrases.scored(found, spark.createDataFrame([("en", big + 9)], "lang string, n long")).first()
     assert row["score"] == 1000 * big * (big + 9) // (big * (big + 7))
