@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import tempfile
@@ -25,6 +26,8 @@ BLOCK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 BUCKET_MEMORY = "256MB"
 #: Parts that a language's candidates are ranked in before the first of each part are ranked together.
 RANK_PARTS = 64
+#: Odd multipliers for the two halves of an n-gram's hash.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def in_duckdb(df: DataFrame, keys: list[str], sql: str, schema: str) -> DataFrame:
@@ -83,24 +86,21 @@ def distinct_pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
 _BLOCK = "block long, lang string, words long, pieces array<string>, counts array<long>"
 
 
-def _block_id(lang: str, first: str) -> int:
-    """A number for a block, by its first piece. Blocks of one number would share answers, which are true for all blocks, so nothing depends on its being unique."""
-    return xxhash.xxh3_64_intdigest(f"{lang}\0{first}".encode()) - (1 << 63)
-
-
 def blocks_of(pieces: DataFrame) -> DataFrame:
-    """The pieces in rows of about BLOCK_BYTES of text of one language, with the words that they stand for."""
+    """The pieces in rows of about BLOCK_BYTES of text of one language, numbered, with the words that they stand for. To be stored: numbers depend on the tasks."""
+    from pyspark import TaskContext
 
-    def row(lang: str, texts: list[pa.Array], counts: list[pa.Array]) -> pa.RecordBatch:
+    def row(block: int, lang: str, texts: list[pa.Array], counts: list[pa.Array]) -> pa.RecordBatch:
         text, count = pa.concat_arrays(texts), pa.concat_arrays(counts)
         words = pc.sum(pc.multiply(pc.add(pc.cast(pc.count_substring(text, " "), pa.int64()), 1), count)).as_py()
         lists = [pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), x) for x in (text, count)]
-        return pa.RecordBatch.from_arrays([pa.array([_block_id(lang, text[0].as_py())], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), *lists], names=["block", "lang", "words", "pieces", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), *lists], names=["block", "lang", "words", "pieces", "counts"])
 
     @freed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list]] = {}
         size: dict[str, int] = {}
+        number = itertools.count(TaskContext.get().partitionId() << 32)
         for b in batches:
             for lang in pc.unique(b.column(0)).to_pylist():
                 some = b.filter(pc.equal(b.column(0), lang))
@@ -110,13 +110,13 @@ def blocks_of(pieces: DataFrame) -> DataFrame:
                 size[lang] = size.get(lang, 0) + pc.sum(pc.binary_length(some.column(1))).as_py() + 16 * some.num_rows
                 if size[lang] >= BLOCK_BYTES:
                     size.pop(lang)
-                    yield row(lang, *held.pop(lang))
+                    yield row(next(number), lang, *held.pop(lang))
             while sum(size.values()) > HELD_BYTES:
                 lang = max(size, key=size.__getitem__)
                 size.pop(lang)
-                yield row(lang, *held.pop(lang))
+                yield row(next(number), lang, *held.pop(lang))
         for lang, some in held.items():
-            yield row(lang, *some)
+            yield row(next(number), lang, *some)
 
     return pieces.select("lang", "piece", "n").mapInArrow(pack, _BLOCK)
 
@@ -147,11 +147,12 @@ class Grams:
         self.weight = np.zeros(len(keys), np.int64)
         np.add.at(self.weight, self.code, counts[self.piece])
         prefix = lang.encode() + b"\0"
-        word_hash = np.array([xxhash.xxh3_64_intdigest(prefix + w.encode()) for w in distinct.to_pylist()], np.uint64)
-        with np.errstate(over="ignore"):
-            h = word_hash[ids[self.first]]
-            for k in range(1, n):
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word_hash[ids[self.first + k]]
+        digests = b"".join(xxhash.xxh3_128_digest(prefix + w.encode()) for w in distinct.to_pylist())
+        word_hash = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        #: 128 bits for each n-gram, from those of its words.
+        h = word_hash[ids[self.first]]
+        for k in range(1, n):
+            h = (h ^ (h >> np.uint64(31))) * MIX + word_hash[ids[self.first + k]]
         self.hash = h.astype(np.int64)
         self.n = n
 
@@ -175,7 +176,7 @@ def _of(b: pa.RecordBatch, k: int) -> tuple[int, str, pa.Array, np.ndarray]:
 
 
 def _asked(blocks: DataFrame, n: int) -> DataFrame:
-    """(h, block, w): for each block's distinct n-grams their hash and weight there."""
+    """(h1, h2, block, i, w): for each block's distinct n-grams, numbered by i, their hash and weight there."""
 
     @freed
     def run(batches):
@@ -183,15 +184,17 @@ def _asked(blocks: DataFrame, n: int) -> DataFrame:
             for k in range(b.num_rows):
                 block, lang, pieces, counts = _of(b, k)
                 g = Grams(lang, pieces, counts, n)
-                yield pa.RecordBatch.from_arrays([pa.array(g.hash), pa.array(np.full(len(g.hash), block, np.int64)), pa.array(g.weight)], names=["h", "block", "w"])
+                size = len(g.weight)
+                columns = [np.ascontiguousarray(g.hash[:, 0]), np.ascontiguousarray(g.hash[:, 1]), np.full(size, block, np.int64), np.arange(size, dtype=np.int32), g.weight]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "block", "i", "w"])
 
-    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h long, block long, w long")
+    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h1 long, h2 long, block long, i int, w long")
 
 
 def _pruned(blocks: DataFrame, n: int) -> DataFrame:
-    """Blocks with the n-grams among their `frequent` hashes by name, cut to the runs of words in which every n-gram is one of them.
+    """Blocks cut to the runs of words in which every n-gram is frequent, with the names and counts of the n-grams that are theirs to name.
 
-    Only such a run can hold a frequent phrase of n + 1 words. Runs that repeat in a block are one with their counts added.
+    `frequent` has the numbers of the block's frequent n-grams, with the count over all blocks where this block is to name one. Only such a run can hold a frequent phrase of n + 1 words. Runs that repeat in a block are one with their counts added.
     """
 
     @freed
@@ -200,8 +203,12 @@ def _pruned(blocks: DataFrame, n: int) -> DataFrame:
             for k in range(b.num_rows):
                 block, lang, pieces, counts = _of(b, k)
                 g = Grams(lang, pieces, counts, n)
-                known = np.isin(g.hash, b.column(4)[k].values.to_numpy(zero_copy_only=False))
-                names, weights = g.phrases(np.flatnonzero(known)), g.weight[known]
+                heard = b.column(4)[k].values
+                number, total = heard.field("i").to_numpy(zero_copy_only=False), heard.field("total")
+                known = np.zeros(len(g.weight), bool)
+                known[number] = True
+                own = total.is_valid().to_numpy(zero_copy_only=False)
+                names, totals = g.phrases(number[own]), total.drop_null()
                 on = known[g.code] if len(g.code) else np.zeros(0, bool)
                 start, piece = g.start[on], g.piece[on]
                 new = np.ones(len(start), bool)
@@ -211,26 +218,29 @@ def _pruned(blocks: DataFrame, n: int) -> DataFrame:
                 long = starts > 1
                 runs = pa.table({"p": _joined(g.words, start[first[long]], starts[long] + n - 1), "c": pa.array(counts[piece[first[long]]], pa.int64())})
                 runs = runs.group_by("p").aggregate([("c", "sum")])
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((runs["p"].to_pylist(), pa.string()), (runs["c_sum"].to_pylist(), pa.int64()), (names.to_pylist(), pa.string()), (weights, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), *lists], names=["block", "lang", "pieces", "counts", "phrases", "weights"])
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((runs["p"].to_pylist(), pa.string()), (runs["c_sum"].to_pylist(), pa.int64()), (names.to_pylist(), pa.string()), (totals.to_pylist(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), *lists], names=["block", "lang", "pieces", "counts", "phrases", "totals"])
 
-    schema = "block long, lang string, pieces array<string>, counts array<long>, phrases array<string>, weights array<long>"
+    schema = "block long, lang string, pieces array<string>, counts array<long>, phrases array<string>, totals array<long>"
     return blocks.select("block", "lang", "pieces", "counts", "frequent").mapInArrow(run, schema)
 
 
 def frequent_phrases(pieces: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all phrases of 1 to `longest` words that occur min_count times, (lang, n) words of each language). Both are stored.
 
-    Level by level: the blocks send the hashes and weights of their distinct n-grams to hash buckets, which answer the blocks with those that are
-    frequent over all blocks; the blocks keep what can still be part of a longer one. An n-gram's own (n-1)-grams are as frequent at
-    least, so none is lost, and a hash that two n-grams share can only let one too many through: names are counted last, by their words.
+    Level by level: the blocks send hashes of 128 bits and weights of their distinct n-grams to hash buckets. A bucket adds them up and answers the
+    blocks with those that are frequent; one block is to name each. The blocks keep what can still be part of a longer one: an n-gram's own
+    (n-1)-grams are as frequent at least, so none is lost.
     """
     first = blocks = stored(blocks_of(pieces))
     totals = stored(first.groupBy("lang").agg(F.sum("words").alias("n")))
+    sql = f"""
+        SELECT block, i, CASE WHEN block = namer THEN total END AS total FROM bucket
+        JOIN (SELECT h1, h2, sum(w)::BIGINT AS total, min(block) AS namer FROM bucket GROUP BY h1, h2 HAVING sum(w) >= {int(min_count)}) USING (h1, h2)
+    """
     levels = []
     for n in range(1, longest + 1):
-        sql = f"SELECT block, h FROM bucket WHERE h IN (SELECT h FROM bucket GROUP BY h HAVING sum(w) >= {int(min_count)})"
-        heard = in_duckdb(_asked(blocks, n), ["h"], sql, "block long, h long").groupBy("block").agg(F.collect_list("h").alias("frequent"))
+        heard = in_duckdb(_asked(blocks, n), ["h1", "h2"], sql, "block long, i int, total long").groupBy("block").agg(F.collect_list(F.struct("i", "total")).alias("frequent"))
         level = stored(_pruned(blocks.join(heard, "block"), n))
         if blocks is first:
             drop(first)
@@ -238,10 +248,9 @@ def frequent_phrases(pieces: DataFrame, min_count: int = MIN_COUNT, longest: int
         blocks = level.where(F.size("pieces") > 0)
     rows = None
     for n, level in enumerate(levels, 1):
-        x = level.select("lang", F.explode(F.arrays_zip("phrases", "weights")).alias("x")).select("lang", F.col("x.phrases").alias("phrase"), F.lit(n).alias("words"), F.col("x.weights").alias("w"))
+        x = level.select("lang", F.explode(F.arrays_zip("phrases", "totals")).alias("x")).select("lang", F.col("x.phrases").alias("phrase"), F.lit(n).alias("words"), F.col("x.totals").alias("f"))
         rows = x if rows is None else rows.unionByName(x)
-    sql = f"SELECT lang, phrase, words, CAST(sum(w) AS BIGINT) AS f FROM bucket GROUP BY ALL HAVING sum(w) >= {int(min_count)}"
-    found = stored(in_duckdb(rows, ["lang", "phrase"], sql, "lang string, phrase string, words int, f long"))
+    found = stored(rows)
     drop(*levels)
     return found, totals
 
