@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import shutil
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ MIN_COUNT, LONGEST, ABSORB, TOP = 100, 5, 100, 2000
 #: Pieces end at any of these; words lie between blanks and tabs.
 PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[ \t]+"
 #: Text of distinct pieces that one row holds, and that a task collects of all languages before it writes a row.
-BLOCK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 12 << 20
 #: Memory of a bucket's database; what is beyond lies in the task's own scratch folder until the task ends.
 BUCKET_MEMORY = "256MB"
 #: Parts that a language's candidates are ranked in before the first of each part are ranked together.
@@ -83,7 +85,16 @@ def distinct_pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
     return rows.mapInArrow(cut, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-_BLOCK = "block long, lang string, words long, pieces array<string>, counts array<long>"
+_BLOCK = "block long, lang string, words long, pieces binary, counts array<long>"
+
+
+def _packed(pieces: pa.Array) -> bytes:
+    """Pieces, which hold no line end, as compressed text: blocks are stored and shuffled."""
+    return zstandard.compress(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_buffer(), 3)
+
+
+def _unpacked(block: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([zstandard.decompress(block)]).cast(pa.string()), "\n").flatten() if block else pa.array([], pa.string())
 
 
 def blocks_of(pieces: DataFrame) -> DataFrame:
@@ -93,8 +104,7 @@ def blocks_of(pieces: DataFrame) -> DataFrame:
     def row(block: int, lang: str, texts: list[pa.Array], counts: list[pa.Array]) -> pa.RecordBatch:
         text, count = pa.concat_arrays(texts), pa.concat_arrays(counts)
         words = pc.sum(pc.multiply(pc.add(pc.cast(pc.count_substring(text, " "), pa.int64()), 1), count)).as_py()
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), x) for x in (text, count)]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), *lists], names=["block", "lang", "words", "pieces", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), pa.array([_packed(text)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(count)], pa.int32()), count)], names=["block", "lang", "words", "pieces", "counts"])
 
     @freed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +159,11 @@ class Grams:
         prefix = lang.encode() + b"\0"
         digests = b"".join(xxhash.xxh3_128_digest(prefix + w.encode()) for w in distinct.to_pylist())
         word_hash = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-        #: 128 bits for each n-gram, from those of its words.
+        #: 96 bits for each n-gram, from 128 of its words.
         h = word_hash[ids[self.first]]
         for k in range(1, n):
             h = (h ^ (h >> np.uint64(31))) * MIX + word_hash[ids[self.first + k]]
-        self.hash = h.astype(np.int64)
+        self.hash = h[:, 0].astype(np.int64), (h[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         self.n = n
 
     def phrases(self, which: np.ndarray) -> pa.Array:
@@ -172,7 +182,7 @@ def _joined(words: pa.Array, starts: np.ndarray, length: int | np.ndarray) -> pa
 
 def _of(b: pa.RecordBatch, k: int) -> tuple[int, str, pa.Array, np.ndarray]:
     row = {name: b.column(i)[k] for i, name in enumerate(b.schema.names)}
-    return row["block"].as_py(), row["lang"].as_py(), row["pieces"].values, row["counts"].values.to_numpy(zero_copy_only=False)
+    return row["block"].as_py(), row["lang"].as_py(), _unpacked(row["pieces"].as_py()), row["counts"].values.to_numpy(zero_copy_only=False)
 
 
 def _asked(blocks: DataFrame, n: int) -> DataFrame:
@@ -185,10 +195,10 @@ def _asked(blocks: DataFrame, n: int) -> DataFrame:
                 block, lang, pieces, counts = _of(b, k)
                 g = Grams(lang, pieces, counts, n)
                 size = len(g.weight)
-                columns = [np.ascontiguousarray(g.hash[:, 0]), np.ascontiguousarray(g.hash[:, 1]), np.full(size, block, np.int64), np.arange(size, dtype=np.int32), g.weight]
+                columns = [*g.hash, np.full(size, block, np.int64), np.arange(size, dtype=np.int32), g.weight]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "block", "i", "w"])
 
-    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h1 long, h2 long, block long, i int, w long")
+    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h1 long, h2 int, block long, i int, w long")
 
 
 def _pruned(blocks: DataFrame, n: int) -> DataFrame:
@@ -218,40 +228,36 @@ def _pruned(blocks: DataFrame, n: int) -> DataFrame:
                 long = starts > 1
                 runs = pa.table({"p": _joined(g.words, start[first[long]], starts[long] + n - 1), "c": pa.array(counts[piece[first[long]]], pa.int64())})
                 runs = runs.group_by("p").aggregate([("c", "sum")])
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((runs["p"].to_pylist(), pa.string()), (runs["c_sum"].to_pylist(), pa.int64()), (names.to_pylist(), pa.string()), (totals.to_pylist(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), *lists], names=["block", "lang", "pieces", "counts", "phrases", "totals"])
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((runs["c_sum"].to_pylist(), pa.int64()), (names.to_pylist(), pa.string()), (totals.to_pylist(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), pa.array([_packed(runs["p"].combine_chunks()) if len(runs) else b""], pa.binary()), *lists], names=["block", "lang", "pieces", "counts", "phrases", "totals"])
 
-    schema = "block long, lang string, pieces array<string>, counts array<long>, phrases array<string>, totals array<long>"
+    schema = "block long, lang string, pieces binary, counts array<long>, phrases array<string>, totals array<long>"
     return blocks.select("block", "lang", "pieces", "counts", "frequent").mapInArrow(run, schema)
 
 
 def frequent_phrases(pieces: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all phrases of 1 to `longest` words that occur min_count times, (lang, n) words of each language). Both are stored.
 
-    Level by level: the blocks send hashes of 128 bits and weights of their distinct n-grams to hash buckets. A bucket adds them up and answers the
+    Level by level: the blocks send hashes of 96 bits and weights of their distinct n-grams to hash buckets. A bucket adds them up and answers the
     blocks with those that are frequent; one block is to name each. The blocks keep what can still be part of a longer one: an n-gram's own
     (n-1)-grams are as frequent at least, so none is lost.
     """
-    first = blocks = stored(blocks_of(pieces))
-    totals = stored(first.groupBy("lang").agg(F.sum("words").alias("n")))
+    kept = blocks = stored(blocks_of(pieces))
+    totals = stored(blocks.groupBy("lang").agg(F.sum("words").alias("n")))
     sql = f"""
         SELECT block, i, CASE WHEN block = namer THEN total END AS total FROM bucket
         JOIN (SELECT h1, h2, sum(w)::BIGINT AS total, min(block) AS namer FROM bucket GROUP BY h1, h2 HAVING sum(w) >= {int(min_count)}) USING (h1, h2)
     """
-    levels = []
+    named_rows = []
     for n in range(1, longest + 1):
         heard = in_duckdb(_asked(blocks, n), ["h1", "h2"], sql, "block long, i int, total long").groupBy("block").agg(F.collect_list(F.struct("i", "total")).alias("frequent"))
         level = stored(_pruned(blocks.join(heard, "block"), n))
-        if blocks is first:
-            drop(first)
-        levels.append(level)
-        blocks = level.where(F.size("pieces") > 0)
-    rows = None
-    for n, level in enumerate(levels, 1):
-        x = level.select("lang", F.explode(F.arrays_zip("phrases", "totals")).alias("x")).select("lang", F.col("x.phrases").alias("phrase"), F.lit(n).alias("words"), F.col("x.totals").alias("f"))
-        rows = x if rows is None else rows.unionByName(x)
-    found = stored(rows)
-    drop(*levels)
+        drop(kept)
+        names = level.select("lang", F.explode(F.arrays_zip("phrases", "totals")).alias("x"))
+        named_rows.append(stored(names.select("lang", F.col("x.phrases").alias("phrase"), F.lit(n).alias("words"), F.col("x.totals").alias("f"))))
+        kept, blocks = level, level.where(F.size("counts") > 0)
+    found = stored(functools.reduce(DataFrame.unionByName, named_rows))
+    drop(kept, *named_rows)
     return found, totals
 
 
