@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import names, rules
+from orrery.operators import reach
 from orrery.storage import drop, few, stored
 
 REACH_DEPTH, REACH_NODES, PATH_DEPTH, MOST_PATHS, FULL_DEPTH = 15, 500, 30, 50, 1000
@@ -206,10 +207,14 @@ def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def downstream_counts(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -> DataFrame:
-    """For each node and type the distinct names of what is reached, and the distinct ids."""
-    targets = nodes.where(F.col("group").isin(*types))
-    pairs = closure(edges, targets).join(nodes.select(F.col("node_id").alias("reached"), "name", "group"), "reached")
-    return pairs.groupBy("node_id", "group").agg(F.countDistinct("name").alias("names"), F.countDistinct("reached").alias("ids"))
+    """(node_id, group, names, ids): for each node and type the distinct names of what is reached in a step or more, and the distinct ids. Nodes that reach none of a type have no row for it."""
+    targets = stored(nodes.where(F.col("group").isin(*types)).select("node_id", F.coalesce("name", F.lit("")).alias("name"), F.col("name").isNotNull().alias("named"), "group"))
+    by_id = reach.marks(targets.select("node_id", F.concat("group", F.lit("/ids")).alias("kind"), F.col("node_id").alias("what")))
+    by_name = reach.marks(targets.where("named").select("node_id", F.concat("group", F.lit("/names")).alias("kind"), F.col("name").alias("what")))
+    counts = reach.reached_counts(edges, by_id.unionByName(by_name))
+    kind = F.substring_index("kind", "/", -1)
+    of = lambda k: F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(k)
+    return counts.groupBy("node_id", F.expr("left(kind, length(kind) - length(substring_index(kind, '/', -1)) - 1)").alias("group")).agg(of("names"), of("ids"))
 
 
 def unused(edges: DataFrame, producers: DataFrame, consumer_types: Sequence[str]) -> DataFrame:
@@ -257,26 +262,13 @@ def hubs(edges: DataFrame, threshold: int) -> DataFrame:
 
 
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node_id, layer): the longest path that ends in a node; nodes in a cycle or behind one are at 0.
-
-    Rounds as the graph is deep: nodes whose predecessors are all settled are freed, and the edges that leave them alone are counted off their
-    targets.
-    """
-    steps = stored(edges.where("source <> target").select("source", "target").distinct().join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi").join(nodes.select(F.col("node_id").alias("target")), "target", "left_semi"))
-    waits = steps.groupBy(F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("waits"))
-    every = nodes.select("node_id").distinct().join(waits, "node_id", "left")
-    settled = freed = stored(every.where("waits IS NULL").select("node_id", F.lit(0).alias("layer")))
-    left = stored(every.where("waits IS NOT NULL"))
-    d = 0
-    while not freed.isEmpty():
-        d += 1
-        off = steps.join(few(freed.select(F.col("node_id").alias("source"))), "source").groupBy(F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("off"))
-        before, left = left, stored(left.join(few(stored(off)), "node_id", "left").select("node_id", (F.col("waits") - F.coalesce("off", F.lit(0))).alias("waits")))
-        drop(before)
-        freed = stored(left.where("waits = 0").select("node_id", F.lit(d).alias("layer")))
-        settled = settled.unionByName(freed)
-        left = left.where("waits > 0")
-    return settled.unionByName(left.select("node_id", F.lit(0).alias("layer")))
+    """(node_id, layer): the longest path that ends in a node; nodes in a cycle or behind one are at 0."""
+    ids = stored(nodes.select("node_id").distinct())
+    known = lambda side: ids.select(F.col("node_id").alias(side))
+    steps = stored(edges.where("source <> target").select("source", "target").distinct().join(known("source"), "source", "left_semi").join(known("target"), "target", "left_semi"))
+    found = reach.peeled(steps, ids)
+    drop(steps)
+    return found.unionByName(ids.join(found, "node_id", "left_anti").select("node_id", F.lit(0).alias("layer")))
 
 
 def hop_layers(edges: DataFrame, start: str) -> DataFrame:
@@ -331,8 +323,8 @@ def backfilled(edges: DataFrame, nodes: DataFrame, producers: Sequence[str], con
     """(node_id, is_unused, connected_reports) of the producers' types: unused without an edge to a consumer type; distinct reports that are reached."""
     own = nodes.where(F.col("group").isin(*producers)).select("node_id")
     free = unused(edges, own, consumer_types).withColumn("is_unused", F.lit(True))
-    reports = nodes.where(F.col("group").isin(*report_types))
-    reached = closure(edges, reports).groupBy("node_id").agg(F.countDistinct("reached").alias("connected_reports"))
+    reports = nodes.where(F.col("group").isin(*report_types)).select("node_id", F.lit("reports").alias("kind"), F.col("node_id").alias("what"))
+    reached = reach.reached_counts(edges, reach.marks(reports)).select("node_id", F.col("n").alias("connected_reports"))
     joined = own.join(free, "node_id", "left").join(reached, "node_id", "left")
     return joined.select("node_id", F.coalesce("is_unused", F.lit(False)).alias("is_unused"), F.coalesce("connected_reports", F.lit(0)).alias("connected_reports"))
 

@@ -315,6 +315,29 @@ def downstream_counts(spark, d):
     return graph.downstream_counts(star.edges(spark, d), star.nodes(spark, d), ["PB_REPORT"])
 
 
+_WALK = "walk AS (SELECT source AS node_id, target AS reached FROM edges UNION SELECT w.node_id, e.target FROM walk w JOIN edges e ON e.source = w.reached)"
+_COUNTS = 'SELECT node_id, "group", count(DISTINCT name) AS names, count(DISTINCT reached) AS ids FROM walk JOIN nodes USING (reached) GROUP BY ALL'
+
+
+@query(f"WITH RECURSIVE {star.EDGES_SQL}, {star.NODES_SQL.replace('AS node_id', 'AS reached')}, {_WALK} {_COUNTS}")
+def downstream_counts_by_type(spark, d):
+    return graph.downstream_counts(star.edges(spark, d), star.nodes(spark, d), ["DBT_MODEL", "PB_MEASURE", "PB_VISUAL", "PB_PAGE", "PB_REPORT"])
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey % 8 AS m FROM part), hops AS (
+  SELECT k, k + 1 AS t FROM p WHERE m <> 7 UNION ALL SELECT k, k + 2 FROM p WHERE m < 6 UNION ALL SELECT k, k - 3 FROM p WHERE m = 5 AND k % 16 < 8 UNION ALL SELECT k, k FROM p WHERE m = 6 AND k % 24 < 8),
+edges AS (SELECT 'PB_MEASURE::' || k AS source, 'PB_MEASURE::' || t AS target FROM hops UNION ALL SELECT 'PB_MEASURE::' || k, 'PB_REPORT::' || (k % 25) FROM p WHERE m = 7),
+{star.NODES_SQL.replace('AS node_id', 'AS reached')}, {_WALK} {_COUNTS}""")
+def downstream_counts_through_cycles(spark, d):
+    part = star.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 8).alias("m"))
+    hop = lambda where, by: part.where(where).select(F.col("k"), (F.col("k") + by).alias("t"))
+    hops = hop("m <> 7", 1).unionByName(hop("m < 6", 2)).unionByName(hop("m = 5 AND k % 16 < 8", -3)).unionByName(hop("m = 6 AND k % 24 < 8", 0))
+    node = lambda kind, c: F.concat(F.lit(f"{kind}::"), c.cast("string"))
+    edges = hops.select(node("PB_MEASURE", F.col("k")).alias("source"), node("PB_MEASURE", F.col("t")).alias("target"))
+    edges = edges.unionByName(part.where("m = 7").select(node("PB_MEASURE", F.col("k")).alias("source"), node("PB_REPORT", F.col("k") % 25).alias("target")))
+    return graph.downstream_counts(edges, star.nodes(spark, d), ["PB_MEASURE", "PB_REPORT"])
+
+
 @query("SELECT 'PB_MEASURE::' || p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unused_producers(spark, d):
     used = star.table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("PB_MEASURE::"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("PB_VISUAL::"), F.col("l_orderkey").cast("string")).alias("target")).distinct()

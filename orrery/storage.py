@@ -33,12 +33,41 @@ def drop(*tables: DataFrame | None) -> None:
     """Deletes tables that stored() returned, once nothing reads them any more; passes over others."""
     for table in tables:
         if (path := getattr(table, "_stored_at", None)) is not None:
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(table.sparkSession, path)
             del table._stored_at
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Rounds:
+    """A table that an iteration adds to, round by round: a round is written once, and read alone or with all others in one scan."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.path = spark, schema, shared_dir(spark)
+
+    def add(self, k: int, df: DataFrame) -> DataFrame:
+        """df as round k, read back."""
+        df.write.parquet(f"{self.path}/round={k}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={k}")
+
+    def deal(self, df: DataFrame) -> None:
+        """Adds rows to the rounds that df's column `round` names."""
+        df.write.partitionBy("round").mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        """All rounds, with the column `round`."""
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
+
+    def only(self, k: int) -> DataFrame:
+        return self.all().where(F.col("round") == k).drop("round")
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
 #: Rows that a side may have to be sent to every executor.
 FEW = 100_000
 

@@ -277,3 +277,60 @@ def test_an_update_reaches_the_group_and_its_items(spark):
     assert {r["id"]: (r["status"], r["deleted"]) for r in after.collect()} == {1: ("DELETED", True), 2: ("ATTENTION", False)}
     empty, same = governance.items_updated(items.limit(0), own, changes.limit(0), now)
     assert empty.isEmpty() and sorted(same.collect()) == sorted(own.collect())
+
+
+def plain_reach(pairs):
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    found = {}
+    for start in {x for p in pairs for x in p}:
+        seen, todo = set(), list(ahead.get(start, ()))
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo.extend(ahead.get(x, ()))
+        found[start] = seen
+    return found
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 24, 30), (4, 12, 11)])
+def test_reached_counts_with_cycles(spark, seed, n, m):
+    import random
+
+    rng = random.Random(seed)
+    name = lambda i: f"{'AB'[i % 2]}::{i}"
+    pairs = [(name(rng.randrange(n)), name(rng.randrange(n))) for _ in range(m)] + [("A::x", "A::x"), ("A::y", "A::x")]
+    edges = spark.createDataFrame(pairs * 2, "source string, target string")
+    nodes = spark.createDataFrame([(name(i), f"n{i % 7}", "AB"[i % 2]) for i in range(n)] + [("A::x", "x", "A")], "node_id string, name string, group string")
+    want = {}
+    for node, seen in plain_reach(pairs).items():
+        for x in seen:
+            i = x.split("::")[1]
+            ids, names_ = want.setdefault((node, x[0]), (set(), set()))
+            if i != "y":
+                ids.add(x)
+                names_.add("x" if i == "x" else f"n{int(i) % 7}")
+    got = {(r["node_id"], r["group"]): (r["ids"], r["names"]) for r in graph.downstream_counts(edges, nodes, ["A", "B"]).collect()}
+    assert got == {k: (len(a), len(b)) for k, (a, b) in want.items()}
+
+
+def test_reached_counts_of_nothing(spark):
+    edges = spark.createDataFrame([], "source string, target string")
+    nodes = spark.createDataFrame([("A::1", "x", "A")], "node_id string, name string, group string")
+    assert graph.downstream_counts(edges, nodes, ["A"]).collect() == []
+
+
+def test_layers_write_no_more_rows_than_nodes_and_edges(spark, monkeypatch):
+    from orrery import storage
+    from orrery.operators import reach
+
+    written = []
+    add = storage.Rounds.add
+    monkeypatch.setattr(reach.Rounds, "add", lambda self, k, df: (written.append(df.count()), add(self, k, df))[1])
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [(f"n{i}", f"n{i + 3}") for i in range(3)] + [("c1", "c2"), ("c2", "c1"), ("c2", "n0x"), ("n3", "c1")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "node_id string")
+    got = dict(tuple(r) for r in graph.layers(edges, nodes).collect())
+    assert got == {f"n{i}": i for i in range(7)} | {"c1": 0, "c2": 0, "n0x": 0}
+    assert sum(written) <= nodes.count() + len(pairs)
