@@ -14,8 +14,13 @@ from orrery.llm.frames import few, named, stored
 SLOT_BLOCKS = 1024
 #: Descents that a key tries; where none ends in a shard that takes it, one draw among all shards decides.
 TRIES = 64
-#: Shards that an even tree has room for.
-ROOM = 32
+#: Places of the first block; each further block has as many as all before it.
+FIRST_BLOCK = 32
+
+
+def block_of(shard: int) -> int:
+    """Shards 0 to 31 are block 0, 32 to 63 block 1, 64 to 127 block 2 and so on."""
+    return max(0, shard.bit_length() - FIRST_BLOCK.bit_length() + 1)
 
 
 @dataclass(frozen=True)
@@ -53,6 +58,10 @@ def choose(key: Column, tree: Sequence[Leaf], salt: str = "", tries: int = TRIES
     when a weight rises within the shard's room, keys move into that shard alone, when it falls, out of it alone, and nothing moves between other
     racks or regions.
     Keys that `tries` descents leave over draw among all shards by weight, which keeps the same law. A null key draws as a key of its own.
+
+    Each block of places (block_of) is a tree of its own, so that there is room for any number of shards. Descents are the arrivals of a clock that
+    runs at the rate of the block's room; the key lies where a shard takes it first, of all blocks. A block that opens with a new shard
+    can thus only draw keys into that shard.
     """
     tree = [replace(x, room=max(x.weight, x.room)) for x in tree]
     live = [x for x in tree if x.weight > 0]
@@ -61,6 +70,21 @@ def choose(key: Column, tree: Sequence[Leaf], salt: str = "", tries: int = TRIES
     if len({x.shard for x in tree}) < len(tree):
         raise ValueError("two leaves are one shard")
 
+    blocks: dict[int, list[Leaf]] = {}
+    for x in tree:
+        blocks.setdefault(block_of(x.shard), []).append(x)
+    blocks = {b: leaves for b, leaves in blocks.items() if any(x.weight > 0 for x in leaves)}
+    if len(blocks) == 1:
+        (leaves,) = blocks.values()
+        return _first(key, leaves, salt, tries, False)
+    firsts = [_first(key, leaves, f"{salt}/{b}" if b else salt, tries, True) for b, leaves in sorted(blocks.items())]
+    return F.array_min(F.array(*firsts))["name"]
+
+
+def _first(key: Column, tree: Sequence[Leaf], salt: str, tries: int, timed: bool) -> Column:
+    """The shard of one block that takes the key first; with its time, as a struct, where blocks are to be compared."""
+    live = [x for x in tree if x.weight > 0]
+
     def descent(turn: Column) -> Column:
         def least(level: str, groups: dict[int, list[Leaf]]) -> Column:
             drawn = [F.struct(_draw(sum(x.room for x in below), key, f"{salt}/{level}/{name}", turn).alias("draw"), F.lit(name).alias("name")) for name, below in groups.items()]
@@ -97,9 +121,15 @@ def choose(key: Column, tree: Sequence[Leaf], salt: str = "", tries: int = TRIES
         regions = by("region", tree)
         return once(least("region", regions), lambda at: into(at, regions, rack))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(-1), lambda at, turn: F.when(at >= 0, at).otherwise(descent(turn)))
-    flat = F.array_min(F.array(*(F.struct(_draw(x.weight, key, f"{salt}/flat/{x.shard}").alias("draw"), F.lit(x.shard).alias("name")) for x in live)))["name"]
-    return once(found, lambda at: F.when(at >= 0, at).otherwise(flat))
+    turns = F.sequence(F.lit(0), F.lit(tries - 1))
+    flat = F.array_min(F.array(*(F.struct(_draw(x.weight, key, f"{salt}/flat/{x.shard}").alias("draw"), F.lit(x.shard).alias("name")) for x in live)))
+    if not timed:
+        found = F.aggregate(turns, F.lit(-1), lambda at, turn: F.when(at >= 0, at).otherwise(descent(turn)))
+        return once(found, lambda at: F.when(at >= 0, at).otherwise(flat["name"]))
+    rate = sum(x.room for x in tree)
+    state = lambda time, name: F.struct(time.alias("draw"), name.alias("name"))
+    found = F.aggregate(turns, state(F.lit(0.0), F.lit(-1)), lambda s, turn: F.when(s["name"] >= 0, s).otherwise(state(s["draw"] + _draw(rate, key, f"{salt}/clock", turn), descent(turn))))
+    return once(found, lambda s: F.when(s["name"] >= 0, s).otherwise(once(flat, lambda f: state(s["draw"] + f["draw"], f["name"]))))
 
 
 def _quantile(share: float) -> float:
@@ -130,12 +160,12 @@ def assign_shards(
     grown: Sequence[Leaf] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    spare: Sequence[Leaf] | None = None,
+    spare: Sequence[Leaf] = (),
 ) -> DataFrame:
     """docs' id with size, text_crc32, law, region, rack, shard, slot and grown_shard (the shard in the tree `grown`).
 
     size: UTF-8 bytes of the text plus 1 (null text: none, so 1; its crc32 is that of no bytes, 0). The law is `key`: id and
-    tree decide the shard (with the places that `spare` keeps free, and of each shard the larger room in the two trees), so copies of a row, a hot source, equal or very long texts cannot overload anything but by equal ids.
+    tree decide the shard (of each shard the larger room in the two trees; places of a block that no shard has are kept free, where `spare` says or as in an even tree), so copies of a row, a hot source, equal or very long texts cannot overload anything but by equal ids.
     Rows with null ids go to one shard together. slot counts the rows of a shard from 0 without gaps. Rows
     that repeat an id each get a slot. An empty table gives no rows. Other columns are left out, whatever their names.
 
@@ -145,7 +175,8 @@ def assign_shards(
     """
     tree = list(tree) if tree is not None else even_tree(16)
     grown = list(grown) if grown is not None else even_tree(len(tree) + 1)
-    tree, grown = same_room(tree, grown, spare or ())
+    last = max(block_of(x.shard) for x in [*tree, *grown])
+    tree, grown = same_room(tree, grown, [*even_tree(FIRST_BLOCK << last), *spare])
     text = F.coalesce(named(text_col), F.lit(""))
     key = F.col("_id")
     rows = docs.select(named(id_col).alias("_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -167,4 +198,4 @@ def assign_shards(
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     from orrery.llm.frames import documents
 
-    return assign_shards(documents(spark, sf_dir), even_tree(16), even_tree(17), spare=even_tree(ROOM))
+    return assign_shards(documents(spark, sf_dir), even_tree(16), even_tree(17))

@@ -172,3 +172,16 @@ def test_sharding_moves_only_into_what_grows(spark):
     assert shards.assign_shards(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
     assert sorted((r.shard, r.slot) for r in shards.assign_shards(odd).collect())[0][1] == 0
+
+
+def test_the_shard_count_alone_decides(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    at = {}
+    for n in (16, 17, 31, 32, 33, 63, 64):
+        for r in shards.assign_shards(docs, shards.even_tree(n), shards.even_tree(n + 1)).collect():
+            at.setdefault((n, r.doc_id), set()).add(r.shard)
+            at.setdefault((n + 1, r.doc_id), set()).add(r.grown_shard)
+            assert r.grown_shard in (r.shard, n)
+    assert all(len(found) == 1 for found in at.values())
+    counts = [sum(min(at[65, k]) == s for k in range(3000)) for s in range(65)]
+    assert sum(counts) == 3000 and max(counts) < 90 and min(counts) > 15
