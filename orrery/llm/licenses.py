@@ -158,9 +158,10 @@ RULES = [
 
 _PLAIN = str.maketrans({"(": r"\(", ")": r"\)", "+": r"\+", "*": r"\*", ".": r"\."})
 _TAG = "spdx-license-identifier:"
-#: A tag's first license as a sentence of its own; and what joins the next one to it, which becomes a tag.
-_TAGGED = (_TAG[:-1] + " ?:[ \x02]?[(\"']*([a-z0-9.+-]*[a-z0-9+])", "\x01" + _TAG + "\x02{1}\x01")
-_JOINED = "(\x01" + _TAG + r"\x02[^\x01]*\x01+)(?: with [a-z0-9.+-]+)?\)* (?:and|or) \(*"
+#: How a tag's expression begins, how each further part does, what a part may name, and a part that another one can follow.
+_TAG_BEGINS, _PART_BEGINS = _TAG[:-1] + " ?:[ \x02]?", " (?:and|or) "
+_NAMED = "[(\"']*([a-z0-9.+-]*[a-z0-9+])"
+_WHOLE = rf"(?:{_TAG_BEGINS}|{_PART_BEGINS}){_NAMED}(?: with [a-z0-9.+-]+)?\)*\z"
 #: What normalising replaces, in order. \x02 is a blank inside a known sentence, where no sentence ends.
 _NORMAL = [
     ("[“”]|``|''", '"'),
@@ -173,8 +174,6 @@ _NORMAL = [
     (r"without[ \n]any[ \n]warranty;[ \n]without[ \n]even", "without any warranty;\x02without even"),
     (r"(public[ \n]license,?)[ \n]v\.[ \n]2\.0", "{1} v.\x022.0"),
 ]
-#: In texts with a tag alone.
-_TAGS = [_TAGGED, *[(_JOINED, "{1}" + _TAG + "\x02"), _TAGGED] * 4, (_JOINED, "{1}" + _TAG + "\x02more\x01")]
 _ENDS = [(r"([.!?:;])[ \n]", "{1}\x01"), ("\x02", " ")]
 
 
@@ -194,7 +193,7 @@ def sentences(text: Column) -> Column:
 
     Lower case, straight quotation marks, comment signs at the beginnings of lines and runs of blanks gone; a sentence ends after
     . ! ? : or ; before white space, or where the text changes paragraph. Other line breaks stay as such. Known sentences that hold such a
-    cut stay whole, and each license of an SPDX tag (after five, the rest at once) is a sentence.
+    cut stay whole, and each license of an SPDX tag, of however many, is a sentence.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     replaced = low
@@ -206,7 +205,29 @@ def sentences(text: Column) -> Column:
             text = F.regexp_replace(text, pattern, to.format(None, "$1"))
         return F.transform(F.split(text, "\x01"), lambda s: F.trim(s))
 
-    return once(replaced, lambda x: F.when(F.contains(x, F.lit(_TAG[:-1])), ended(x, [*_TAGS, *_ENDS])).otherwise(ended(x, _ENDS)))
+    return once(replaced, lambda x: ended(F.when(F.contains(x, F.lit(_TAG[:-1])), _tags_cut(x)).otherwise(x), _ENDS))
+
+
+def _tags_cut(text: Column) -> Column:
+    """text with each license that an SPDX tag names as a tag of its own, between marks.
+
+    A tag's expression goes on over `and` and `or` as long as the part before is a name alone, parentheses and exceptions aside.
+    """
+    begin = f"^(?:{_TAG_BEGINS}|{_PART_BEGINS}){_NAMED}"
+
+    def cut(tokens: Column, k: Column) -> Column:
+        names = F.filter(F.transform(F.slice(tokens, 1, k), lambda t: F.regexp_extract(t, begin, 1)), lambda x: x != "")
+        rest = F.concat(F.regexp_replace(F.element_at(tokens, k), begin, ""), F.array_join(F.slice(tokens, k + 1, F.size(tokens)), ""))
+        return F.concat(F.array_join(F.transform(names, lambda x: F.concat(F.lit(f"\x01{_TAG}\x02"), x, F.lit("\x01"))), ""), rest)
+
+    def one(part: Column) -> Column:
+        def ended(tokens: Column) -> Column:
+            first = F.array_position(F.transform(tokens, lambda t: t.rlike("^" + _WHOLE)), F.lit(False))
+            return once(F.when(first == 0, F.size(tokens)).otherwise(first).cast("int"), lambda k: cut(tokens, k))
+
+        return F.when(part.rlike(f"^{_TAG_BEGINS}{_NAMED}"), once(F.split(part, f"(?={_PART_BEGINS})"), ended)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, f"(?={_TAG[:-1]})"), one), "")
 
 
 def once(value: Column, body) -> Column:
@@ -263,14 +284,27 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     low = "lower(coalesce(text, ''))"
-    for pattern, to in [*_NORMAL, *_TAGS, *_ENDS]:
-        low = f"regexp_replace({low}, {quoted(pattern)}, {quoted(to.format(None, chr(92) + '1'))}, 'g')"
+
+    def replaced(text: str, rules: list[tuple[str, str]]) -> str:
+        for pattern, to in rules:
+            text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to.format(None, chr(92) + '1'))}, 'g')"
+        return text
+
+    begin = quoted(f"^(?:{_TAG_BEGINS}|{_PART_BEGINS}){_NAMED}")
+    low = replaced(low, _NORMAL)
     ids = " ".join(f"WHEN regexp_matches(s, {quoted(_pattern(name))}) THEN {quoted(name)}" for name in SENTENCES)
     seq = "' ' || array_to_string(ids, '  ') || ' '"
     for license, rule in RULES:
         seq = f"replace({seq}, {quoted(' ' + rule.replace(' ', '  ') + ' ')}, {quoted(f' ={license} ')})"
     return rf"""
-WITH sentences AS (SELECT DISTINCT unnest(list_transform(string_split({low}, chr(1)), lambda s: trim(s))) AS s, doc_id, generate_subscripts(string_split({low}, chr(1)), 1) AS pos FROM documents),
+WITH normal AS (SELECT doc_id, {low} AS text FROM documents),
+parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS n FROM (SELECT doc_id, string_split(replace(text, {quoted(_TAG[:-1])}, chr(3) || {quoted(_TAG[:-1])}), chr(3)) AS p FROM normal)),
+tokens AS (SELECT doc_id, n, part, CASE WHEN regexp_matches(part, {quoted(f'^{_TAG_BEGINS}{_NAMED}')}) THEN string_split(regexp_replace(part, ' (and|or) ', chr(3) || ' \1 ', 'g'), chr(3)) END AS t FROM parts),
+ends AS (SELECT *, coalesce(nullif(list_position(list_transform(t, lambda x: regexp_matches(x, {quoted('^' + _WHOLE)})), FALSE), 0), len(t)) AS k FROM tokens),
+tagged AS (SELECT doc_id, string_agg(CASE WHEN t IS NULL THEN part ELSE array_to_string(list_transform(list_filter(list_transform(t[1:k], lambda x: regexp_extract(x, {begin}, 1)), lambda x: x <> ''), lambda x: chr(1) || {quoted(_TAG + chr(2))} || x || chr(1)), '')
+  || regexp_replace(t[k], {begin}, '') || array_to_string(t[k + 1:], '') END, '' ORDER BY n) AS text FROM ends GROUP BY doc_id),
+cuts AS (SELECT doc_id, string_split({replaced('text', _ENDS)}, chr(1)) AS c FROM tagged),
+sentences AS (SELECT DISTINCT unnest(list_transform(c, lambda s: trim(s))) AS s, doc_id, generate_subscripts(c, 1) AS pos FROM cuts),
 known AS (SELECT s, CASE {ids} END AS id FROM (SELECT DISTINCT s FROM sentences)),
 cut AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM sentences JOIN known USING (s) WHERE id IS NOT NULL GROUP BY doc_id),
 every AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN cut USING (doc_id)),
