@@ -159,11 +159,11 @@ class Grams:
         prefix = lang.encode() + b"\0"
         digests = b"".join(xxhash.xxh3_128_digest(prefix + w.encode()) for w in distinct.to_pylist())
         word_hash = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-        #: 96 bits for each n-gram, from 128 of its words.
+        #: 95 bits for each n-gram, from 128 of its words.
         h = word_hash[ids[self.first]]
         for k in range(1, n):
             h = (h ^ (h >> np.uint64(31))) * MIX + word_hash[ids[self.first + k]]
-        self.hash = h[:, 0].astype(np.int64), (h[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.hash = h[:, 0].astype(np.int64), (h[:, 1] >> np.uint64(33)).astype(np.int64)
         self.n = n
 
     def phrases(self, which: np.ndarray) -> pa.Array:
@@ -186,7 +186,7 @@ def _of(b: pa.RecordBatch, k: int) -> tuple[int, str, pa.Array, np.ndarray]:
 
 
 def _asked(blocks: DataFrame, n: int) -> DataFrame:
-    """(h1, h2, block, i, w): for each block's distinct n-grams, numbered by i, their hash and weight there."""
+    """(h, k, block, w): for each block's distinct n-grams their hash, its other 32 bits above the n-gram's number in the block, and their weight there."""
 
     @freed
     def run(batches):
@@ -195,16 +195,16 @@ def _asked(blocks: DataFrame, n: int) -> DataFrame:
                 block, lang, pieces, counts = _of(b, k)
                 g = Grams(lang, pieces, counts, n)
                 size = len(g.weight)
-                columns = [*g.hash, np.full(size, block, np.int64), np.arange(size, dtype=np.int32), g.weight]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "block", "i", "w"])
+                columns = [g.hash[0], g.hash[1] << 32 | np.arange(size), np.full(size, block, np.int64), g.weight]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k", "block", "w"])
 
-    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h1 long, h2 int, block long, i int, w long")
+    return blocks.select("block", "lang", "pieces", "counts").mapInArrow(run, "h long, k long, block long, w long")
 
 
 def _pruned(blocks: DataFrame, n: int) -> DataFrame:
     """Blocks cut to the runs of words in which every n-gram is frequent, with the names and counts of the n-grams that are theirs to name.
 
-    `frequent` has the numbers of the block's frequent n-grams, with the count over all blocks where this block is to name one. Only such a run can hold a frequent phrase of n + 1 words. Runs that repeat in a block are one with their counts added.
+    `frequent` has the numbers of the block's frequent n-grams, `own` those that it is to name with their counts over all blocks. Only such a run can hold a frequent phrase of n + 1 words. Runs that repeat in a block are one with their counts added.
     """
 
     @freed
@@ -213,12 +213,10 @@ def _pruned(blocks: DataFrame, n: int) -> DataFrame:
             for k in range(b.num_rows):
                 block, lang, pieces, counts = _of(b, k)
                 g = Grams(lang, pieces, counts, n)
-                heard = b.column(4)[k].values
-                number, total = heard.field("i").to_numpy(zero_copy_only=False), heard.field("total")
                 known = np.zeros(len(g.weight), bool)
-                known[number] = True
-                own = total.is_valid().to_numpy(zero_copy_only=False)
-                names, totals = g.phrases(number[own]), total.drop_null()
+                known[b.column(4)[k].values.to_numpy(zero_copy_only=False)] = True
+                own = b.column(5)[k].values
+                names, totals = g.phrases(own.field("i").to_numpy(zero_copy_only=False)), own.field("total")
                 on = known[g.code] if len(g.code) else np.zeros(0, bool)
                 start, piece = g.start[on], g.piece[on]
                 new = np.ones(len(start), bool)
@@ -232,25 +230,28 @@ def _pruned(blocks: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), pa.array([_packed(runs["p"].combine_chunks()) if len(runs) else b""], pa.binary()), *lists], names=["block", "lang", "pieces", "counts", "phrases", "totals"])
 
     schema = "block long, lang string, pieces binary, counts array<long>, phrases array<string>, totals array<long>"
-    return blocks.select("block", "lang", "pieces", "counts", "frequent").mapInArrow(run, schema)
+    return blocks.select("block", "lang", "pieces", "counts", "frequent", "own").mapInArrow(run, schema)
 
 
 def frequent_phrases(pieces: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all phrases of 1 to `longest` words that occur min_count times, (lang, n) words of each language). Both are stored.
 
-    Level by level: the blocks send hashes of 96 bits and weights of their distinct n-grams to hash buckets. A bucket adds them up and answers the
-    blocks with those that are frequent; one block is to name each. The blocks keep what can still be part of a longer one: an n-gram's own
+    Level by level: the blocks send hashes of 95 bits and weights of their distinct n-grams to hash buckets. A bucket adds them up and answers each
+    block, in one row, with those that are frequent; one block is to name each. The blocks keep what can still be part of a longer one: an n-gram's own
     (n-1)-grams are as frequent at least, so none is lost.
     """
     kept = blocks = stored(blocks_of(pieces))
     totals = stored(blocks.groupBy("lang").agg(F.sum("words").alias("n")))
     sql = f"""
-        SELECT block, i, CASE WHEN block = namer THEN total END AS total FROM bucket
-        JOIN (SELECT h1, h2, sum(w)::BIGINT AS total, min(block) AS namer FROM bucket GROUP BY h1, h2 HAVING sum(w) >= {int(min_count)}) USING (h1, h2)
+        SELECT block, list((k & 4294967295)::INT) AS frequent,
+               coalesce(list({{'i': (k & 4294967295)::INT, 'total': total}}) FILTER (WHERE block = namer), []) AS own
+        FROM bucket b JOIN (SELECT h, k >> 32 AS h2, sum(w)::BIGINT AS total, min(block) AS namer FROM bucket GROUP BY ALL HAVING sum(w) >= {int(min_count)}) f ON b.h = f.h AND b.k >> 32 = f.h2
+        GROUP BY block
     """
+    answer, gathered = "block long, frequent array<int>, own array<struct<i int, total long>>", [F.flatten(F.collect_list(c)).alias(c) for c in ("frequent", "own")]
     named_rows = []
     for n in range(1, longest + 1):
-        heard = in_duckdb(_asked(blocks, n), ["h1", "h2"], sql, "block long, i int, total long").groupBy("block").agg(F.collect_list(F.struct("i", "total")).alias("frequent"))
+        heard = in_duckdb(_asked(blocks, n), ["h"], sql, answer).groupBy("block").agg(*gathered)
         level = stored(_pruned(blocks.join(heard, "block"), n))
         drop(kept)
         names = level.select("lang", F.explode(F.arrays_zip("phrases", "totals")).alias("x"))
