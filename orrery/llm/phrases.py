@@ -24,6 +24,8 @@ MIN_COUNT, LONGEST, ABSORB, TOP = 100, 5, 100, 2000
 PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[ \t]+"
 #: Text of distinct pieces that one row holds, and that a task collects of all languages before it writes a row.
 BLOCK_BYTES, HELD_BYTES = 4 << 20, 12 << 20
+#: Text of documents whose distinct pieces one task packs, so that the number of blocks depends on the text and not on how many partitions a shuffle has.
+PACKED_BYTES = 32 << 20
 #: Memory of a bucket's database; what is beyond lies in the task's own scratch folder until the task ends.
 BUCKET_MEMORY = "256MB"
 #: Parts that a language's candidates are ranked in before the first of each part are ranked together.
@@ -82,7 +84,9 @@ def distinct_pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
                     yield from some.group_by(["lang", "piece"]).aggregate([([], "count_all")]).rename_columns(["lang", "piece", "n"]).to_batches()
 
     rows = docs.select(F.coalesce(named(lang_col).cast("string"), F.lit("und")).alias("lang"), named(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = rows.mapInArrow(cut, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return pieces.coalesce(1 + size // PACKED_BYTES)
 
 
 _BLOCK = "block long, lang string, words long, pieces binary, counts array<long>"
