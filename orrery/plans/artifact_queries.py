@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orrery.operators import activity
 from orrery.plans import starmap as star
-from orrery.plans.queries import query
+from orrery.plans.queries import ORACLE_SQL, query
 from orrery.sources import dbt, reports, tmdl
 from orrery.sources import usage as collected
+from orrery.storage import shared_dir
 
 
 def _text(*parts) -> Column:
@@ -155,16 +156,23 @@ def tmdl_relationships(spark, d):
 # Transformation projects: suppliers are models, nations sources, a model depends on its source
 
 
-def _manifest(spark, d) -> tuple[DataFrame, DataFrame]:
+def _project(spark, d):
+    """(suppliers, nations, a model's entry, a source's entry, a catalog's entry)."""
     supplier, nation = star.table(spark, d, "supplier"), star.table(spark, d, "nation")
     n = F.col("s_suppkey")
     column = lambda name, text: F.create_map(F.lit(name), F.struct(F.lit(name.upper()).alias("name"), text.alias("description"), F.lit("int").alias("data_type")))
     node = F.struct(_text("model.p.m", n).alias("unique_id"), F.when(n % 7 == 0, "seed").when(n % 11 == 0, "operation").otherwise("model").alias("resource_type"), F.col("s_name").alias("name"), F.lit("db").alias("database"), F.lit("sch").alias("schema"), F.when(n % 2 == 0, _text("select ", n)).alias("raw_code"), _text("text ", n).alias("description"), F.struct(F.array(_text("source.p.s", F.col("s_nationkey"))).alias("nodes")).alias("depends_on"), column("id", F.lit("key")).alias("columns"))
     source = F.struct(_text("source.p.s", F.col("n_nationkey")).alias("unique_id"), F.lit("source").alias("resource_type"), F.col("n_name").alias("name"), F.lit("raw").alias("source_name"), F.when(F.col("n_nationkey") % 2 == 0, "ident").alias("identifier"))
+    seen = F.struct(F.create_map(F.lit("ID"), F.struct(F.lit("ID").alias("name"), F.lit("INT64").alias("type"), F.lit(1).alias("index"), F.lit("said").alias("comment")), F.lit("extra"), F.struct(F.lit("extra").alias("name"), F.lit("STRING").alias("type"), F.lit(2).alias("index"), F.lit("said").alias("comment"))).alias("columns"), F.create_map(F.lit("r"), F.struct(F.lit("Rows").alias("label"), F.col("s_suppkey").cast("string").alias("value"), F.lit(True).alias("include"))).alias("stats"))
+    return supplier, nation, node, source, seen
+
+
+def _manifest(spark, d) -> tuple[DataFrame, DataFrame]:
+    supplier, nation, node, source, seen = _project(spark, d)
+    n = F.col("s_suppkey")
     by_id = lambda df, s: df.select(s.alias("s")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("s.unique_id").alias("k"), F.col("s").alias("v")))).alias("m"))
     both = by_id(supplier, node).withColumnRenamed("m", "nodes").crossJoin(by_id(nation, source).withColumnRenamed("m", "sources"))
     manifest = both.select(F.lit("manifest.json").alias("path"), F.to_json(F.struct(F.struct(F.lit("proj").alias("project_name")).alias("metadata"), "nodes", "sources")).alias("content"))
-    seen = F.struct(F.create_map(F.lit("ID"), F.struct(F.lit("ID").alias("name"), F.lit("INT64").alias("type"), F.lit(1).alias("index"), F.lit("said").alias("comment")), F.lit("extra"), F.struct(F.lit("extra").alias("name"), F.lit("STRING").alias("type"), F.lit(2).alias("index"), F.lit("said").alias("comment"))).alias("columns"), F.create_map(F.lit("r"), F.struct(F.lit("Rows").alias("label"), F.col("s_suppkey").cast("string").alias("value"), F.lit(True).alias("include"))).alias("stats"))
     catalog = supplier.where("s_suppkey % 2 = 0").select(_text("model.p.m", n).alias("k"), seen.alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("nodes"))
     catalog = catalog.select(F.lit("catalog.json").alias("path"), F.to_json(F.struct("nodes", F.create_map().cast("map<string,string>").alias("sources"))).alias("content"))
     return dbt.parsed(manifest, dbt.MANIFEST), dbt.parsed(catalog, dbt.CATALOG)
@@ -243,3 +251,38 @@ def users_relabelled(spark, d):
     events = star.table(spark, d, "events").select("user_id", _text("{guid-", n, "}").alias("user_email"), F.lit("old").alias("user_display_name"))
     people = events.where("user_id % 2 = 0").select(_text("GUID-", n).alias("guid"), _text("p", n, "@x.org").alias("email"), F.when(n % 4 == 0, _text("N", n)).otherwise("").alias("name")).distinct()
     return use.relabelled(events, people).groupBy("user_id", "user_email", "user_display_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written(spark, files: DataFrame, name: str) -> str:
+    """A folder below the shared one with a file of this name, below target/, for each row of files (project, content)."""
+    folder = shared_dir(spark)
+    files.select("content", "project").repartition("project").write.partitionBy("project").option("lineSep", "\x00").text(folder)
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(path(f"{folder}/project=*/part-*")):
+        home = part.getPath().getParent().toString()
+        fs.mkdirs(path(f"{home}/target"))
+        fs.rename(part.getPath(), path(f"{home}/target/{name}"))
+    return folder
+
+
+def _project_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A manifest and a catalog for each nation with its suppliers, as files, listed and read back."""
+    supplier, nation, node, source, seen = _project(spark, d)
+    entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k.alias("k"), v.alias("v"))))
+    own = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(entry(node["unique_id"], node).alias("nodes"), F.map_filter(entry(node["unique_id"], F.when(F.col("s_suppkey") % 2 == 0, seen)), lambda k, v: v.isNotNull()).alias("seen"))
+    whole = nation.join(own, "n_nationkey", "left").withColumn("project", _text("proj", F.col("n_nationkey")))
+    manifest = F.to_json(F.struct(F.struct(F.col("project").alias("project_name")).alias("metadata"), "nodes", F.create_map(source["unique_id"], source).alias("sources")))
+    folder = _written(spark, whole.select("project", manifest.alias("content")), "manifest.json")
+    seen_in = _written(spark, whole.where("seen IS NOT NULL").select("project", F.to_json(F.struct(F.col("seen").alias("nodes"))).alias("content")), "catalog.json")
+    return dbt.manifest_rows(dbt.find_artifacts(spark, folder, "manifest.json")), dbt.catalog_rows(dbt.find_artifacts(spark, seen_in, "catalog.json"))
+
+
+@query(ORACLE_SQL["project_items"].replace("SELECT 'DBT_WORKSPACE' AS item_type, 'proj' AS item_name, NULL AS dataset_id, NULL AS datatype, '' AS description", "SELECT 'DBT_WORKSPACE' AS item_type, 'proj' || n_nationkey AS item_name, NULL AS dataset_id, NULL AS datatype, '' AS description FROM nation"))
+def project_items_of_files(spark, d):
+    return dbt.items(*_project_files(spark, d)).select("item_type", "item_name", "dataset_id", "datatype", F.coalesce("description", F.lit("")).alias("description"))
+
+
+@query(ORACLE_SQL["project_edges"])
+def project_edges_of_files(spark, d):
+    return dbt.edges(*_project_files(spark, d)).groupBy("source_type", "target_type", "source", "target").agg(F.count(F.lit(1)).alias("edges"))

@@ -15,8 +15,8 @@ _NODE = f"""struct<unique_id: string, resource_type: string, name: string, alias
   compiled_code: string, compiled_sql: string, original_file_path: string, patch_path: string, access: string, loader: string, tags: array<string>, meta: map<string,string>, config: struct<materialized: string>,
   depends_on: struct<nodes: array<string>>, columns: map<string, {_COLUMN}>>"""
 MANIFEST = f"metadata struct<project_name: string, dbt_schema_version: string>, nodes map<string, {_NODE}>, sources map<string, {_NODE}>, _corrupt string"
-CATALOG = """nodes map<string, struct<columns: map<string, struct<name: string, type: string, index: int, comment: string>>, stats: map<string, struct<label: string, value: string, include: boolean>>>>,
-  sources map<string, struct<columns: map<string, struct<name: string, type: string, index: int, comment: string>>, stats: map<string, struct<label: string, value: string, include: boolean>>>>, _corrupt string"""
+_SEEN = "struct<columns: map<string, struct<name: string, type: string, index: int, comment: string>>, stats: map<string, struct<label: string, value: string, include: boolean>>>"
+CATALOG = f"nodes map<string, {_SEEN}>, sources map<string, {_SEEN}>, _corrupt string"
 KINDS = {"model": "DBT_MODEL", "snapshot": "DBT_MODEL", "seed": "DBT_SEED", "source": "DBT_SOURCE", "test": "DBT_TEST"}
 
 
@@ -32,10 +32,49 @@ def parsed(files: DataFrame, schema: str) -> DataFrame:
     return files.select("path", F.from_json("content", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j")).select("path", "j.*")
 
 
+def _entries(files: DataFrame, part: str, schema: str, whole: str) -> DataFrame:
+    """(path, project, unique_id, v) of one object of each file's JSON, an entry a row.
+
+    Files are parsed to variants and exploded before an entry gets its type, so a task holds no map of a whole project. What a variant cannot hold (Spark
+    ends them at 16 MB) is read by its whole schema, with the same rows.
+    """
+    files = files.select("path", "content")
+    sql = f"""SELECT path, variant_get(j, '$.metadata.project_name', 'string') AS project, e.key AS unique_id, from_json(to_json(e.value), '{schema}') AS v
+        FROM (SELECT path, try_parse_json(content) AS j FROM {{files}}), LATERAL variant_explode(variant_get(j, '$.{part}', 'variant')) AS e"""
+    large = parsed(files.where(F.try_parse_json("content").isNull()), whole)
+    project = F.col("metadata.project_name") if "metadata" in large.columns else F.lit(None).cast("string")
+    return files.sparkSession.sql(sql, files=files).unionByName(large.select("path", project.alias("project"), F.explode(part).alias("unique_id", "v")))
+
+
+def manifest_rows(files: DataFrame) -> DataFrame:
+    """(path, project, n) of all nodes and sources of manifest files (path, content) of any number of projects. A file that is no JSON gives no rows: see broken()."""
+    return _entries(files, "nodes", _NODE, MANIFEST).unionByName(_entries(files, "sources", _NODE, MANIFEST)).select("path", "project", F.col("v").alias("n"))
+
+
+def catalog_rows(files: DataFrame) -> DataFrame:
+    """(path, unique_id, v) of all nodes and sources of catalog files."""
+    return _entries(files, "nodes", _SEEN, CATALOG).unionByName(_entries(files, "sources", _SEEN, CATALOG)).select("path", "unique_id", "v")
+
+
+def broken(files: DataFrame) -> DataFrame:
+    """(path) of the files that are no JSON."""
+    return parsed(files.where(F.try_parse_json("content").isNull()), MANIFEST).where("_corrupt IS NOT NULL").select("path")
+
+
+def _seen(catalog: DataFrame) -> DataFrame:
+    """(unique_id, v) of catalog_rows(), or of a catalog that parsed() gave."""
+    if "v" in catalog.columns:
+        return catalog.select("unique_id", "v")
+    return catalog.select(F.explode("nodes").alias("unique_id", "v")).unionByName(catalog.select(F.explode("sources").alias("unique_id", "v")))
+
+
 def nodes(manifest: DataFrame) -> DataFrame:
-    """One row for each node and source of the manifest, with its item's id and type."""
-    one = lambda part: manifest.select(F.col("metadata.project_name").alias("project"), F.explode(F.map_values(part)).alias("n")).select("project", "n.*")
-    rows = one("nodes").unionByName(one("sources"))
+    """One row for each node and source of manifest_rows(), or of a manifest that parsed() gave, with its item's id and type."""
+    if "n" in manifest.columns:
+        rows = manifest.select("project", "n.*")
+    else:
+        one = lambda part: manifest.select(F.col("metadata.project_name").alias("project"), F.explode(F.map_values(part)).alias("n")).select("project", "n.*")
+        rows = one("nodes").unionByName(one("sources"))
     kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("resource_type")]
     table = F.coalesce(blank_to_null(F.col("identifier")), F.col("name"))
     return rows.withColumn("item_type", kind).where("item_type IS NOT NULL").withColumn("table_name", F.when(F.col("resource_type") == "source", F.concat_ws(".", "source_name", table)).otherwise(F.col("name"))).withColumn("item_id", custom_id_skipping_blanks(F.col("unique_id")))
@@ -44,8 +83,7 @@ def nodes(manifest: DataFrame) -> DataFrame:
 def described_columns(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Columns of all nodes: the manifest's in its order, then those that only the catalog has, by index. The catalog's type comes first, the manifest's description comes first."""
     said = rows.select("unique_id", F.posexplode(F.map_values("columns")).alias("place", "c")).select("unique_id", F.lower("c.name").alias("key"), "place", "c.*")
-    both = lambda part: catalog.select(F.explode(part).alias("unique_id", "v")).select("unique_id", F.explode(F.map_values("v.columns")).alias("k"))
-    seen = both("nodes").unionByName(both("sources")).select("unique_id", F.lower("k.name").alias("key"), F.col("k.name").alias("seen_name"), F.col("k.type").alias("type"), F.col("k.index").alias("index"), F.col("k.comment").alias("comment"))
+    seen = _seen(catalog).select("unique_id", F.explode(F.map_values("v.columns")).alias("k")).select("unique_id", F.lower("k.name").alias("key"), F.col("k.name").alias("seen_name"), F.col("k.type").alias("type"), F.col("k.index").alias("index"), F.col("k.comment").alias("comment"))
     joined = said.join(seen, ["unique_id", "key"], "full")
     return joined.select(
         "unique_id", F.coalesce("name", "seen_name").alias("column_name"), F.coalesce(blank_to_null(F.col("type")), blank_to_null(F.col("data_type"))).alias("datatype"),
@@ -58,8 +96,7 @@ def described_columns(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 def items(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     """The catalogue's items of a project: one workspace, its sources, models, seeds, tests and columns, in one union of ITEMS' columns."""
     rows = nodes(manifest)
-    part = lambda p: catalog.select(F.explode(p).alias("unique_id", "v")).select("unique_id", stats_text(F.map_values("v.stats")).alias("stats"))
-    stats = part("nodes").unionByName(part("sources"))
+    stats = _seen(catalog).select("unique_id", stats_text(F.map_values("v.stats")).alias("stats"))
     code = F.coalesce(blank_to_null(F.col("raw_code")), F.col("raw_sql"))
     own = rows.join(stats, "unique_id", "left").select(
         "item_id", F.col("table_name").alias("item_name"), "item_type", F.lit("dbt").alias("service"), F.concat_ws("\n", blank_to_null(F.col("description")), blank_to_null(F.col("stats"))).alias("description"),

@@ -35,8 +35,8 @@ def destination(name: str):
 @source("dbt")
 def read_project(spark: SparkSession, settings: Mapping[str, str]) -> dict[str, DataFrame]:
     """A project's landing folder: items and staged edges of its manifest and catalog."""
-    manifest = dbt.parsed(dbt.find_artifacts(spark, settings["folder"], "manifest.json"), dbt.MANIFEST)
-    catalog = dbt.parsed(dbt.find_artifacts(spark, settings["folder"], "catalog.json"), dbt.CATALOG)
+    manifest = dbt.manifest_rows(dbt.find_artifacts(spark, settings["folder"], "manifest.json"))
+    catalog = dbt.catalog_rows(dbt.find_artifacts(spark, settings["folder"], "catalog.json"))
     return {"items": dbt.items(manifest, catalog), "edges": dbt.edges(manifest, catalog)}
 
 

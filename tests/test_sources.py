@@ -242,3 +242,17 @@ def test_warehouse_lists_and_guards(spark, tmp_path):
             warehouse.queried(spark, refused, size)
     spark.range(1).createOrReplaceTempView("listed_view")
     assert "default" in warehouse.databases(spark) and "listed_view" in warehouse.tables(spark, "`default`") and warehouse.columns(spark, "listed_view") == [("id", "bigint")]
+
+
+def test_manifests_of_many_projects_and_above_the_size_of_a_variant(spark):
+    import json
+
+    def manifest(project, text):
+        node = {"unique_id": f"model.{project}.a", "resource_type": "model", "name": "a", "raw_code": text, "meta": {"n": 1, "deep": {"x": [1]}}, "depends_on": {"nodes": []}, "columns": {}}
+        return json.dumps({"metadata": {"project_name": project}, "nodes": {node["unique_id"]: node}, "sources": {}})
+
+    files = spark.createDataFrame([("p", manifest("p", "select 1")), ("q", manifest("q", "x" * (17 << 20))), ("r", "{no"), ("s", None), ("t", "[]"), ("u", "{}")], "path string, content string")
+    rows = {r["project"]: r for r in dbt.nodes(dbt.manifest_rows(files)).selectExpr("project", "item_type", "length(raw_code) AS n", "meta").collect()}
+    assert {k: (r["item_type"], r["n"]) for k, r in rows.items()} == {"p": ("DBT_MODEL", 8), "q": ("DBT_MODEL", 17 << 20)}
+    assert rows["p"]["meta"] == rows["q"]["meta"] == {"n": "1", "deep": '{"x":[1]}'}
+    assert "r" in [r["path"] for r in dbt.broken(files).collect()]
