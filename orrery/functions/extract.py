@@ -17,6 +17,8 @@ M_SCHEMA = r'\{\[Name\s*=\s*"?([^",]+)"?\s*,\s*Kind\s*=\s*"?Schema"?\s*\]\}'
 M_OBJECT = r'\{\[Name\s*=\s*"?([^",]+)"?\s*,\s*Kind\s*=\s*"?(View|Table)"?\s*\]\}'
 USE_RELATIONSHIP = r"USERELATIONSHIP\s*\(\s*'?([^'\[]+?)'?\s*\[\s*([^\]]+?)\s*\]\s*,\s*'?([^'\[]+?)'?\s*\[\s*([^\]]+?)\s*\]\s*\)"
 EXTERNAL_MEASURE = r'EXTERNALMEASURE\s*\(\s*"([^"]+)"\s*,\s*\w+\s*,\s*"([^"]+)"\s*\)'
+EXTERNAL_CALL, LOCAL_QUOTED, LOCAL_PLAIN = r"EXTERNALMEASURE\s*\([^)]*\)", r"'[^']+'\s*\[", r"(?:^|[^\w'])[A-Za-z_]\w*\s*\["
+CONNECTION_LABEL = r"(?i)^\s*(?:DirectQuery|Import)\s+to\s+(?:AS\s*-\s*)?"
 DAX_PLACEHOLDER, DAX_YEAR = r"DateTable|MeasureName|Table'\[Col\]|\[MeasureName\]", r"\bDATE\s*\(\s*(\d{4})\s*,"
 WRITE_VERBS = "insert|update|delete|merge|create|alter|drop|truncate|grant|revoke|call|execute|begin|commit|rollback|load|export"
 
@@ -67,10 +69,10 @@ def activated_relationships(dax: Column) -> Column:
 
 def external_target(dax: Column) -> Column:
     """struct(is_wrapper, measure, dataset) of the first EXTERNALMEASURE; a wrapper has no reference to a table of its own."""
-    rest = F.regexp_replace(F.coalesce(dax, F.lit("")), r"EXTERNALMEASURE\s*\([^)]*\)", "")
-    local = rest.rlike(r"'[^']+'\s*\[") | rest.rlike(r"(^|[^\w'])[A-Za-z_]\w*\s*\[")
+    rest = F.regexp_replace(F.coalesce(dax, F.lit("")), EXTERNAL_CALL, "")
+    local = rest.rlike(LOCAL_QUOTED) | rest.rlike(LOCAL_PLAIN)
     has = F.coalesce(dax, F.lit("")).rlike(EXTERNAL_MEASURE)
-    dataset = F.trim(F.regexp_replace(found(dax, EXTERNAL_MEASURE, 2), r"(?i)^\s*(DirectQuery|Import)\s+to\s+(AS\s*-\s*)?", ""))
+    dataset = F.trim(F.regexp_replace(found(dax, EXTERNAL_MEASURE, 2), CONNECTION_LABEL, ""))
     return F.struct((has & ~local).alias("is_wrapper"), found(dax, EXTERNAL_MEASURE, 1).alias("measure"), dataset.alias("dataset"))
 
 

@@ -8,8 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.extract import external_target
 from orrery.functions.names import blank_to_null, qualified_name
-from orrery.storage import few, stored
+from orrery.storage import drop, few, stored
 
 #: Columns that may be filtered by equality and by which lists may be ordered.
 FILTERS = ("item_type", "service", "workspace_id", "workspace_name", "dataset_id", "dataset_name", "table_name", "status", "is_unused", "datatype", "column_type", "item_group_id", "database_name", "schema_name")
@@ -252,3 +253,42 @@ def markdown(df: DataFrame, most: int = 50) -> str:
     rows = df.limit(most).collect()
     line = lambda values: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in values) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+
+
+def wrapper_targets(measures: DataFrame) -> DataFrame:
+    """(item_id, target_id, matched, candidates) of measures (item_id, item_name, dataset_name, expression) that only stand for one of another dataset.
+
+    Candidates have the measure's name, in the dataset that the connection names (in any case); where there is none, in datasets whose name holds it. The
+    first by item_id is the target; `candidates` counts them. Both are found for distinct names, datasets and labels, so many wrappers of one measure are one row.
+    """
+    link = measures.select("item_id", external_target(F.col("expression")).alias("x")).where("x.is_wrapper")
+    link = link.select("item_id", F.col("x.measure").alias("name"), F.lower("x.dataset").alias("label"))
+    known = measures.groupBy(F.col("item_name").alias("name"), F.lower("dataset_name").alias("dataset")).agg(F.min("item_id").alias("target_id"), F.count(F.lit(1)).alias("n"))
+    asked = link.select("name", "label").distinct()
+    near = asked.join(known, "name").where(F.contains("dataset", F.col("label")))
+    best = near.groupBy("name", "label", (F.col("dataset") != F.col("label")).alias("held")).agg(F.min("target_id").alias("target_id"), F.sum("n").alias("candidates"))
+    best = best.groupBy("name", "label").agg(F.min_by(F.struct("held", "target_id", "candidates"), "held").alias("b"))
+    found = link.join(best, ["name", "label"])
+    return found.select("item_id", "b.target_id", F.when(F.col("b.held"), "contained").otherwise("exact").alias("matched"), F.col("b.candidates").alias("candidates"))
+
+
+def wrapper_sources(measures: DataFrame) -> DataFrame:
+    """(item_id, target_id, matched, candidates, source_id, hops) of wrapper_targets() with the measure at the end of each chain of wrappers, null (hops too) where it runs into a cycle.
+
+    By pointer jumping: each round every pointer goes on to where its target points, so chains of any length need as many rounds as their length has binary
+    digits. More hops than there are wrappers mean a cycle.
+    """
+    direct = stored(wrapper_targets(measures))
+    n = direct.count()
+    ends = stored(direct.select("item_id", F.col("target_id").alias("at"), F.lit(1).cast("long").alias("hops")))
+    while True:
+        ahead = ends.select(F.col("item_id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
+        moving = ends.join(few(ahead), "at", "left")
+        before, ends = ends, stored(moving.select("item_id", F.when(F.col("hops") > n, F.col("at")).otherwise(F.coalesce("next", "at")).alias("at"), F.when(F.col("hops") > n, F.col("hops")).otherwise(F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+        still = ends.where(F.col("hops") <= n).join(few(ends.select(F.col("item_id").alias("at"))), "at", "left_semi").isEmpty()
+        drop(before)
+        if still:
+            break
+    done = direct.join(ends, "item_id")
+    whole = F.col("hops") <= n
+    return done.select("item_id", "target_id", "matched", "candidates", F.when(whole, F.col("at")).alias("source_id"), F.when(whole, F.col("hops")).alias("hops"))

@@ -477,3 +477,19 @@ def relationship_index(spark, d):
     part = star.table(spark, d, "lineitem").select(_text("ds", F.col("l_linenumber") % 3).alias("dataset_id"), _text("t", F.col("l_suppkey") % 6).alias("from_table"), _text("t", F.col("l_partkey") % 6).alias("to_table")).distinct()
     rel = part.select("dataset_id", "from_table", F.lit("id").alias("from_column"), "to_table", F.lit("id").alias("to_column"), F.lit("many").alias("from_cardinality"), F.lit("one").alias("to_cardinality"), F.lit("single").alias("cross_filter"), F.lit(True).alias("is_active"))
     return relationships.indexed(rel).select("dataset_id", "table_name", "column_name", F.size("relationships_json").cast("long").alias("relationships"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT p_partkey AS k, p_partkey % 8 AS r, 'M' || (p_partkey // 8) AS name, 'set ' || (p_partkey % 8) AS dataset FROM part),
+asks AS (SELECT k, name, CASE r WHEN 6 THEN 'set 5' WHEN 5 THEN 'set 4' WHEN 4 THEN 'set 3' WHEN 2 THEN 'set 1' WHEN 1 THEN 'set 2' WHEN 0 THEN 'et 3' WHEN 7 THEN 'set' END AS label FROM m WHERE r <> 3),
+near AS (SELECT a.k, m.k AS target, m.dataset <> a.label AS held FROM asks a JOIN m ON m.name = a.name AND contains(m.dataset, a.label)),
+direct AS (SELECT k, held, min(CAST(target AS VARCHAR)) AS target, count(*) AS candidates FROM near GROUP BY k, held QUALIFY row_number() OVER (PARTITION BY k ORDER BY held) = 1),
+walk AS (SELECT CAST(k AS VARCHAR) AS item, target AS z, 1 AS hops FROM direct UNION ALL SELECT w.item, d.target, hops + 1 FROM walk w JOIN direct d ON CAST(d.k AS VARCHAR) = w.z WHERE hops < 10),
+ends AS (SELECT item, z, hops FROM walk WHERE z NOT IN (SELECT CAST(k AS VARCHAR) FROM direct))
+SELECT CAST(k AS VARCHAR) AS item_id, target AS target_id, CASE WHEN held THEN 'contained' ELSE 'exact' END AS matched, candidates, z AS source_id, CAST(hops AS BIGINT) AS hops FROM direct LEFT JOIN ends ON item = CAST(k AS VARCHAR)""")
+def wrapper_sources(spark, d):
+    k, r = F.col("p_partkey"), F.col("p_partkey") % 8
+    label = F.when(r == 6, "Set 5").when(r == 5, "SET 4").when(r == 4, "set 3").when(r == 2, "Set 1").when(r == 1, "Set 2").when(r == 0, "et 3").otherwise("Set")
+    name = _text("M", F.floor(k / 8))
+    wrapper = _text('EXTERNALMEASURE("', name, '", DOUBLE, "DirectQuery to AS - ', label, '")')
+    part = star.table(spark, d, "part")
+    return catalog.wrapper_sources(part.select(k.cast("string").alias("item_id"), name.alias("item_name"), _text("Set ", r).alias("dataset_name"), F.when(r == 3, "SUM('T'[c])").otherwise(wrapper).alias("expression")))
