@@ -557,6 +557,46 @@ def column_lineage(spark, d):
     return lineage.project_lineage(spark, models, relations)[0]
 
 
+def _generated_models(spark, d):
+    """A model for each part: a chain of WITH of p_size % 5 more steps over its brand's table, then one of four ends, three of which read the model before. Some have a template or broken SQL first."""
+    part = star.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 5).alias("n"), F.lower(F.translate("p_brand", "#", "_")).alias("brand"))
+    link = lambda i: F.format_string(", c%d AS (SELECT a, b%d AS b%d, m%d + b%d AS m%d FROM c%d)", i, i - 1, i, i - 1, i - 1, i, i - 1)
+    links = F.when(F.col("n") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), link), "")).otherwise("")
+    before = F.concat(F.lit("wh.mart.m"), F.col("k") - 1)
+    of = lambda text, *names: F.format_string(text, *names)
+    end = (
+        F.when(F.col("k") % 4 == 0, of("SELECT a AS key, b%d AS value, m%d AS total FROM c%d", "n", "n", "n"))
+        .when(F.col("k") % 4 == 1, of("SELECT x.a AS key, x.b%d AS value, (SELECT MAX(total) FROM %s) AS total FROM c%d AS x WHERE x.a > 0", "n", before, "n"))
+        .when(F.col("k") % 4 == 2, of("SELECT * FROM (SELECT a AS key, b%d AS value, m%d AS total FROM c%d) UNION ALL SELECT key, value, total FROM %s", "n", "n", "n", before))
+        .otherwise(of("SELECT y.key, c.b%d AS value, CASE WHEN c.m%d > 1 THEN 0 ELSE y.value END AS total -- FROM c0\nFROM c%d c JOIN %s y ON y.key = c.a", "n", "n", "n", before))
+    )
+    sql = F.concat(of("WITH c0 AS (SELECT a, b AS b0, COALESCE(a, d) AS m0 FROM `wh`.`raw`.`%s`)", "brand"), links, F.lit(" "), end)
+    texts = F.when(F.col("k") % 7 == 0, F.array(F.lit(None), F.lit("SELECT {{ macro() }} AS key FROM c0"))).when(F.col("k") % 11 == 0, F.array(F.lit("SELECT FROM WHERE ;;; not valid"), sql)).otherwise(F.array(sql))
+    own = lambda relation, *columns: F.explode(F.array(*(F.struct(relation.alias("relation"), F.lit(c).alias("column"), F.lit(i).alias("place")) for i, c in enumerate(columns))))
+    raw = part.select("brand").distinct().select(own(F.concat(F.lit("wh.raw."), "brand"), "a", "b", "d").alias("r")).select("r.*")
+    mart = part.select(F.explode(F.array("k", F.col("k") - 1)).alias("k")).distinct().select(own(F.concat(F.lit("wh.mart.m"), "k"), "key", "value", "total").alias("r")).select("r.*")
+    return part.select(F.concat(F.lit("wh.mart.m"), "k").alias("model"), texts.alias("texts")), raw.unionByName(mart)
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size % 5 AS n, p_partkey % 4 AS f, 'wh.raw.' || lower(replace(p_brand, '#', '_')) AS raw, 'wh.mart.m' || p_partkey AS me, 'wh.mart.m' || (p_partkey - 1) AS before FROM part WHERE p_partkey % 7 <> 0),
+s AS (SELECT k, 0 AS i, v.col, v.base FROM p, (VALUES ('a', 'a'), ('b', 'b'), ('m', 'a'), ('m', 'd')) v(col, base)
+  UNION SELECT s.k, s.i + 1, w.too, s.base FROM s JOIN p ON p.k = s.k JOIN (VALUES ('a', 'a'), ('b', 'b'), ('b', 'm'), ('m', 'm')) w(col, too) ON w.col = s.col WHERE s.i < p.n),
+e AS (SELECT raw AS source, base AS source_column, me AS target, CASE col WHEN 'a' THEN 'key' WHEN 'b' THEN 'value' ELSE 'total' END AS target_column, f FROM s JOIN p ON p.k = s.k AND s.i = p.n WHERE NOT (f = 1 AND col = 'm') AND NOT (f = 3 AND col = 'a')
+  UNION SELECT before, v.c, me, v.too, f FROM p JOIN (VALUES (1, 'total', 'total'), (2, 'key', 'key'), (2, 'value', 'value'), (2, 'total', 'total'), (3, 'key', 'key'), (3, 'value', 'total')) v(g, c, too) ON v.g = f)
+SELECT source, source_column, target, target_column, CASE WHEN count(*) OVER (PARTITION BY target, target_column) > 1 OR target_column = 'total' THEN 'transformation' WHEN f = 3 AND target_column = 'key' THEN 'pass-through' ELSE 'rename' END AS lineage_type FROM e""")
+def column_lineage_of_models(spark, d):
+    from orrery.operators import column_lineage as lineage
+
+    return lineage.lineage(*_generated_models(spark, d))[0]
+
+
+@query("SELECT 'wh.mart.m' || p_partkey AS model, 'template' AS reason FROM part WHERE p_partkey % 7 = 0")
+def column_lineage_skipped(spark, d):
+    from orrery.operators import column_lineage as lineage
+
+    return lineage.lineage(*_generated_models(spark, d))[1]
+
+
 @query("""WITH RECURSIVE r AS (SELECT lower(p_brand) AS brand, lower(p_type) AS type, max(p_size) > 45 AS active FROM part GROUP BY ALL),
 s AS (SELECT brand AS "at", type AS next, 'm:o' AS card, active FROM r UNION ALL SELECT type, brand, 'o:m', active FROM r),
 w AS (SELECT ['brand#1'] AS p, CAST([] AS VARCHAR[]) AS c, 0 AS inactive, 0 AS hops UNION ALL

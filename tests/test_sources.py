@@ -182,6 +182,74 @@ def test_names_that_are_no_relations(spark):
     ])
 
 
+def test_column_lineage_of_a_project(spark):
+    """A source, a staging model and a mart, and what may go wrong with their SQL."""
+    source, stg, fct = "db.raw.orders", "db.analytics.stg_orders", "db.analytics.fct_revenue"
+    relations = {source: dict.fromkeys(("order_id", "amount", "is_cancelled"), ""), stg: dict.fromkeys(("order_id", "amount", "is_cancelled"), ""), fct: dict.fromkeys(("order_id", "revenue"), "")}
+    staging = "SELECT order_id, amount, is_cancelled FROM `db`.`raw`.`orders`"
+    mart = "SELECT order_id, CASE WHEN is_cancelled THEN 0 ELSE amount END AS revenue FROM `db`.`analytics`.`stg_orders`"
+    plain = [(source, c, stg, c, "pass-through") for c in ("order_id", "amount", "is_cancelled")]
+    derived = [(stg, "order_id", fct, "order_id", "pass-through"), (stg, "amount", fct, "revenue", "transformation"), (stg, "is_cancelled", fct, "revenue", "transformation")]
+    cases = (
+        ((staging, None), (mart, None), plain + derived, []),
+        (("", None), (mart, None), derived, [stg]),
+        ((None, staging), (None, mart), plain + derived, []),
+        ((staging, None), (None, "SELECT order_id, {{ my_macro() }} AS revenue FROM stg_orders"), plain, [fct]),
+        ((staging, None), ("SELECT FROM WHERE ;;; not valid", None), plain, [fct]),
+        ((staging.replace("`db`.`raw`.`orders`", "raw.orders"), None), (mart, None), plain + derived, []),
+    )
+    # Case i stands in a database of its own.
+    put = lambda text, i: text and text.replace("db", f"db{i}").replace("raw.orders", f"`db{i}`.raw.orders").replace("FROM stg", f"FROM db{i}.analytics.stg")
+    models = {name.replace("db", f"db{i}"): tuple(put(t, i) for t in case[of]) for i, case in enumerate(cases) for of, name in enumerate((stg, fct))}
+    known = {name.replace("db", f"db{i}"): columns for i in range(len(cases)) for name, columns in relations.items()}
+    edges, skipped = column_lineage.project_lineage(spark, models, known)
+    assert skipped == sorted(name.replace("db", f"db{i}") for i, case in enumerate(cases) for name in case[3])
+    want = [(a.replace("db", f"db{i}"), b, c.replace("db", f"db{i}"), d, e) for i, case in enumerate(cases) for a, b, c, d, e in case[2]]
+    assert rows(edges, "source", "source_column", "target", "target_column", "lineage_type") == sorted(want)
+
+
+def test_column_lineage_of_scopes(spark):
+    """One model for each shape of SQL, as the table of its edges (target column: source columns) or the reason against it."""
+    relations = {"w.r.t": dict.fromkeys(("id", "a", "b", "day"), ""), "w.r.u": dict.fromkeys(("id", "c"), ""), "w.s.u": {"z": ""}}
+    cases = {
+        "WITH t AS (SELECT id AS x FROM w.r.t), v AS (SELECT x FROM t) SELECT (x) FROM v": {"x": None, "": "ok"},
+        "WITH t AS (SELECT * FROM t) SELECT * EXCEPT (id, day) FROM t": {"a": {"t.a"}, "b": {"t.b"}},
+        "SELECT * FROM (SELECT id, a FROM t) q JOIN w.r.u USING (id)": {"id": {"t.id"}, "a": {"t.a"}, "c": {"u.c"}},
+        "SELECT id, c FROM t JOIN w.r.u USING (id)": {"id": {"t.id"}, "c": {"u.c"}},
+        "SELECT DATE_TRUNC(a, DAY) AS d, CAST(b AS DECIMAL(10, 2)) n, EXTRACT(DAY FROM a) AS e FROM t": {"d": {"t.a"}, "n": {"t.b"}, "e": {"t.a"}},
+        "SELECT SUM(a) OVER (PARTITION BY b ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM t": {"s": {"t.a", "t.b", "t.id"}},
+        "SELECT a.x.y AS f, T.b FROM w.r.t": {"f": {"t.a"}, "b": {"t.b"}},
+        "SELECT x.id FROM w.r.t x, w.r.u AS y WHERE x.id IN (SELECT id FROM w.r.u)": {"id": {"t.id"}},
+        "SELECT a FROM t UNION ALL (SELECT c FROM w.r.u EXCEPT DISTINCT SELECT b FROM t)": {"a": {"t.a", "t.b", "u.c"}},
+        "SELECT ')' AS p, a /* ( */ FROM t -- (": {"a": {"t.a"}},
+        "SELECT id FROM t, w.r.u": "ambiguous column id",
+        "SELECT nothing FROM t": "unknown column nothing",
+        "SELECT a FROM nowhere": "unknown relation nowhere",
+        "SELECT z FROM u": "ambiguous relation u",
+        "SELECT a FROM t, UNNEST(t.b) AS e": "source that is no name",
+        "SELECT (a FROM t": "parentheses",
+        "SELECT ')(' , a) FROM (t": "parentheses",
+        "WITH RECURSIVE n AS (SELECT a FROM t) SELECT a FROM n": "recursion",
+        "SELECT 'a FROM t": "open quote",
+        "SELECT t.* REPLACE (1 AS a) FROM t": "changed star",
+    }
+    models = spark.createDataFrame([(f"m{i}", [sql]) for i, sql in enumerate(cases)] * 2 + [("none", None), (None, ["SELECT a FROM t"]), ("empty", [None, " "])], "model string, texts array<string>")
+    columns = spark.createDataFrame([(r, c, i) for r, cs in relations.items() for i, c in enumerate(cs)] + [(None, "a", 0), ("w.r.t", None, 0), ("w.r.t", "a", 1)], "relation string, column string, place int")
+    edges, reasons = column_lineage.lineage(models.withColumn("extra", F.lit(1)), columns.withColumn("model", F.lit("x")))
+    got: dict[str, dict] = {}
+    for r in edges.collect():
+        got.setdefault(r.target, {}).setdefault(r.target_column, set()).add(r.source.split(".")[-1] + "." + r.source_column)
+    why = {r.model: r.reason for r in reasons.collect()}
+    for i, (sql, want) in enumerate(cases.items()):
+        if isinstance(want, str):
+            assert (sql, why.get(f"m{i}"), got.get(f"m{i}")) == (sql, want, None)
+        elif "" not in want:
+            assert (sql, got.get(f"m{i}"), why.get(f"m{i}")) == (sql, want, None)
+    assert why["none"] == why["empty"] == "no sql" and len(why) == 2 + sum(isinstance(w, str) for w in cases.values())
+    none = column_lineage.lineage(models.limit(0), columns.limit(0))
+    assert none[0].count() == none[1].count() == 0
+
+
 def test_usage_sources(spark):
     views = spark.createDataFrame([("A", "2026-05-02", 1, "web", "app", 5), ("A", "2026-05-09", 1, "web", "app", 3), ("A", "2026-05-02", 2, "web", "app", 3), ("B", "2026-05-02", 1, "web", "app", 0)], "report string, date string, user_key long, consumption string, distribution string, views int")
     users = spark.createDataFrame([(1, "{u-alice}", None), (2, None, "bob@x.org")], "user_key long, guid string, email string")
