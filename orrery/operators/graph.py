@@ -6,6 +6,7 @@ predecessor; a frontier is sent to all executors only while it is small, else it
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import names, rules
 from orrery.operators import reach
-from orrery.storage import drop, few, stored
+from orrery.storage import FEW, drop, few, stored
 
 REACH_DEPTH, REACH_NODES, PATH_DEPTH, MOST_PATHS, FULL_DEPTH = 15, 500, 30, 50, 1000
 
@@ -126,34 +127,62 @@ def used_where(edges: DataFrame, starts: DataFrame, most: int = 60) -> tuple[Dat
 def shortest_paths(edges: DataFrame, source: str, target: str, direction: str = "down", depth: int = PATH_DEPTH, most: int = MOST_PATHS, blocked: DataFrame | None = None) -> DataFrame:
     """(path array<string>, hops): all shortest paths, in the order of their ids, at most `most`; none if the target is out of reach.
 
-    Distances from the source are found first, then the nodes that lie on a shortest path, back from the target. Paths grow
-    forward among those alone, so every prefix leads to the target and the least `most` prefixes hold the least `most` paths.
+    The search goes from both ends, a level at a time from the end whose last level has fewer steps ahead, until two last levels meet: the
+    nodes that they share are the middles of all shortest paths. From there the steps on those paths are taken back to each end, and paths
+    grow forward among them alone, so every prefix leads to the target and the least `most` prefixes hold the least `most` paths.
     """
     spark = edges.sparkSession
-    one = lambda node: spark.createDataFrame([(node,)], "node_id string")
+    if source == target:
+        return spark.createDataFrame([([source], 0)], "path array<string>, hops int")
+    as_column = lambda df, name: df.select(F.col("node_id").alias(name))
+    steps = directed(edges, direction).distinct()
     if blocked is not None:
-        blocked = blocked.where(~F.col("node_id").isin(source, target))
-    near = stored(reachable(edges, one(source), direction, max(1, min(depth, PATH_DEPTH)), blocked=blocked, until=target))
-    found = near.where(F.col("node_id") == target).first()
-    empty = spark.createDataFrame([], "path array<string>, hops int")
-    if found is None:
-        return empty
-    hops = found["distance"]
-    steps = directed(edges, direction)
-    steps = stored(
-        steps.join(near.select(F.col("node_id").alias("at"), F.col("distance").alias("a")), "at").join(near.select(F.col("node_id").alias("next"), F.col("distance").alias("b")), "next").where("b = a + 1").select("at", "next", "a").distinct()
-    )
-    on_path = level = stored(one(target))
-    for d in range(hops - 1, -1, -1):
-        level = stored(steps.where(F.col("a") == d).join(few(level.select(F.col("node_id").alias("next"))), "next").select(F.col("at").alias("node_id")).distinct())
-        on_path = on_path.unionByName(level)
-    on_path = stored(on_path.distinct())
+        closed = few(stored(blocked.select("node_id").where(~F.col("node_id").isin(source, target)).distinct()))
+        steps = steps.join(as_column(closed, "at"), "at", "left_anti").join(as_column(closed, "next"), "next", "left_anti").select("at", "next")
+    steps = stored(steps)
+    toward = (("at", "next"), ("next", "at"))
+
+    def ahead(side: int, level: DataFrame, size: int) -> DataFrame:
+        here, there = toward[side]
+        last = as_column(level, here)
+        return steps.join(F.broadcast(last) if size <= FEW else last, here).select(F.col(there).alias("node_id"))
+
+    levels, sizes = [[stored(spark.createDataFrame([(end,)], "node_id string"))] for end in (source, target)], [1, 1]
+    costs = [ahead(side, levels[side][0], 1).count() for side in (0, 1)]
+    met = None
+    for _ in range(max(1, min(depth, PATH_DEPTH))):
+        side = 0 if costs[0] <= costs[1] else 1
+        reached = ahead(side, levels[side][-1], sizes[side]).distinct()
+        levels[side].append(stored(reached.join(functools.reduce(DataFrame.unionByName, levels[side]), "node_id", "left_anti")))
+        sizes[side] = levels[side][-1].count()
+        if sizes[side] == 0:
+            break
+        shared = stored(levels[side][-1].join(levels[1 - side][-1], "node_id", "left_semi"))
+        if not shared.isEmpty():
+            met = shared
+            break
+        drop(shared)
+        costs[side] = ahead(side, levels[side][-1], sizes[side]).count()
+    if met is None:
+        drop(steps, *levels[0], *levels[1])
+        return spark.createDataFrame([], "path array<string>, hops int")
+
+    def ladder(side: int) -> list[DataFrame]:
+        """The steps on shortest paths from the middles to an end, a table a level."""
+        far, near = toward[side]
+        rungs, level = [], met
+        for before in levels[side][-2::-1]:
+            rungs.append(stored(steps.join(few(as_column(level, near)), near).join(as_column(before, far), far, "left_semi").select("at", "next")))
+            level = rungs[-1].select(F.col(far).alias("node_id")).distinct()
+        return rungs
+
+    rungs = ladder(0)[::-1] + ladder(1)
     paths = spark.createDataFrame([([source],)], "path array<string>")
-    for d in range(hops):
-        ahead = steps.where(F.col("a") == d).join(on_path.select(F.col("node_id").alias("next")), "next", "left_semi")
-        grown = paths.withColumn("at", F.element_at("path", -1)).join(ahead, "at").select(F.concat("path", F.array("next")).alias("path"))
+    for rung in rungs:
+        grown = paths.withColumn("at", F.element_at("path", -1)).join(rung, "at").select(F.concat("path", F.array("next")).alias("path"))
         paths = stored(grown.orderBy("path").limit(most))
-    return paths.select("path", F.lit(hops).alias("hops"))
+    drop(steps, met, *levels[0], *levels[1], *rungs)
+    return paths.select("path", F.lit(len(rungs)).alias("hops"))
 
 
 def ego(edges: DataFrame, start: DataFrame, depth: int = 2, direction: str = "both", levels: Sequence[str] = ("asset", "both"), full: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -94,6 +94,19 @@ def test_paths(spark):
     assert [tuple(r.path) for r in graph.shortest_paths(edges, "a", "a").collect()] == [("a",)]
 
 
+def test_paths_from_both_ends_pass_a_hub_by(spark, monkeypatch):
+    """A hub leads to 400 nodes, which lead to 400 more; the target has one step into it, so the search goes back from there."""
+    pairs = [("s", "hub"), ("t2", "t"), ("hub", "t1"), ("t1", "t2"), ("t", "s")] + [("hub", f"n{i}") for i in range(400)] + [(f"n{i}", f"m{i}") for i in range(400)]
+    edges = spark.createDataFrame(pairs * 2, "source string, target string")
+    kept, plain = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (kept.append(df.count()) if df.columns == ["node_id"] else None, plain(df))[1])
+    assert [(tuple(r.path), r.hops) for r in graph.shortest_paths(edges, "s", "t").collect()] == [(("s", "hub", "t1", "t2", "t"), 4)]
+    from_both = sum(kept)
+    from_one = graph.reachable(edges, spark.createDataFrame([("s",)], "node_id string"), until="t").count()
+    assert from_both * 2 < from_one
+
+
+
 def test_layers_egos_and_cards(spark):
     edges = graph_of(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "p"))
     assert rows(graph.layers(edges, starts(spark, *"abcpqz"))) == [("a", 0), ("b", 1), ("c", 2), ("p", 0), ("q", 0), ("z", 0)]
