@@ -53,7 +53,7 @@ def _unquoted(sql: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"`([\p{L}\p{N}_$.-]+)`", "$1"), r"\s+", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?<=[\p{L}\p{N}_$]) ?\. ?(?=[\p{L}_*])", "."), r"[\s;]+$", "")
     text = F.regexp_replace(text, r"(?i)\b(?:DATE|TIME|DATETIME|TIMESTAMP|NUMERIC|JSON) 0\b", "0")
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)\bINTERVAL ([^ ()]+) \w+", "$1"), rf"(?i)\bOVER (?={NAME})\w+", " ")
+    return F.regexp_replace(text, r"(?i)\bINTERVAL ([^ ()]+) \w+", "$1")
 
 
 def _argument(text: Column, before: Column) -> Column:
@@ -104,7 +104,7 @@ def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = (
         F.when(F.col("sql").rlike(r"\{\{|\{%|\{#"), "template").when(F.col("text").rlike("['\"]"), "open quote").when(F.col("text").contains("`") | F.col("sql").rlike(rf"(?i)`(?:{'|'.join(KEYWORDS)})`"), "quoted name")
         .when(F.size(_all(F.col("text"), r"\(")) != F.size(_all(F.col("text"), r"\)")), "parentheses").when(F.col("text").rlike(r"(?i)\bWITH RECURSIVE\b"), "recursion").when(F.col("text").rlike(r"(?i)\b(?:UNION|EXCEPT|INTERSECT)\b.{0,20}\bBY NAME\b"), "union by name")
-        .when(F.col("text").rlike(r"(?i)\b(?:PIVOT|UNPIVOT)\b ?\("), "pivot").when(F.col("text").rlike(r"(?i)\bSELECT AS (?:STRUCT|VALUE)\b|\bDISTINCT ON\b"), "select as")
+        .when(F.col("text").rlike(r"(?i)\b(?:PIVOT|UNPIVOT)\b ?\("), "pivot").when(F.col("text").rlike(r"(?i)\bSELECT AS (?:STRUCT|VALUE)\b|\bDISTINCT ON\b"), "select as").when(F.col("text").rlike(r"(?i)\bOVER [\p{L}_]"), "named window")
     )
     text = stored(text.select(*KEY, "text", bad.alias("reason")))
     rows = text.where("reason IS NULL").select(*KEY, _peeled(F.col("text")).alias("p"))
@@ -119,12 +119,13 @@ def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _branches(blocks: DataFrame) -> DataFrame:
     """(model, nth, block, branch, items, origin, using, scope, reason) of each SELECT."""
     main = F.regexp_replace("body", r"(?is)^\s*WITH\b.*?⟦\d+⟧\s*(?=SELECT\b)", "")
-    rows = blocks.select(*KEY, "block", "scope", F.posexplode(F.split(main, SET_OPERATION)).alias("branch", "part"))
+    listed = F.col("body").rlike(rf"(?i)(?:\bWITH|,)\s*{NAME}\s*❨[^❨❩]*❩\s*AS\s+(?:NOT\s+)?(?:MATERIALIZED\s+)?⟦")
+    rows = blocks.select(*KEY, "block", "scope", listed.alias("listed"), F.posexplode(F.split(main, SET_OPERATION)).alias("branch", "part"))
     part = F.regexp_replace("part", r"^\s*(⟦\d+⟧)", "SELECT * FROM $1")
-    rows = rows.select(*KEY, "block", "scope", "branch", part.alias("part"))
-    rows = rows.select(*KEY, "block", "branch", "scope", "part", _got(F.col("part"), BRANCH, 1).alias("items"), F.coalesce(_got(F.col("part"), BRANCH, 2), F.lit("")).alias("origin"))
+    rows = rows.select(*KEY, "block", "scope", "listed", "branch", part.alias("part"))
+    rows = rows.select(*KEY, "block", "branch", "scope", "listed", "part", _got(F.col("part"), BRANCH, 1).alias("items"), F.coalesce(_got(F.col("part"), BRANCH, 2), F.lit("")).alias("origin"))
     wanted = F.when(F.col("origin") == "", 0).otherwise(F.size(_all(F.col("origin"), r"(?i)(?:^|,|\bJOIN\b)")))
-    bad = F.when(F.col("part").rlike("[()]"), "parentheses").when(~F.col("part").rlike(r"(?i)^\s*SELECT\s") | F.col("items").isNull() | F.col("items").rlike(r"(?i)^(?:FROM|WHERE|GROUP|ORDER)\b"), "no select").when(F.size(_all(F.col("origin"), SOURCE, 1)) != wanted, "source that is no name").when(F.col("origin").rlike(r"(?i)\bNATURAL\b"), "natural join")
+    bad = F.when(F.col("part").rlike("[()]"), "parentheses").when(F.col("listed"), "column list of with").when(~F.col("part").rlike(r"(?i)^\s*SELECT\s") | F.col("items").isNull() | F.col("items").rlike(r"(?i)^(?:FROM|WHERE|GROUP|ORDER)\b"), "no select").when(F.size(_all(F.col("origin"), SOURCE, 1)) != wanted, "source that is no name").when(F.col("origin").rlike(r"(?i)\bNATURAL\b"), "natural join")
     using = F.flatten(F.transform(_all(F.col("origin"), r"(?i)\bUSING\s*❨([^❨❩]*)❩", 1), lambda t: F.transform(F.split(t, "¦"), lambda c: F.lower(F.trim(c)))))
     return rows.select(*KEY, "block", "branch", "scope", "items", "origin", using.alias("using"), bad.alias("reason"))
 
@@ -245,7 +246,8 @@ def lineage(models: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFra
     statements = texts.select("model", F.posexplode("texts").alias("nth", "sql")).where(F.trim("sql") != "")
     blocks, early = _blocks(statements)
     branches = stored(_branches(blocks))
-    items, sources = stored(_items(branches)), stored(_sources(branches, relations))
+    sound = branches.where("reason IS NULL")
+    items, sources = stored(_items(sound)), stored(_sources(sound, relations))
     reason = lambda df: df.where("reason IS NOT NULL").select(*KEY, "reason")
     early = stored(early.unionByName(reason(branches)).unionByName(reason(sources)).unionByName(reason(items)))
     # Blocks of sound statements by level: a level reads those below it alone.

@@ -231,6 +231,8 @@ def test_column_lineage_of_scopes(spark):
         "SELECT ')(' , a) FROM (t": "parentheses",
         "WITH RECURSIVE n AS (SELECT a FROM t) SELECT a FROM n": "recursion",
         "SELECT 'a FROM t": "open quote",
+        "WITH u(x, y) AS (SELECT id, c FROM w.r.u) SELECT z FROM u": "column list of with",
+        "SELECT SUM(a) OVER v AS s FROM t WINDOW v AS (PARTITION BY b)": "named window",
         "SELECT t.* REPLACE (1 AS a) FROM t": "changed star",
     }
     models = spark.createDataFrame([(f"m{i}", [sql]) for i, sql in enumerate(cases)] * 2 + [("none", None), (None, ["SELECT a FROM t"]), ("empty", [None, " "])], "model string, texts array<string>")
