@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from orrery.plans import artifact_queries, detail_queries, profile_queries, queries, search_queries  # noqa: F401
+from orrery.plans import artifact_queries, detail_queries, landing_queries, profile_queries, queries, search_queries  # noqa: F401
 
 
 def rows_of(names, rows):
