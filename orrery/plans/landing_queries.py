@@ -8,6 +8,8 @@ from orrery.operators import load
 from orrery.operators.buckets import BucketTable
 from orrery.plans import starmap as star
 from orrery.plans.queries import ORACLE_SQL, query
+from orrery.sources import landing
+from orrery.storage import shared_dir
 
 
 @query(ORACLE_SQL["item_upsert"])
@@ -36,3 +38,43 @@ def nodes_merged_in_buckets(spark, d):
     table = BucketTable.create(nodes.where("group <> 'PB_REPORT'"), ["node_id"], 64)
     table.merge(nodes.where("group IN ('PB_REPORT', 'PB_MEASURE')").withColumn("name", F.upper("name")), {})
     return table.rows()
+
+
+def _landed(spark, d) -> str:
+    """Events as landed runs, one for each day, in several pages of JSON lines each; a run without its mark beside them."""
+    folder = shared_dir(spark)
+    events = star.table(spark, d, "events").select(F.date_format("ts", "yyyyMMdd").alias("run"), (F.col("event_id") % 4).alias("page"), F.to_json(F.struct("event_id", "user_id", "event_type", "props")).alias("value"))
+    events.repartition("run", "page").select("run", "value").write.partitionBy("run").text(f"{folder}/written")
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/written")
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in store.listStatus(base):
+        name = run.getPath().getName()
+        if run.isDirectory() and name != "run=20240102":
+            store.create(spark._jvm.org.apache.hadoop.fs.Path(run.getPath(), "_SUCCESS")).close()
+    return f"{folder}/written"
+
+
+_LANDED = """WITH e AS (SELECT 'run=' || strftime(ts, '%Y%m%d') AS run, * FROM events WHERE strftime(ts, '%Y%m%d') <> '20240102')
+SELECT run, event_type, count(*) AS events, count(DISTINCT user_id) AS users, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM e GROUP BY ALL"""
+
+
+def _counted(pages):
+    e = pages.select("run", F.from_json("record", "event_id long, user_id long, event_type string, props string").alias("e")).select("run", "e.*")
+    return e.groupBy("run", "event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@query(_LANDED)
+def landed_pages(spark, d):
+    """Whole runs by the registered format, a partition for each page."""
+    landing.register(spark)
+    return _counted(spark.read.format(landing.FORMAT).load(_landed(spark, d)))
+
+
+@query(_LANDED)
+def landed_stream(spark, d):
+    """The same runs by a stream of what is there, written once and counted."""
+    landing.register(spark)
+    rows, marks = shared_dir(spark), shared_dir(spark)
+    stream = spark.readStream.format(landing.FORMAT).load(_landed(spark, d)).writeStream.format("parquet").option("path", rows).option("checkpointLocation", marks)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return _counted(spark.read.parquet(rows))
