@@ -17,7 +17,7 @@ DELIMITERS = ",;\t|"
 
 def text_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, content) of all files of a name below a folder, each whole."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(folder)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

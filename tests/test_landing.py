@@ -48,3 +48,13 @@ def test_a_stream_reads_each_run_once(spark, tmp_path):
     assert step() == [("r1", "a.json")] * 2 + [("r2", "a.json")]
     (source / "r3" / "_SUCCESS").touch()
     assert step() == step() == [("r1", "a.json")] * 2 + [("r2", "a.json"), ("r3", "a.json")]
+
+
+def test_text_files_are_whole(spark, tmp_path):
+    from orrery.sources.files import text_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.sql").write_bytes(b"one\n\ntwo\r\nthree")
+    (tmp_path / "y.sql").write_bytes(b"")
+    (tmp_path / "z.txt").write_bytes(b"no")
+    assert sorted(r.content for r in text_files(spark, str(tmp_path), "*.sql").collect()) in (["", "one\n\ntwo\r\nthree"], ["one\n\ntwo\r\nthree"])
