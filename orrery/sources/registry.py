@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.sources import dbt, files, reports, tmdl
+from orrery.sources import dbt, files, reports, tmdl, workspace
+from orrery.storage import stored
 
 Reader = Callable[[SparkSession, Mapping[str, str]], dict[str, DataFrame]]
 SOURCES: dict[str, Reader] = {}
@@ -42,7 +43,7 @@ def read_project(spark: SparkSession, settings: Mapping[str, str]) -> dict[str,
 
 @source("bi")
 def read_workspace(spark: SparkSession, settings: Mapping[str, str]) -> dict[str, DataFrame]:
-    """A BI landing folder: <item>.SemanticModel with TMDL or BIM files, <item>.Report in either format."""
+    """A BI landing folder: <item>.SemanticModel with TMDL or BIM files, <item>.Report in either format; items of all kinds and the edges between them."""
     folder = settings["folder"]
     model_of, report_of = F.regexp_extract("path", r"([^/]+)\.SemanticModel/", 1), F.regexp_extract("path", r"([^/]+)\.Report/", 1)
     own = files.text_files(spark, folder, "*.tmdl")
@@ -51,9 +52,10 @@ def read_workspace(spark: SparkSession, settings: Mapping[str, str]) -> dict[str
     needs = tmdl.dependencies(blocks)
     json_files = files.text_files(spark, folder, "*.json")
     rows = reports.reports(reports.legacy(json_files.where(F.col("path").endswith("report.json")), report_of), reports.folders(json_files, report_of))
-    members = blocks.where("kind <> 'partition'").select("name", F.when(F.col("kind") == "measure", "PB_MEASURE").otherwise("PB_COLUMN").alias("type"))
-    edges = reports.report_edges(rows, reports.resolved_fields(rows, members)).unionByName(reports.model_edges(blocks, needs, relationships), allowMissingColumns=True)
-    return {"blocks": blocks, "relationships": relationships, "dependencies": needs, "report_fields": rows, "edges": edges}
+    # Each is read many times below, and parsed once.
+    blocks, relationships, needs, rows = (stored(x) for x in (blocks, relationships, needs, rows))
+    items, every = workspace.catalogue(blocks, rows, relationships, needs, settings.get("workspace"))
+    return {"blocks": blocks, "relationships": relationships, "dependencies": needs, "report_fields": rows, "items": items, "edges": every}
 
 
 @source("csv")
