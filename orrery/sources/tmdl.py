@@ -108,7 +108,9 @@ def bim_blocks(files: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def part(name: str, kind: str, *more: Column) -> DataFrame:
-        rows = tables.select("path", F.col("t.name").alias("table_name"), F.col("t.lineageTag").alias("table_tag"), F.posexplode(f"t.{name}").alias("block", "b"))
+        # The list is taken out of its table first, else each of its entries would carry the whole table with it.
+        lists = tables.select("path", F.col("t.name").alias("table_name"), F.col("t.lineageTag").alias("table_tag"), F.col(f"t.{name}").alias("list"))
+        rows = lists.select("path", "table_name", "table_tag", F.posexplode("list").alias("block", "b"))
         rows = rows.where(~F.coalesce("b.isHidden", F.lit(False))) if kind == "column" else rows
         return rows.select("path", "table_name", "table_tag", "block", F.lit(kind).alias("kind"), F.col("b.name").alias("name"), *more)
 
