@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.extract import partition_kind
+from orrery.storage import many
 
 # Line forms.
 HEADER = r"^\s*(column|measure|partition)\s+'?([^=']+?)'?\s*(?:=\s*(.*))?$"
@@ -142,6 +143,7 @@ def dependencies(blocks: DataFrame) -> DataFrame:
     """
     from orrery.functions import extract
 
+    blocks = many(blocks)
     is_column, is_part = F.col("kind") == "column", F.col("kind") == "partition"
     asked = blocks.where((F.col("kind") == "measure") | (is_column & (F.col("type") == "calculated")) | (is_part & (F.col("type") == "calculated")))
     asked = asked.select("model", F.when(is_part, F.col("table_name")).otherwise(F.col("name")).alias("object"), F.when(is_part, "PB_TABLE").when(is_column, "PB_COLUMN").otherwise("PB_MEASURE").alias("object_type"), F.col("table_name").alias("object_table"), F.col("expression").alias("dax"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.names import custom_id
 from orrery.sources import reports
+from orrery.storage import many
 
 MEMBERS = ("PB_MEASURE", "PB_COLUMN")
 
@@ -42,6 +43,7 @@ def catalogue(blocks: DataFrame, rows: DataFrame, relationships: DataFrame, depe
     Statistics are filled afterwards: reports, pages and visuals that use a member or field, pages and visuals of a report, is_unused of members (no visual and no
     expression in any model has the name), is_related of columns and tables.
     """
+    blocks, dependencies, relationships = many(blocks), many(dependencies), many(relationships)
     dependencies = _placed(dependencies)
     members = _members(blocks)
     ids = _ids(members)
