@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.names import bridge_name, node_id, relation_name
-from orrery.storage import stored
+from orrery.storage import drop, few, stored
 
 # Reasons of a match, in the order of the passes.
 REASONS = ("bq_fqn", "name_full", "name_tail")
+#: Pairs that one cell of a join gives, and the most tasks of one join.
+PAIRS, MOST_TASKS = 2_000_000, 10_000
 
 
 def unique_by(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -66,10 +68,35 @@ def bridge_tables(tables: DataFrame, models: DataFrame) -> DataFrame:
 
 def bridge_preview(tables: DataFrame, models: DataFrame) -> DataFrame:
     """All candidates of all passes, unique or not; a model whose full name matches is no tail match as well."""
-    right, left = model_keys(models).withColumnRenamed("item_id", "dbt_item_id"), table_keys(tables).withColumnRenamed("item_id", "pbi_item_id")
-    one = lambda on, reason, more=F.lit(True): left.join(right.drop("fqn") if reason != "bq_fqn" else right, on).where(more).select("pbi_item_id", "dbt_item_id", F.lit(reason).alias("reason"))
-    by_tail = one(F.col("name") == F.col("tail"), "name_tail", F.col("name") != F.col("full"))
-    return one(["fqn"], "bq_fqn").unionByName(one(F.col("name") == F.col("full"), "name_full")).unionByName(by_tail)
+    right, left = stored(model_keys(models).withColumnRenamed("item_id", "dbt_item_id")), stored(table_keys(tables).withColumnRenamed("item_id", "pbi_item_id"))
+
+    def one(key: str, on: str, reason: str, more: Column | None = None) -> DataFrame:
+        own = right.select("dbt_item_id", F.col(on).alias("_key"), F.col("full").alias("_full"))
+        found = _all_pairs(left.select("pbi_item_id", F.col(key).alias("_key")), own, "_key", "pbi_item_id", "dbt_item_id")
+        return (found if more is None else found.where(more)).select("pbi_item_id", "dbt_item_id", F.lit(reason).alias("reason"))
+
+    by_tail = one("name", "tail", "name_tail", F.col("_key") != F.col("_full"))
+    return one("fqn", "fqn", "bq_fqn").unionByName(one("name", "full", "name_full")).unionByName(by_tail)
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """left joined with right by key, where a key of few may give most rows: a key's pairs are dealt over as many cells as they need, cells over as many tasks.
+
+    The pairs are counted by key first. The table with fewer rows has a copy for each cell of a key, the other's rows lie in one each, by a hash of their ids.
+    """
+    count = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    each = stored(count(left, "_l").join(count(right, "_r"), key).withColumn("_cells", F.ceil(F.col("_l") * F.col("_r") / PAIRS).cast("int")))
+    total = each.agg(F.sum("_cells"), F.sum(F.col("_l") * F.col("_r")), F.sum("_l"), F.sum("_r")).first()
+    if total[0] is None:
+        drop(each)
+        return left.join(right, key)
+    tasks = min(MOST_TASKS, max(1, -(-int(total[1]) // PAIRS)))
+    cells = few(each.select(key, "_cells"))
+    dealt = lambda df, of: df.join(cells, key).withColumn("_cell", F.pmod(F.xxhash64(of), F.col("_cells")).cast("int")).drop("_cells")
+    copied = lambda df: df.join(cells, key).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).drop("_cells")
+    a, b = (dealt(left, left_id), copied(right)) if total[3] <= total[2] else (copied(left), dealt(right, right_id))
+    spread = lambda df: df.repartition(tasks, key, "_cell")
+    return spread(a).join(spread(b).hint("shuffle_hash"), [key, "_cell"]).drop("_cell")
 
 
 def bridge_columns(pairs: DataFrame, pbi_columns: DataFrame, dbt_columns: DataFrame) -> DataFrame:
