@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.extract import external_target
 from orrery.functions.names import blank_to_null, qualified_name
-from orrery.storage import drop, few, stored
+from orrery.storage import drop, few, many, stored
 
 #: Columns that may be filtered by equality and by which lists may be ordered.
 FILTERS = ("item_type", "service", "workspace_id", "workspace_name", "dataset_id", "dataset_name", "table_name", "status", "is_unused", "datatype", "column_type", "item_group_id", "database_name", "schema_name")
@@ -289,6 +289,6 @@ def wrapper_sources(measures: DataFrame) -> DataFrame:
         drop(before)
         if still:
             break
-    done = direct.join(ends, "item_id")
+    done = direct.join(many(ends), "item_id")
     whole = F.col("hops") <= n
     return done.select("item_id", "target_id", "matched", "candidates", F.when(whole, F.col("at")).alias("source_id"), F.when(whole, F.col("hops")).alias("hops"))
