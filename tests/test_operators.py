@@ -328,6 +328,26 @@ def test_reached_counts_with_cycles(spark, seed, n, m):
     assert got == {k: (len(a), len(b)) for k, (a, b) in want.items()}
 
 
+def test_marks_with_near_names_share_blocks(spark):
+    from orrery.operators import reach
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(640).select(F.lit("a").alias("node_id"), F.lit("k").alias("kind"), F.format_string("x%04d", "id").alias("what"))
+        blocks = reach.marks(rows).groupBy("block").agg(F.bit_count(F.bit_or("bits")).alias("n")).collect()
+        few = reach.marks(rows.withColumn("node_id", F.when(F.col("what") < "x0064", "near").otherwise("far"))).where("node_id = 'near'").select("block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n"] for r in blocks) == 640
+    assert few <= 2
+
+
+def test_a_name_of_one_node_and_a_shared_one_are_counted(spark):
+    edges = spark.createDataFrame([("r", x) for x in "abcd"], "source string, target string")
+    nodes = spark.createDataFrame([("a", "one", "A"), ("b", "two", "A"), ("c", "two", "A"), ("d", None, "A"), ("d", "one more", "A"), ("a", "one", "A")], "node_id string, name string, group string")
+    assert [tuple(r) for r in graph.downstream_counts(edges, nodes, ["A"]).select("node_id", "group", "names", "ids").collect()] == [("r", "A", 3, 4)]
+
+
 def test_reached_counts_of_nothing(spark):
     edges = spark.createDataFrame([], "source string, target string")
     nodes = spark.createDataFrame([("A::1", "x", "A")], "node_id string, name string, group string")
