@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.catalog import not_deleted
-from orrery.storage import few, shared_dir
+from orrery.storage import few, many, shared_dir, stored
 
 _CODED = ("DBT_MODEL", "DBT_SEED", "DBT_TEST")
 _NAMES = ("item_name", "description", "table_name", "database_name")
@@ -22,6 +23,8 @@ _ITEM, _GRAM = ", ".join(f"{c} string" for c in _KEPT), "gram string, place stri
 PARTS = 64
 #: Grams of a text that candidates must share; the rarest are taken, and the exact check settles the rest.
 RAREST = 3
+#: Rows of grams or candidates for each task: their files are small, so Spark, which goes by bytes, would put tens of millions into one.
+ROWS = 1_000_000
 _END = "\x00"
 
 
@@ -34,12 +37,12 @@ class TextIndex:
     """Tables below a folder that driver and executors share: items, grams (gram, place, item_id) and how many items hold a gram in a place (a column).
 
     Texts are padded with two end signs, so that each of their signs begins a gram and a text of one or two signs is found as the beginning of grams.
-    Grams lie by ranges of (part, gram, place, item_id): a gram that many items hold is spread over files, and a search reads the parts that it asks for.
+    Grams lie by part, a large part in slices by its items' hash: a gram that many items hold is spread over files, and a search reads the parts that it asks for.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
-        self.folder, self.items, self.grams, self.counts = folder, read("items", _ITEM), read("grams", _GRAM), read("counts", "gram string, place string, n long")
+        self.spark, self.folder, self.items, self.grams, self.counts = spark, folder, read("items", _ITEM), read("grams", _GRAM), read("counts", "gram string, place string, n long")
 
     @classmethod
     def build(cls, items: DataFrame, folder: str | None = None) -> TextIndex:
@@ -49,33 +52,43 @@ class TextIndex:
         items.where(not_deleted() & F.col("item_type").isin(types)).select(*(F.col(c).cast("string") for c in _KEPT)).write.parquet(f"{folder}/items")
         own = spark.read.schema(_ITEM).parquet(f"{folder}/items")
         places = F.explode(F.array(*(F.struct(F.lit(c).alias("place"), F.col(c).alias("value")) for c in (*_NAMES, "expression"))))
-        values = own.select("item_id", places.alias("v")).select("item_id", "v.*").where("value <> ''")
+        signs = own.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in (*_NAMES, "expression")))).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, signs // ROWS)
+        values = own.repartition(tasks).select("item_id", places.alias("v")).select("item_id", "v.*").where("value <> ''")
         grams = values.select(F.explode(_grams(F.concat("value", F.lit(_END * 2)))).alias("gram"), "place", "item_id")
         grams = grams.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
         order = ("part", "gram", "place", "item_id")
-        grams.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{folder}/grams")
+        slices = F.pmod(F.xxhash64("item_id"), F.lit(1 + 4 * tasks // PARTS))
+        grams.repartition(tasks, "part", slices).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{folder}/grams")
         spark.read.schema(_GRAM).parquet(f"{folder}/grams").groupBy("gram", "place").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/counts")
         return cls(spark, folder)
 
+    def _read(self, rows: int) -> DataFrame:
+        """The grams, a scan for each group of parts, so that a scan's share of a task stays near ROWS however many there are."""
+        groups = min(PARTS, 1 + rows // (ROWS * self.spark.sparkContext.defaultParallelism))
+        scans = [self.grams.where(F.col("part").isin(*range(g, PARTS, groups))) for g in range(groups)]
+        return functools.reduce(DataFrame.unionByName, scans)
+
     def _candidates(self, asks: DataFrame, columns: Sequence[str]) -> DataFrame:
         """(ask_id, place, item_id): items that hold the rarest grams of a text in one column; for texts of one or two signs, any gram that begins with it."""
         counts = self.counts.where(F.col("place").isin(*columns))
         long = asks.where(F.length("text") >= 3).select("ask_id", _grams(F.col("text")).alias("grams"))
         held = long.select("ask_id", F.size("grams").alias("all"), F.explode("grams").alias("gram")).join(counts, "gram")
         held = held.groupBy("ask_id", "all", "place").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, RAREST).alias("least"), F.count(F.lit(1)).alias("held")).where("held = all")
-        chosen = held.select("ask_id", "place", F.size("least").alias("need"), F.explode("least.gram").alias("gram"))
+        chosen = held.select("ask_id", "place", F.size("least").alias("need"), F.inline("least"))
         for size in (1, 2):
             short = asks.where(F.length("text") == size).select("ask_id", F.lower("text").alias("start"))
-            begun = counts.select(F.substring("gram", 1, size).alias("start"), "place", "gram")
-            chosen = chosen.unionByName(short.join(begun, "start").select("ask_id", "place", F.lit(1).alias("need"), "gram"))
-        chosen = chosen.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
-        met = self.grams.join(few(chosen), ["part", "gram", "place"])
+            begun = counts.select(F.substring("gram", 1, size).alias("start"), "place", "gram", "n")
+            chosen = chosen.unionByName(short.join(begun, "start").select("ask_id", "place", F.lit(1).alias("need"), "n", "gram"))
+        chosen = stored(chosen.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int")))
+        tasks = max(self.spark.sparkContext.defaultParallelism, (chosen.agg(F.sum("n")).first()[0] or 0) // ROWS)
+        met = self._read(self.counts.agg(F.sum("n")).first()[0] or 0).join(few(chosen.drop("n")), ["part", "gram", "place"]).repartition(tasks, "item_id")
         return met.groupBy("ask_id", "place", "item_id", "need").agg(F.count(F.lit(1)).alias("met")).where("met >= need").select("ask_id", "place", "item_id")
 
     def hits(self, asks: DataFrame, types: Sequence[str], columns: Sequence[str]) -> DataFrame:
         """(ask_id, text, item columns) of all items of the types that hold an ask's text in one of the columns, in any case. Empty and null texts hit nothing here."""
-        own = self.items.where(F.col("item_type").isin(*types))
-        found = self._candidates(asks, columns).join(asks, "ask_id").join(own, "item_id")
+        own, asks = self.items.where(F.col("item_type").isin(*types)), stored(asks.select("ask_id", "text"))
+        found = self._candidates(asks, columns).join(few(asks), "ask_id").join(many(own), "item_id")
         value = F.coalesce(*(F.when(F.col("place") == c, F.col(c)) for c in columns))
         found = found.where(F.coalesce(F.contains(F.lower(value), F.lower("text")), F.lit(False)))
         return found.select("ask_id", "text", *_KEPT).dropDuplicates(["ask_id", "item_id"])

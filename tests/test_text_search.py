@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from orrery.operators.text_search import SEARCHES, TextIndex
 
 SCHEMA = "item_id string, item_name string, item_type string, description string, table_name string, database_name string, expression string, deleted boolean, more int"
@@ -51,3 +53,17 @@ def test_an_empty_catalogue(spark):
     asks = spark.createDataFrame([(1, "abc"), (2, ""), (3, "a")], "ask_id int, text string")
     assert index.search(asks, "models").count() == 0
     assert [r.status for r in index.code(asks).collect()] == ["NONE"] * 3
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    from orrery.operators import text_search
+
+    monkeypatch.setattr(text_search, "ROWS", 50)
+    items = spark.range(200).select(F.format_string("i%03d", "id").alias("item_id"), F.format_string("big box %03d", "id").alias("item_name"), F.lit("DBT_TEST").alias("item_type"),
+        *(F.lit(None).cast("string").alias(c) for c in ("description", "table_name", "database_name", "expression")), F.lit(False).alias("deleted")).coalesce(1)
+    index = TextIndex.build(items)
+    assert len(index.grams.where("gram = 'box'").inputFiles()) > 4 and index._read(1_000_000).rdd.getNumPartitions() >= text_search.PARTS
+    asks = spark.createDataFrame([("a", "BOX"), ("b", "x 01"), ("c", "9")], "ask_id string, text string")
+    hits = index.hits(asks, ["DBT_TEST"], ["item_name", "description"])
+    assert hits.groupBy("ask_id").count().orderBy("ask_id").collect() == [("a", 200), ("b", 10), ("c", 38)]
+    assert index._candidates(asks, ["item_name"]).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
