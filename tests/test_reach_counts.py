@@ -51,3 +51,16 @@ def test_pairs_of_lines_are_dealt_before_they_are_made_distinct(spark, sf_dir):
     assert edges.count() == edges.distinct().count()
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2, plan
+
+
+def test_steps_that_repeat_give_each_path_and_hop_once(spark):
+    edges = spark.createDataFrame([("A_::a", "B_::b"), ("A_::a", "B_::b"), ("B_::b", "C_::c"), ("B_::b", "C_::c")], "source string, target string")
+    assert [(tuple(r.path), r.hops) for r in graph.shortest_paths(edges, "A_::a", "C_::c").collect()] == [(("A_::a", "B_::b", "C_::c"), 2)]
+    assert [tuple(r) for r in graph.two_hop_counts(edges).collect()] == [("B_::b", 1)]
+
+
+def test_nodes_are_dealt_over_tasks_by_rows(spark):
+    staged = spark.createDataFrame([("x", "1", "T", "y", "2", "T"), ("z", "1", "T", "y", "2", "T")], "source string, source_id string, source_type string, target string, target_id string, target_type string")
+    found = graph.nodes_of(staged)
+    assert sorted(tuple(r) for r in found.collect()) == [("T::1", "x", "T"), ("T::2", "y", "T")]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
