@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.storage import Rounds, drop, stored
+from orrery.storage import Rounds, drop, spread, stored
 
 # Words of the SQL dialect that are no columns, and parts of dates.
 KEYWORDS = "all and any array as asc between both by case cross current current_date current_datetime current_time current_timestamp desc distinct div else end escape except exists false filter first following for from full group having ignore ilike in inner intersect interval into is join last leading left like limit natural not null nulls offset on or order outer over partition preceding qualify range regexp respect right rlike row rows select separator similar struct then to trailing true unbounded union unknown using when where window with within".split()
@@ -36,6 +36,8 @@ NAMED = rf"(?i)^(.*?)(?:\bAS\s+|(?<=[❩⟧\p{{N}}\]])\s+|(?<=\bEND)\s+)({NAME})
 
 EDGES = "source string, source_column string, target string, target_column string, lineage_type string"
 KEY = ["model", "nth"]
+#: Texts, blocks or branches for each task that matches patterns: their cost is in processor time, and their files are small.
+TEXTS = 10_000
 BASES = "array<struct<relation:string,column:string>>"
 
 
@@ -100,6 +102,8 @@ def _scopes(blocks: Column) -> Column:
 
 def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks with scope, reasons) of statements (model, nth, sql)."""
+    statements = stored(statements)
+    statements = spread(statements, statements.count(), *KEY, each=TEXTS)
     text = statements.select(*KEY, "sql", _unquoted(F.col("sql")).alias("text"))
     bad = (
         F.when(F.col("sql").rlike(r"\{\{|\{%|\{#"), "template").when(F.col("text").rlike("['\"]"), "open quote").when(F.col("text").contains("`") | F.col("sql").rlike(rf"(?i)`(?:{'|'.join(KEYWORDS)})`"), "quoted name")
@@ -107,7 +111,7 @@ def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("text").rlike(r"(?i)\b(?:PIVOT|UNPIVOT)\b ?\("), "pivot").when(F.col("text").rlike(r"(?i)\bSELECT AS (?:STRUCT|VALUE)\b|\bDISTINCT ON\b"), "select as").when(F.col("text").rlike(r"(?i)\bOVER [\p{L}_]"), "named window")
     )
     text = stored(text.select(*KEY, "text", bad.alias("reason")))
-    rows = text.where("reason IS NULL").select(*KEY, _peeled(F.col("text")).alias("p"))
+    rows = spread(text.where("reason IS NULL"), text.count(), *KEY, each=TEXTS).select(*KEY, _peeled(F.col("text")).alias("p"))
     every = F.concat(F.array(F.struct(F.lit(0).alias("block"), F.col("p.text").alias("body"))), F.reverse("p.blocks"))
     rows = rows.select(*KEY, every.alias("blocks")).select(*KEY, "blocks", _scopes(F.col("blocks")).alias("scopes"))
     rows = rows.select(*KEY, F.explode("blocks").alias("b"), "scopes").select(*KEY, "b.*", F.col("scopes")[F.col("b.block")].alias("around"))
@@ -117,28 +121,31 @@ def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _branches(blocks: DataFrame) -> DataFrame:
-    """(model, nth, block, branch, items, origin, using, scope, reason) of each SELECT."""
+    """(model, nth, block, branch, items, sources, using, scope, reason) of each SELECT; sources are names and aliases as they stand."""
     main = F.regexp_replace("body", r"(?is)^\s*WITH\b.*?⟦\d+⟧\s*(?=SELECT\b)", "")
     listed = F.col("body").rlike(rf"(?i)(?:\bWITH|,)\s*{NAME}\s*❨[^❨❩]*❩\s*AS\s+(?:NOT\s+)?(?:MATERIALIZED\s+)?⟦")
     rows = blocks.select(*KEY, "block", "scope", listed.alias("listed"), F.posexplode(F.split(main, SET_OPERATION)).alias("branch", "part"))
     part = F.regexp_replace("part", r"^\s*(⟦\d+⟧)", "SELECT * FROM $1")
     rows = rows.select(*KEY, "block", "scope", "listed", "branch", part.alias("part"))
     rows = rows.select(*KEY, "block", "branch", "scope", "listed", "part", _got(F.col("part"), BRANCH, 1).alias("items"), F.coalesce(_got(F.col("part"), BRANCH, 2), F.lit("")).alias("origin"))
+    found = F.arrays_zip(_all(F.col("origin"), SOURCE, 1).alias("name"), _all(F.col("origin"), SOURCE, 2).alias("alias"))
+    rows = rows.withColumn("sources", found)
     wanted = F.when(F.col("origin") == "", 0).otherwise(F.size(_all(F.col("origin"), r"(?i)(?:^|,|\bJOIN\b)")))
-    bad = F.when(F.col("part").rlike("[()]"), "parentheses").when(F.col("listed"), "column list of with").when(~F.col("part").rlike(r"(?i)^\s*SELECT\s") | F.col("items").isNull() | F.col("items").rlike(r"(?i)^(?:FROM|WHERE|GROUP|ORDER)\b"), "no select").when(F.size(_all(F.col("origin"), SOURCE, 1)) != wanted, "source that is no name").when(F.col("origin").rlike(r"(?i)\bNATURAL\b"), "natural join")
+    bad = F.when(F.col("part").rlike("[()]"), "parentheses").when(F.col("listed"), "column list of with").when(~F.col("part").rlike(r"(?i)^\s*SELECT\s") | F.col("items").isNull() | F.col("items").rlike(r"(?i)^(?:FROM|WHERE|GROUP|ORDER)\b"), "no select").when(F.size("sources") != wanted, "source that is no name").when(F.col("origin").rlike(r"(?i)\bNATURAL\b"), "natural join")
     using = F.flatten(F.transform(_all(F.col("origin"), r"(?i)\bUSING\s*❨([^❨❩]*)❩", 1), lambda t: F.transform(F.split(t, "¦"), lambda c: F.lower(F.trim(c)))))
-    return rows.select(*KEY, "block", "branch", "scope", "items", "origin", using.alias("using"), bad.alias("reason"))
+    return rows.select(*KEY, "block", "branch", "scope", "items", "sources", using.alias("using"), bad.alias("reason"))
 
 
 def _sources(branches: DataFrame, relations: DataFrame) -> DataFrame:
     """(model, nth, block, branch, src, alias, full, child, relation, reason): a source is a block (child) or a relation. A whole name comes first; a shorter one counts if one relation alone ends in it."""
-    rows = branches.select(*KEY, "block", "branch", "scope", F.posexplode(F.arrays_zip(_all(F.col("origin"), SOURCE, 1).alias("name"), _all(F.col("origin"), SOURCE, 2).alias("alias"))).alias("src", "s"))
+    rows = branches.select(*KEY, "block", "branch", "scope", F.posexplode("sources").alias("src", "s"))
     full = F.lower("s.name")
     mark = F.regexp_extract("s.name", r"^⟦(\d+)⟧$", 1)
     known = F.element_at(F.filter("scope", lambda c: c["name"] == full), -1)["block"]
     alias = F.coalesce(F.nullif(F.lower("s.alias"), F.lit("")), F.when(mark == "", F.substring_index(full, ".", -1)))
     child = F.when(mark != "", mark.cast("int")).otherwise(F.when(F.size(F.filter("scope", lambda c: c["name"] == full)) > 0, known))
-    rows = rows.select(*KEY, "block", "branch", "src", alias.alias("alias"), F.when(mark == "", full).alias("full"), child.alias("child"))
+    # Stored, since rows with and without a child go separate ways and would be matched for each.
+    rows = stored(rows.select(*KEY, "block", "branch", "src", alias.alias("alias"), F.when(mark == "", full).alias("full"), child.alias("child")))
     parts = F.split("whole", r"\.")
     names = relations.select("relation", F.lower(F.regexp_replace("relation", r"[\s'\"`]+", "")).alias("whole")).distinct()
     names = names.select("relation", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".").alias("full"), (k == F.size(parts)).alias("exact")))).alias("n")).select("relation", "n.*")
@@ -245,8 +252,9 @@ def lineage(models: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFra
     texts = models.where("model IS NOT NULL").select("model", "texts").distinct()
     statements = texts.select("model", F.posexplode("texts").alias("nth", "sql")).where(F.trim("sql") != "")
     blocks, early = _blocks(statements)
-    branches = stored(_branches(blocks))
-    sound = branches.where("reason IS NULL")
+    dealt = lambda df: spread(df, df.count(), *KEY, "block", each=TEXTS)
+    branches = stored(_branches(dealt(blocks)))
+    sound = dealt(branches).where("reason IS NULL")
     items, sources = stored(_items(sound)), stored(_sources(sound, relations))
     reason = lambda df: df.where("reason IS NOT NULL").select(*KEY, "reason")
     early = stored(early.unionByName(reason(branches)).unionByName(reason(sources)).unionByName(reason(items)))

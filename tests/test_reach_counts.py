@@ -64,3 +64,14 @@ def test_nodes_are_dealt_over_tasks_by_rows(spark):
     found = graph.nodes_of(staged)
     assert sorted(tuple(r) for r in found.collect()) == [("T::1", "x", "T"), ("T::2", "y", "T")]
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_models_are_dealt_over_tasks(spark, monkeypatch):
+    from orrery.operators import column_lineage
+
+    dealt = []
+    monkeypatch.setattr(column_lineage, "spread", lambda df, rows, *keys, each: dealt.append((rows, each)) or df.repartition(3, *keys))
+    models = spark.createDataFrame([("w.m", ["WITH c AS (SELECT a FROM w.r) SELECT x.a AS k FROM c AS x JOIN w.r ON c.a = x.a"])], "model string, texts array<string>")
+    edges, reasons = column_lineage.lineage(models, spark.createDataFrame([("w.r", "a", 0)], "relation string, column string, place int"))
+    assert [tuple(r) for r in edges.collect()] == [("w.r", "a", "w.m", "k", "rename")] and reasons.count() == 0
+    assert len(dealt) == 4 and all(each == column_lineage.TEXTS for _, each in dealt)
