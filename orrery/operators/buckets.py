@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.load import merged
-from orrery.storage import drop, shared_dir, stored
+from orrery.storage import _delete, drop, shared_dir, stored
 
 #: The column that names a row's folder; a table may have no column of this name.
 BUCKET = "_bucket_of"
-
-
-def _comparable(value: Column, kind: T.DataType) -> Column:
-    """A map as sorted entries; other values as they are."""
-    return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
+#: The column that names a row's task in a merge.
+_TASK = "_task_of"
+#: Parts that a bucket is written in at first, and rows of a part in a merge: a task sorts one part.
+_PARTS, _ROWS = 8, 2_000_000
 
 
 class BucketTable:
     """A table below `path`, its rows in folders rows/_bucket_of=N by a hash of `keys`, and its layout beside them, so that it is opened by its path alone.
 
-    Keys are never null and name one row. A merge replaces folders by dynamic partition overwrite: lost tasks and executors are made good before the driver moves
-    the new folders into place. Merges into one table go one after another.
+    Keys are never null and name one row. A merge writes new folders beside the table: lost tasks and executors are made good before the driver moves those that
+    differ into place. Merges into one table go one after another.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -46,11 +46,20 @@ class BucketTable:
         table._write(df.withColumn(BUCKET, table._bucket()))
         return table
 
+    def _hash(self) -> Column:
+        return F.xxhash64(*(F.col(f"`{k}`").cast(self.schema[k].dataType) for k in self.keys))
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*(F.col(f"`{k}`").cast(self.schema[k].dataType) for k in self.keys)), F.lit(self.buckets)).cast("int")
+        return F.pmod(self._hash(), F.lit(self.buckets)).cast("int")
+
+    def _part(self, parts: int) -> Column:
+        """A row's part of its bucket, by bits of the hash that do not name the bucket alone."""
+        return F.pmod(F.shiftright(self._hash(), 32), F.lit(parts)).cast("int")
 
     def _write(self, df: DataFrame) -> None:
-        df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/rows")
+        # Rows in the order of their keys lie beside those that are named alike, so files and later shuffles are smaller.
+        dealt = df.repartition(BUCKET, self._part(_PARTS)).sortWithinPartitions(BUCKET, *(F.col(f"`{k}`") for k in self.keys))
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.path}/rows")
 
     def _rows(self) -> DataFrame:
         # A table that began empty has no folder yet.
@@ -78,12 +87,26 @@ class BucketTable:
             drop(fresh)
             return []
         old = self._rows().where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        result = stored(merged(old, fresh, self.keys, policy, reset))
-        was = old.select(*self.keys, F.struct(*(_comparable(F.col(f.name), f.dataType).alias(f.name) for f in self.schema)).alias("_was"))
-        now = F.struct(*(_comparable(F.col(f.name), f.dataType).alias(f.name) for f in self.schema))
-        differs = result.select(*self.keys, now.alias("_now")).join(was, self.keys, "left").where(~F.col("_now").eqNullSafe(F.col("_was")))
-        changed = sorted(r[0] for r in differs.select(self._bucket().alias("b")).distinct().collect())
-        if changed:
-            self._write(result.withColumn(BUCKET, self._bucket()).where(F.col(BUCKET).isin(changed)))
-        drop(fresh, result)
+        # Both sides are dealt by the bucket's parts, so that the join's tasks write the folders without another shuffle.
+        parts = max(1, -(-(old.count() + fresh.count()) // (len(touched) * _ROWS)))
+        dealt = lambda df: df.withColumn(_TASK, self._bucket() * parts + self._part(parts)).repartitionById(self.buckets * parts, F.col(_TASK))
+        result = merged(dealt(old), dealt(fresh), [_TASK, *self.keys], policy, reset, "_differs")
+        found, beside = Observation(), f"{self.path}/merge-{uuid.uuid4().hex}"
+        result = result.withColumn(BUCKET, F.floor(F.col(_TASK) / parts).cast("int")).observe(found, F.collect_set(F.when(F.col("_differs"), F.col(BUCKET))).alias("changed"))
+        result.drop(_TASK, "_differs").write.partitionBy(BUCKET).parquet(beside)
+        changed = sorted(found.get["changed"])
+        self._replace(beside, changed)
+        drop(fresh)
         return changed
+
+    def _replace(self, beside: str, buckets: Sequence[int]) -> None:
+        """Moves the folders of these buckets from the folder beside the table into it, and deletes what is left there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        store = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        store.mkdirs(path(f"{self.path}/rows"))
+        for b in buckets:
+            new, place = path(f"{beside}/{BUCKET}={b}"), path(f"{self.path}/rows/{BUCKET}={b}")
+            store.delete(place, True)
+            if not store.rename(new, place):
+                raise OSError(f"bucket {b} could not be moved from {beside}")
+        _delete(self.spark, beside)

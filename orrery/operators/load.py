@@ -50,11 +50,17 @@ def typed(staged: DataFrame, schema: T.StructType, null_words: Sequence[str] = (
     return staged.select(*(column(f) for f in schema))
 
 
-def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: Mapping[str, str], reset: Mapping[str, object] | None = None) -> DataFrame:
+def _comparable(value: Column, kind: T.DataType) -> Column:
+    """A map as sorted entries; other values as they are."""
+    return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
+
+
+def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: Mapping[str, str], reset: Mapping[str, object] | None = None, differs: str | None = None) -> DataFrame:
     """old with new's rows merged in by keys: one row for each key, columns by policy (OVERWRITE where it names none).
 
     `reset` gives columns of rows that new has a fixed value (deleted: False). Rows that new lacks stay as they are. Rows of
     new without a key are left out; of repeated keys the last by all columns counts. One full outer join; running it again changes nothing.
+    With `differs`, a column of this name tells which rows are new or have another value than in old.
     """
     reset = reset or {}
     others = [f for f in old.schema if f.name not in keys]
@@ -76,7 +82,10 @@ def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: Mapping[
             value = F.when(F.col("_new"), F.lit(reset[f.name])).otherwise(value)
         return (value if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else value.cast(f.dataType)).alias(f.name)
 
-    return joined.select(*keys, *(column(f) for f in others)).select(*old.columns)
+    if differs is None:
+        return joined.select(*keys, *(column(f) for f in others)).select(*old.columns)
+    was, now = (F.struct(*(_comparable(of(f), f.dataType).alias(f.name) for f in others)) for of in (lambda f: F.col(f"o.{f.name}"), column))
+    return joined.select(*keys, *(column(f) for f in others), (F.col("_old").isNull() | ~now.eqNullSafe(was)).alias(differs)).select(*old.columns, differs)
 
 
 def load_items(old: DataFrame, new: DataFrame, policy: Mapping[str, str], service: str, organization_id: int | None = None, now: Column | None = None) -> DataFrame:

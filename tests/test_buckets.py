@@ -60,3 +60,37 @@ def test_empty_tables_and_one_hot_bucket(spark):
         BucketTable.create(spark.range(1).withColumn(BUCKET, F.lit(1)), ["id"])
     with pytest.raises(ValueError):
         one.merge(spark.range(1).select(F.col("id").cast("string").alias("k")), {})
+
+
+def test_a_merge_shuffles_each_side_once(spark, monkeypatch):
+    from orrery.operators import buckets
+
+    joins = []
+    monkeypatch.setattr(buckets, "merged", lambda *a, **k: joins.append(merged(*a, **k)) or joins[-1])
+    pairs = lambda a, b, n: spark.range(a, b).select(F.col("id").cast("string").alias("k"), F.lit(n).alias("n"))
+    table = BucketTable.create(pairs(0, 300, 1), ["k"], 8)
+    assert table.merge(pairs(290, 310, 2), {})
+    plan = joins[0]._jdf.queryExecution().executedPlan().toString()
+    # Dealt by buckets, neither side is shuffled again for the join or for repeated keys.
+    assert len(joins) == 1 and "ENSURE_REQUIREMENTS" not in plan and plan.count("Exchange") == 2, plan
+    assert {r.k: r.n for r in table.rows().collect()} == {str(i): 1 if i < 290 else 2 for i in range(310)}
+
+
+def test_rows_that_differ_are_told_by_the_join_itself(spark):
+    old = spark.createDataFrame([("a", 1, {"x": "1", "y": "2"}), ("b", None, None), ("c", 3, None), ("d", 4, None)], "k string, n int, m map<string,string>")
+    new = spark.createDataFrame([("a", 1, {"y": "2", "x": "1"}), ("b", 2, None), ("c", None, None), ("e", None, None)], old.schema)
+    told = lambda policy: {r.k: r.other for r in merged(old, new, ["k"], policy, differs="other").collect()}
+    assert told({}) == {"a": False, "b": True, "c": True, "d": False, "e": True}
+    assert told({"n": COALESCE}) == {"a": False, "b": True, "c": False, "d": False, "e": True}
+    assert told({"n": PRESERVE}) == {"a": False, "b": False, "c": False, "d": False, "e": True}
+
+
+def test_parts_of_buckets_give_the_same_rows(spark, monkeypatch):
+    from orrery.operators import buckets
+
+    monkeypatch.setattr(buckets, "_ROWS", 20)
+    pairs = lambda a, b, n: spark.range(a, b).select(F.col("id").cast("string").alias("k"), F.lit(n).alias("n"))
+    table = BucketTable.create(pairs(0, 300, 1), ["k"], 4)
+    assert table.merge(pairs(100, 400, 2), {}) == [0, 1, 2, 3] and table.merge(pairs(100, 400, 2), {}) == []
+    assert {r.k: r.n for r in table.rows().collect()} == {str(i): 1 if i < 100 else 2 for i in range(400)} and table.rows().count() == 400
+    assert all(len(files) > 1 for files in _files(table).values())
