@@ -50,3 +50,10 @@ def test_a_round_takes_the_steps_of_its_types_alone(spark, monkeypatch):
     assert {r.layer for r in reach.peeled(steps, ids.select(F.col("n").alias("node_id")), reach.CODED).collect()} == {0, 1, 2, 3}
     rounds = [plan for schema, plan in taken if "off" in schema]
     assert len(rounds) == 4 and all(f"shiftright(source" in plan for plan in rounds)
+
+
+def test_searches_send_small_tables_alone(spark):
+    far = spark.range(reach.SENT + 1).select(F.col("id").alias("node_id"))
+    assert "strategy=broadcast" not in reach._sent(far)._jdf.queryExecution().analyzed().toString() and reach._sent(far.limit(0)) is None
+    assert "strategy=broadcast" in reach._sent(far.limit(reach.SENT))._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in reach.few(far)._jdf.queryExecution().analyzed().toString()
