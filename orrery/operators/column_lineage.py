@@ -9,7 +9,8 @@ sources have been resolved. What the rules cannot take is no edge but a reason,
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import functools
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def _got(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: within a fold an expression that is named several times is worked out for each, and within a lambda for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unquoted(sql: Column) -> Column:
     """One line without comments; each string is a 0, names lose their backticks."""
     text = F.regexp_replace(F.regexp_replace(sql, QUOTED, " $1$1$2$2$3 "), "''|\"\"", "0")
@@ -60,7 +66,7 @@ def _unquoted(sql: Column) -> Column:
 
 def _argument(text: Column, before: Column) -> Column:
     """A group that is no query, between marks of its own: its commas no longer part items, its types, date parts and words that part a query are gone."""
-    dated = F.when(before.rlike(r"(?i)(?:\b(?:date|time|datetime|timestamp)_\w+|\blast_day)\s*$"), F.regexp_replace(text, rf"(?i),\s*(?:{'|'.join(DATE_PARTS)})\s*$", "")).otherwise(text)
+    dated = F.when(F.contains(text, F.lit(",")) & before.rlike(r"(?i)(?:\b(?:date|time|datetime|timestamp)_\w+|\blast_day)\s*$"), F.regexp_replace(text, rf"(?i),\s*(?:{'|'.join(DATE_PARTS)})\s*$", "")).otherwise(text)
     typed = F.regexp_replace(dated, r"(?i)\bAS\s+[\w<>]+(?:\s*❨[^❨❩]*❩)?", " ")
     return F.concat(F.lit("❨"), F.translate(F.regexp_replace(F.regexp_replace(typed, r"(?i)^\s*\w+ FROM\b", " "), r"(?i)\b(?:FROM|WHERE|HAVING|ORDER BY|LIMIT|QUALIFY)\b", " , "), ",", "¦"), F.lit("❩"))
 
@@ -73,12 +79,19 @@ def _peeled(text: Column) -> Column:
     is_query = lambda g: g.rlike(r"(?i)^\s*(?:SELECT|WITH)\b|^\s*⟦\d+⟧\s*(?:UNION|INTERSECT|EXCEPT)\b")
 
     def step(s: Column, k: Column) -> Column:
-        groups, around = _all(s["text"], INNER, 1), F.split(s["text"], r"\([^()]*\)")
         number = lambda i: k * 100_000 + i
-        said = F.transform(groups, lambda g, i: F.when(is_query(g), F.concat(F.lit("⟦"), number(i).cast("string"), F.lit("⟧"))).when(g.rlike(r"^\s*⟦\d+⟧\s*$"), F.trim(g)).otherwise(_argument(g, F.get(around, i))))
-        joined = F.array_join(F.transform(around, lambda a, i: F.concat(a, F.coalesce(F.get(said, i), F.lit("")))), "")
-        made = F.filter(F.transform(groups, lambda g, i: F.struct(F.when(is_query(g), number(i)).alias("block"), g.alias("body"))), lambda b: b["block"].isNotNull())
-        return F.struct(joined.alias("text"), F.concat(s["blocks"], made).alias("blocks"))
+
+        def told(cut: Column) -> Column:
+            said = lambda g, i, query: F.when(query, F.concat(F.lit("⟦"), number(i).cast("string"), F.lit("⟧"))).when(g.rlike(r"^\s*⟦\d+⟧\s*$"), F.trim(g)).otherwise(_argument(g, F.get(cut["around"], i)))
+            return F.transform(cut["groups"], lambda g, i: _let(is_query(g), lambda query: F.struct(F.when(query, number(i)).alias("block"), g.alias("body"), said(g, i, query).alias("said"))))
+
+        def joined(cut: Column, groups: Column) -> Column:
+            text = F.array_join(F.zip_with(cut["around"], groups, lambda a, g: F.concat(a, F.coalesce(g["said"], F.lit("")))), "")
+            made = F.transform(F.filter(groups, lambda g: g["block"].isNotNull()), lambda g: F.struct(g["block"].alias("block"), g["body"].alias("body")))
+            return F.struct(text.alias("text"), F.concat(s["blocks"], made).alias("blocks"))
+
+        cut = F.struct(_all(s["text"], INNER, 1).alias("groups"), F.split(s["text"], r"\([^()]*\)").alias("around"))
+        return _let(cut, lambda cut: _let(told(cut), lambda groups: joined(cut, groups)))
 
     steps = F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, start, step)
@@ -90,12 +103,13 @@ def _scopes(blocks: Column) -> Column:
     start = F.create_map().cast(f"map<int,{pairs}>")
 
     def step(s: Column, b: Column) -> Column:
-        ids = F.transform(_all(b["body"], CTE, 2), lambda i: i.cast("int"))
-        own = F.arrays_zip(F.transform(_all(b["body"], CTE, 1), F.lower).alias("name"), ids.alias("block")).cast(pairs)
-        around = F.coalesce(s[b["block"]], F.array().cast(pairs))
-        inside = F.transform(_all(b["body"], r"⟦(\d+)⟧", 1), lambda i: i.cast("int"))
-        seen = lambda i: F.when(F.array_position(ids, i) > 0, F.slice(own, F.lit(1), F.array_position(ids, i).cast("int") - 1)).otherwise(own)
-        return F.map_concat(s, F.map_from_entries(F.transform(inside, lambda i: F.struct(i, F.concat(around, seen(i))))))
+        whole = lambda pattern, group: F.transform(_all(b["body"], pattern, group), lambda i: i.cast("int"))
+        found = F.struct(F.transform(_all(b["body"], CTE, 1), F.lower).alias("names"), whole(CTE, 2).alias("ids"), whole(r"⟦(\d+)⟧", 1).alias("inside"), F.coalesce(s[b["block"]], F.array().cast(pairs)).alias("around"))
+        own = lambda f: F.arrays_zip(f["names"].alias("name"), f["ids"].alias("block")).cast(pairs)
+        seen = lambda f, own, i: _let(F.array_position(f["ids"], i).cast("int"), lambda at: F.when(at > 0, F.slice(own, F.lit(1), at - 1)).otherwise(own))
+        told = lambda f, own: F.map_from_entries(F.transform(f["inside"], lambda i: F.struct(i, F.concat(f["around"], seen(f, own, i)))))
+        # A block without blocks in it adds nothing.
+        return F.when(F.contains(b["body"], F.lit("⟦")), F.map_concat(s, _let(found, lambda f: _let(own(f), lambda o: told(f, o))))).otherwise(s)
 
     return F.aggregate(blocks, start, step)
 
@@ -104,17 +118,20 @@ def _blocks(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks with scope, reasons) of statements (model, nth, sql)."""
     statements = stored(statements)
     statements = spread(statements, statements.count(), *KEY, each=TEXTS)
-    text = statements.select(*KEY, "sql", _unquoted(F.col("sql")).alias("text"))
+    text = statements.select(*KEY, "sql", _unquoted(F.col("sql")).alias("text")).withColumn("up", F.upper("text"))
+    # A word or sign that a pattern cannot do without is looked for first, which costs a hundredth of the pattern.
+    near = lambda c, pattern, *signs: functools.reduce(Column.__or__, (F.contains(c, F.lit(x)) for x in signs)) & F.col("sql" if c == "sql" else "text").rlike(pattern)
     bad = (
-        F.when(F.col("sql").rlike(r"\{\{|\{%|\{#"), "template").when(F.col("text").rlike("['\"]"), "open quote").when(F.col("text").contains("`") | F.col("sql").rlike(rf"(?i)`(?:{'|'.join(KEYWORDS)})`"), "quoted name")
-        .when(F.size(_all(F.col("text"), r"\(")) != F.size(_all(F.col("text"), r"\)")), "parentheses").when(F.col("text").rlike(r"(?i)\bWITH RECURSIVE\b"), "recursion").when(F.col("text").rlike(r"(?i)\b(?:UNION|EXCEPT|INTERSECT)\b.{0,20}\bBY NAME\b"), "union by name")
-        .when(F.col("text").rlike(r"(?i)\b(?:PIVOT|UNPIVOT)\b ?\("), "pivot").when(F.col("text").rlike(r"(?i)\bSELECT AS (?:STRUCT|VALUE)\b|\bDISTINCT ON\b"), "select as").when(F.col("text").rlike(r"(?i)\bOVER [\p{L}_]"), "named window")
+        F.when(near("sql", r"\{\{|\{%|\{#", "{"), "template").when(near("text", "['\"]", "'", '"'), "open quote").when(F.col("text").contains("`") | near("sql", rf"(?i)`(?:{'|'.join(KEYWORDS)})`", "`"), "quoted name")
+        .when(F.length(F.translate("text", "(", "")) != F.length(F.translate("text", ")", "")), "parentheses").when(near("up", r"(?i)\bWITH RECURSIVE\b", "RECURSIVE"), "recursion").when(near("up", r"(?i)\b(?:UNION|EXCEPT|INTERSECT)\b.{0,20}\bBY NAME\b", "BY NAME"), "union by name")
+        .when(near("up", r"(?i)\b(?:PIVOT|UNPIVOT)\b ?\(", "PIVOT"), "pivot").when(near("up", r"(?i)\bSELECT AS (?:STRUCT|VALUE)\b|\bDISTINCT ON\b", "SELECT AS", "DISTINCT ON"), "select as").when(near("up", r"(?i)\bOVER [\p{L}_]", "OVER "), "named window")
     )
     text = stored(text.select(*KEY, "text", bad.alias("reason")))
     rows = spread(text.where("reason IS NULL"), text.count(), *KEY, each=TEXTS).select(*KEY, _peeled(F.col("text")).alias("p"))
     every = F.concat(F.array(F.struct(F.lit(0).alias("block"), F.col("p.text").alias("body"))), F.reverse("p.blocks"))
     rows = rows.select(*KEY, every.alias("blocks")).select(*KEY, "blocks", _scopes(F.col("blocks")).alias("scopes"))
-    rows = rows.select(*KEY, F.explode("blocks").alias("b"), "scopes").select(*KEY, "b.*", F.col("scopes")[F.col("b.block")].alias("around"))
+    # Outer, though there is always a block: else Spark asks beforehand, below the shuffle, whether there is one, and so works everything out twice.
+    rows = rows.select(*KEY, F.explode_outer("blocks").alias("b"), "scopes").select(*KEY, "b.*", F.col("scopes")[F.col("b.block")].alias("around"))
     own = F.arrays_zip(F.transform(_all(F.col("body"), CTE, 1), F.lower).alias("name"), F.transform(_all(F.col("body"), CTE, 2), lambda i: i.cast("int")).alias("block"))
     scope = F.concat(F.coalesce("around", F.array().cast(own_type := "array<struct<name:string,block:int>>")), own.cast(own_type))
     return stored(rows.select(*KEY, "block", "body", scope.alias("scope"))), text.where("reason IS NOT NULL").select(*KEY, "reason")
@@ -124,7 +141,7 @@ def _branches(blocks: DataFrame) -> DataFrame:
     """(model, nth, block, branch, items, sources, using, scope, reason) of each SELECT; sources are names and aliases as they stand."""
     main = F.regexp_replace("body", r"(?is)^\s*WITH\b.*?⟦\d+⟧\s*(?=SELECT\b)", "")
     listed = F.col("body").rlike(rf"(?i)(?:\bWITH|,)\s*{NAME}\s*❨[^❨❩]*❩\s*AS\s+(?:NOT\s+)?(?:MATERIALIZED\s+)?⟦")
-    rows = blocks.select(*KEY, "block", "scope", listed.alias("listed"), F.posexplode(F.split(main, SET_OPERATION)).alias("branch", "part"))
+    rows = blocks.select(*KEY, "block", "scope", listed.alias("listed"), F.posexplode_outer(F.split(main, SET_OPERATION)).alias("branch", "part"))
     part = F.regexp_replace("part", r"^\s*(⟦\d+⟧)", "SELECT * FROM $1")
     rows = rows.select(*KEY, "block", "scope", "listed", "branch", part.alias("part"))
     rows = rows.select(*KEY, "block", "branch", "scope", "listed", "part", _got(F.col("part"), BRANCH, 1).alias("items"), F.coalesce(_got(F.col("part"), BRANCH, 2), F.lit("")).alias("origin"))
@@ -159,18 +176,22 @@ def _sources(branches: DataFrame, relations: DataFrame) -> DataFrame:
 
 def _items(branches: DataFrame) -> DataFrame:
     """(model, nth, block, branch, pos, name, shape, star, star_of, except, tokens, inner, using, reason) of each projected item."""
-    rows = branches.where("items IS NOT NULL").select(*KEY, "block", "branch", "using", F.posexplode(F.split("items", ",")).alias("pos", "item")).withColumn("item", F.trim("item"))
-    item = F.col("item")
-    star, plain = item.rlike(STAR), item.rlike(PLAIN)
-    column = F.regexp_extract(_got(item, PLAIN, 1), rf"({NAME})$", 1)
-    name = F.when(star, None).when(plain, F.coalesce(_got(item, PLAIN, 2), column)).otherwise(_got(item, NAMED, 2))
-    body = F.when(star, "").when(plain, _got(item, PLAIN, 1)).otherwise(F.coalesce(_got(item, NAMED, 1), item))
-    tokens = F.array_except(F.array_distinct(F.transform(_all(body, TOKEN), F.lower)), F.array(*(F.lit(k) for k in KEYWORDS)))
-    shape = F.when(star, "pass-through").when(plain & (F.size(tokens) > 0), F.when(F.lower(name) == F.lower(column), "pass-through").otherwise("rename")).otherwise("transformation")
+    # Step by step, so that each pattern runs once for an item, and only for items that may match it.
+    rows = branches.where("items IS NOT NULL").select(*KEY, "block", "branch", "using", F.posexplode_outer(F.split("items", ",")).alias("pos", "item")).withColumn("item", F.trim("item"))
+    item, has = F.col("item"), lambda c, sign: F.contains(c, F.lit(sign))
+    rows = rows.withColumn("star", has("item", "*") & item.rlike(STAR))
+    rows = rows.withColumn("plain", F.when(~F.col("star"), _got(item, PLAIN, 1)))
+    star, plain = F.col("star"), F.col("plain").isNotNull()
+    rows = rows.withColumns({"column": F.substring_index("plain", ".", -1), "name": F.when(star, None).when(plain, F.coalesce(_got(item, PLAIN, 2), F.substring_index("plain", ".", -1))).otherwise(_got(item, NAMED, 2))})
+    rows = rows.withColumn("body", F.when(star, "").when(plain, F.col("plain")).otherwise(F.coalesce(_got(item, NAMED, 1), item)))
+    words = F.array_distinct(F.filter(F.transform(_all(F.col("body"), TOKEN), F.lower), lambda w: ~w.isin(KEYWORDS)))
+    rows = rows.withColumn("tokens", words)
+    shape = F.when(star, "pass-through").when(plain & (F.size("tokens") > 0), F.when(F.lower("name") == F.lower("column"), "pass-through").otherwise("rename")).otherwise("transformation")
+    inner = F.when(has("body", "⟦"), F.transform(_all(F.col("body"), r"⟦(\d+)⟧", 1), lambda i: i.cast("int"))).otherwise(F.array().cast("array<int>"))
     return rows.select(
-        *KEY, "block", "branch", "pos", name.alias("name"), shape.alias("shape"), star.alias("star"), F.when(star, F.lower(_got(item, STAR, 1))).alias("star_of"),
-        F.transform(F.split(F.coalesce(_got(item, STAR, 2), F.lit("")), "¦"), lambda c: F.lower(F.trim(c))).alias("except"), tokens.alias("tokens"), F.transform(_all(body, r"⟦(\d+)⟧", 1), lambda i: i.cast("int")).alias("inner"), "using",
-        F.when(~star & item.rlike(rf"(?i)^(?:{NAME}\.)*+\*"), "changed star").alias("reason"),
+        *KEY, "block", "branch", "pos", "name", shape.alias("shape"), "star", F.when(star, F.lower(_got(item, STAR, 1))).alias("star_of"),
+        F.transform(F.split(F.coalesce(F.when(star, _got(item, STAR, 2)), F.lit("")), "¦"), lambda c: F.lower(F.trim(c))).alias("except"), "tokens", inner.alias("inner"), "using",
+        F.when(~star & has("item", "*") & item.rlike(rf"(?i)^(?:{NAME}\.)*+\*"), "changed star").alias("reason"),
     )
 
 
@@ -180,7 +201,9 @@ def _ddl(df: DataFrame) -> str:
 
 def _levels(needs: DataFrame) -> DataFrame:
     """(model, nth, block, level) for needs (model, nth, block, child, null where there is none): a block stands one level above its highest child. A statement's blocks are folded within its row."""
-    rows = needs.groupBy(*KEY, "block").agg(F.collect_set("child").alias("children")).groupBy(*KEY).agg(F.collect_list(F.struct("block", "children")).alias("blocks"))
+    rows = needs.groupBy(*KEY).agg(F.collect_set(F.struct("block", "child")).alias("needs"))
+    below = lambda b: F.transform(F.filter("needs", lambda n: (n["block"] == b) & n["child"].isNotNull()), lambda n: n["child"])
+    rows = rows.select(*KEY, F.transform(F.array_distinct(F.transform("needs", lambda n: n["block"])), lambda b: F.struct(b.alias("block"), below(b).alias("children"))).alias("blocks"))
     start = F.map_from_entries(F.transform("blocks", lambda b: F.struct(b["block"], F.lit(1))))
     above = lambda levels, b: F.aggregate(b["children"], F.lit(1), lambda most, c: F.greatest(most, levels[c] + 1))
     raised = lambda levels: F.map_from_entries(F.transform("blocks", lambda b: F.struct(b["block"], above(levels, b))))
@@ -259,7 +282,8 @@ def lineage(models: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFra
     reason = lambda df: df.where("reason IS NOT NULL").select(*KEY, "reason")
     early = stored(early.unionByName(reason(branches)).unionByName(reason(sources)).unionByName(reason(items)))
     # Blocks of sound statements by level: a level reads those below it alone.
-    children = sources.select(*KEY, "block", "child").unionByName(items.select(*KEY, "block", F.explode_outer("inner").alias("child")))
+    alone = branches.where("reason IS NULL").select(*KEY, "block", F.lit(None).cast("int").alias("child"))
+    children = alone.unionByName(sources.where("child IS NOT NULL").select(*KEY, "block", "child")).unionByName(items.select(*KEY, "block", F.explode("inner").alias("child")))
     levels = stored(_levels(children.join(early, KEY, "left_anti")))
     of_level = Rounds(spark, _ddl(items)), Rounds(spark, _ddl(sources))
     for table, rows in zip(of_level, (items, sources), strict=True):
